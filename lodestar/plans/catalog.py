@@ -2,7 +2,5 @@
 
 from __future__ import annotations
 
-from lodestar.plans.canonical import CTE, symbols
-
-QUERIES = {"all_nodes": lambda spark, sf_dir: symbols(spark, sf_dir).select("id", "name", "kind", "file_path", "parent_class_id")}
-ORACLES = {"all_nodes": CTE + "SELECT id, name, kind, file_path, parent_class_id FROM symbols"}
+from lodestar.plans import graph_queries, resolve_queries, search_queries, text_queries  # noqa: F401
+from lodestar.plans.registry import ORACLES, QUERIES  # noqa: F401
