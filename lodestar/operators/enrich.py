@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestar.operators.incremental import content_hash
 
@@ -54,21 +55,26 @@ def ask(prompts: DataFrame, model: Model) -> DataFrame:
                 out = [None] * len(pdf)
             yield pdf.assign(answer=out)
 
-    return prompts.mapInPandas(call, prompts.schema.add("answer", "string"))
+    return prompts.mapInPandas(call, StructType([*prompts.schema.fields, StructField("answer", StringType())]))
 
 
 def split_answers(asked: DataFrame) -> DataFrame:
     """(file_path, symbol, summary): an answer cut at its marks; without marks it belongs to the first name."""
     parts = F.split("answer", MARK)
     marked = F.contains(F.col("answer"), F.lit(MARK))
-    rows = F.when(marked, F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.struct(F.trim(F.regexp_extract(p, r"^(.*?)\s*===", 1)).alias("symbol"), F.trim(F.regexp_replace(p, r"^.*?===\s*", "")).alias("summary")))).otherwise(F.array(F.struct(F.get("names", F.lit(0)).alias("symbol"), F.trim("answer").alias("summary"))))
+    rows = F.when(marked, F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.struct(F.trim(F.regexp_extract(p, r"^(.*?)\s*===", 1)).alias("symbol"), strip(F.regexp_replace(p, r"^.*?===\s*", "")).alias("summary")))).otherwise(F.array(F.struct(F.get("names", F.lit(0)).alias("symbol"), strip(F.col("answer")).alias("summary"))))
     return asked.where("answer is not null").select("file_path", F.explode(rows).alias("r")).select("file_path", "r.symbol", clean_markdown(F.col("r.summary")).alias("summary"))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends; trim alone takes blanks only."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def clean_markdown(text: Column) -> Column:
     """Without a code fence around it and without outer quotes."""
-    bare = F.regexp_replace(F.trim(text), r"(?s)^```\w*\n?(.*?)\n?```$", "$1")
-    return F.trim(F.regexp_replace(bare, r"^[\"'](.*)[\"']$", "$1"))
+    bare = F.regexp_replace(strip(text), r"(?s)^```\w*\n?(.*?)\n?```$", "$1")
+    return strip(F.regexp_replace(bare, r"^[\"'](.*)[\"']$", "$1"))
 
 
 def summarise(files: DataFrame, cache: DataFrame, model: Model) -> dict[str, DataFrame]:
