@@ -32,6 +32,7 @@ SEEK = frozenset("article articlebody content main maincontent post entry body s
 TAGS = "article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption nav header footer aside form menu body html address fieldset button dialog details".split()
 MAYBE = {t: i for i, t in enumerate(TAGS)}
 FEATURES = [*(f"tag:{t}" for t in TAGS), "tag:other", "avoid", "seek", "hidden", "leaf", "words:0", "words:1", "words:2", "words:3", "words:4", "linked:some", "linked:half", "linked:all", "stops", "no-stop", "mark", "in-p", "in-heading", "in-li", "in-cell", "bias"]
+KINDS = 4
 AT = {f: i for i, f in enumerate(FEATURES)}
 COPY_MARK = re.compile("[©®]|all rights reserved", re.I)
 
@@ -176,18 +177,14 @@ class TreeModel:
     def __init__(self, weights: np.ndarray, pair: np.ndarray) -> None:
         self.weights, self.pair = weights, pair  # pair[kind, parent label, child label]
 
-    def marginals(self, parent: np.ndarray, unary: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def marginals(self, parent: np.ndarray, unary: np.ndarray, kind: np.ndarray, levels: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """P(content) of every node, and the joint (parent, child) marginals, by sum-product.
 
         ``unary`` is each node's log-odds. Messages go up from the deepest level, then down
         from the roots; nodes of one depth are handled together.
         """
         n = len(parent)
-        depth = np.zeros(n, np.int64)
-        for i in range(n):
-            if parent[i] >= 0:
-                depth[i] = depth[parent[i]] + 1
-        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if n else []
+        levels = by_depth(parent) if levels is None else levels
         belief = np.stack([np.zeros(n), unary], axis=1)  # log potential and upward messages
         up = np.zeros((n, 2))
         for level in reversed(levels[1:]):
@@ -206,38 +203,52 @@ class TreeModel:
         return 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -500, 500))), np.exp(joint)
 
 
+def by_depth(parent: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth, roots first; parents come before their children."""
+    depth: list[int] = []
+    for p in parent.tolist():
+        depth.append(depth[p] + 1 if p >= 0 else 0)
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(np.array(depth)[order])) + 1) if len(depth) else []
+
+
 def flatten(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(parent, feature ids, their starts, kind) of all pages as one forest; kind is 1 for text blocks."""
+    """(parent, feature ids, their starts, kind) of all pages as one forest.
+
+    kind tells text blocks (1) from elements (0), and (+2) whether the parent is html or body:
+    those hold everything, so a menu below them says nothing about them.
+    """
     base, parents, flat, starts, kinds = 0, [], [], [], []
+    roots = (MAYBE["html"], MAYBE["body"])
     for page in pages:
         parents.extend(p + base if p >= 0 else -1 for p in page.parent)
-        for own, text in zip(page.features, page.text, strict=True):
+        for own, text, p in zip(page.features, page.text, page.parent, strict=True):
             starts.append(len(flat))
             flat.extend(own)
-            kinds.append(int(text is not None))
+            kinds.append(int(text is not None) + (2 if p >= 0 and page.features[p][0] in roots else 0))
         base += len(page.parent)
     return np.array(parents, np.int64), np.array(flat, np.int64), np.array(starts, np.int64), np.array(kinds, np.int64)
 
 
-def train(pages: list[Page], labels: list[list[int]], steps: int = 150, rate: float = 0.15, decay: float = 0.004) -> TreeModel:
+def train(pages: list[Page], labels: list[list[int]], steps: int = 250, rate: float = 0.12, decay: float = 0.002) -> TreeModel:
     """Maximum likelihood on fully labelled trees: observed minus expected counts, by Adam steps."""
     parent, flat, starts, kind = flatten(pages)
     y = np.array([v for own in labels for v in own], np.float64)
     owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
     child = np.flatnonzero(parent >= 0)
-    seen = np.zeros((2, 2, 2))
+    seen = np.zeros((KINDS, 2, 2))
     np.add.at(seen, (kind[child], y[parent[child]].astype(int), y[child].astype(int)), 1)
-    w, pair = np.zeros(len(FEATURES)), np.zeros((2, 2, 2))
-    m, v = np.zeros(len(w) + 8), np.zeros(len(w) + 8)
+    w, pair, levels = np.zeros(len(FEATURES)), np.zeros((KINDS, 2, 2)), by_depth(parent)
+    m, v = np.zeros(len(w) + pair.size), np.zeros(len(w) + pair.size)
     for t in range(1, steps + 1):
         model = TreeModel(w, pair)
-        p, joint = model.marginals(parent, np.add.reduceat(w[flat], starts), kind)
+        p, joint = model.marginals(parent, np.add.reduceat(w[flat], starts), kind, levels)
         gw = np.bincount(flat, (y - p)[owner], len(w))
-        expected = np.stack([joint[child][kind[child] == k].sum(axis=0) for k in (0, 1)])
+        expected = np.stack([joint[child][kind[child] == k].sum(axis=0) for k in range(KINDS)])
         g = np.concatenate([gw, (seen - expected).ravel()]) / len(pages) - decay * np.concatenate([w, pair.ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, pair = w + step[: len(w)], pair + step[len(w) :].reshape(2, 2, 2)
+        w, pair = w + step[: len(w)], pair + step[len(w) :].reshape(pair.shape)
     return TreeModel(w, pair)
 
 
