@@ -15,41 +15,51 @@ from pyspark.sql import types as T
 from lodestar.llm.ranking import bucketed_rank
 from lodestar.llm.staging import stage
 
-ROUNDS = 1500
+ROUNDS, BIAS = 1500, 1.3
 PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 PLAN = T.StructType([T.StructField(c, T.LongType()) for c in ("p_length", "first_rank", "end_rank", "per_sequence", "first_sequence", "p_offset")])
 
 
 class WordIds(dict):
-    """Word to its token ids as little-endian unsigned 32-bit bytes, filled on demand.
+    """A word's UTF-8 to its token ids as little-endian unsigned 32-bit bytes, filled on demand.
 
-    The tokenizer never joins across white space, so a text's ids are its words' ids in order.
-    The table is emptied when it is full, which bounds memory and changes no result.
+    The tokenizer lowers letters, drops white space and never joins across it, so a text's ids
+    are its words' ids in order; a full stop or comma after a letter is a word of its own to
+    it. The table is emptied when it is full, which bounds memory and changes no result.
     """
 
-    LIMIT = 400_000
+    LIMIT = 800_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def ids(self, text: str) -> bytes:
+        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
+            found = self[word[:-1]] + self[word[-1:]]
+        else:
+            found = self.ids(word.decode("utf-8", "surrogatepass"))
         if len(word) <= 64:
             if len(self) >= self.LIMIT:
                 self.clear()
-            self[word] = ids
-        return ids
+            self[word] = found
+        return found
 
 
 _TABLES: dict[str, WordIds] = {}
-_SPACES = str.maketrans("\t\n\r", "   ")
 
 
 def document_ids(text: str | None, table: WordIds) -> bytes:
     """All ids of a text, then id 0, as little-endian unsigned 32-bit bytes."""
-    return b"".join(map(table.__getitem__, (text or "").translate(_SPACES).split(" "))) + b"\0\0\0\0"
+    if not text:
+        return b"\0\0\0\0"
+    if "<|" in text:  # it may hold special tokens, which are told by case
+        return table.ids(text) + b"\0\0\0\0"
+    return b"".join(map(table.__getitem__, text.encode("utf-8", "surrogatepass").lower().split())) + b"\0\0\0\0"
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
@@ -87,7 +97,7 @@ def best_configuration(price: np.ndarray, lengths: np.ndarray, capacity: int) ->
     for c in range(int(lengths[0]), capacity + 1):
         k = usable[c]
         total = best[c - lengths[:k]] + price[:k]
-        i = int(total.argmax())
+        i = k - 1 - int(total[::-1].argmax())  # of equal values the longest piece, so that short ones stay for gaps
         if total[i] >= best[c - 1]:
             best[c], choice[c] = total[i], lengths[i]
         else:
@@ -105,13 +115,14 @@ def best_configuration(price: np.ndarray, lengths: np.ndarray, capacity: int) ->
 def fractional_cover(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = 0.5) -> list[tuple[dict[int, int], float]]:
     """Configurations with fractional amounts that cover the histogram: multiplicative weights.
 
-    Prices start at each length's share of a sequence. Every round prices a configuration with
+    Prices start at each length's share of a sequence, a little more for long pieces, since
+    short ones fit anywhere later. Every round prices a configuration with
     the knapsack table, takes half of what its scarcest length still allows, and shrinks the
     prices of the lengths by the covered fraction, so that no length is left for the end. It
     stops when one item per length is left on average, or after ``rounds``.
     """
     left = {l: float(n) for l, n in counts.items()}
-    price = {l: l / capacity for l in counts}
+    price = {l: (l / capacity) ** BIAS for l in counts}
     taken: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
     for _ in range(rounds):
         live = sorted(l for l, n in left.items() if n >= 1)
