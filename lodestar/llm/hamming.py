@@ -61,7 +61,7 @@ def pigeonhole(n: int, bits: int, radius: int, per_bucket: int = 256) -> tuple[i
 def _planes(fps: np.ndarray) -> np.ndarray:
     """(words, 64) bit planes of (words * 64) values: lane i of word w, plane j is bit j of value w*64+i."""
     bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, LANES, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view("<u8")[:, :, 0]
+    return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view("<u8")[:, :, 0]
 
 
 def within_radius(fps: np.ndarray, groups: np.ndarray, radius: int, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -145,26 +145,30 @@ def smallest_label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def key_table(values: DataFrame, n: int, bits: int, radius: int, tile: int, name: str) -> DataFrame:
-    """(bucket, side, id, fp): each (id, fp) once per pigeonhole key, large buckets cut into tiles.
+def key_masks(n: int, bits: int, radius: int) -> list[int]:
+    """The bits of each pigeonhole key: one mask per choice of agreeing blocks."""
+    blocks, agreeing = pigeonhole(n, bits, radius)
+    edges = [round(i * bits / blocks) for i in range(blocks + 1)]
+    return [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in chosen) for chosen in combinations(range(blocks), agreeing)]
+
+
+def key_table(values: DataFrame, masks: list[int], tile: int, name: str) -> DataFrame:
+    """(bucket, t, side, id, fp): each (id, fp) once per pigeonhole key, large buckets cut into tiles.
 
     A bucket of more than ``tile`` members is split by hash into t tiles and becomes the
     t(t+1)/2 pairs of tiles, so one task never holds more than about two tiles of it while
     every pair of members still meets in one place.
     """
-    blocks, agreeing = pigeonhole(n, bits, radius)
-    edges = [round(i * bits / blocks) for i in range(blocks + 1)]
-    keys = []
-    for t, chosen in enumerate(combinations(range(blocks), agreeing)):
-        mask = sum(((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in chosen)
-        mask -= (mask >> 63) << 64  # as a signed long
-        keys.append(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(mask))))
-    keyed = values.select("id", "fp", F.explode(F.array(*keys)).alias("k"))
+    keys = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64)))) for t, m in enumerate(masks)]
+    keyed = values.select("id", "fp", F.posexplode(F.array(*keys)).alias("t", "k"))
     sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = stage(sizes.select(F.col("k").alias("bk"), F.greatest(F.lit(1), F.ceil(F.col("n") / tile)).cast("int").alias("t")), f"{name}-sizes")
-    joined = keyed.join(sizes, F.col("k") == F.col("bk")).withColumn("own", F.pmod(F.xxhash64("fp", "id"), F.col("t")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    return joined.select("id", "fp", "k", "own", F.explode(pair).alias("p")).select(F.when((F.col("p.i") == 0) & (F.col("p.j") == 0), F.col("k")).otherwise(F.xxhash64("k", "p.i", "p.j")).alias("bucket"), F.when(F.col("p.i") == F.col("p.j"), F.lit(0)).when(F.col("own") == F.col("p.i"), F.lit(1)).otherwise(F.lit(2)).cast("int").alias("side"), "id", "fp")
+    sizes = stage(sizes.select(F.col("k").alias("bk"), F.greatest(F.lit(1), F.ceil(F.col("n") / tile)).cast("int").alias("tiles")), f"{name}-sizes")
+    joined = keyed.join(sizes, F.col("k") == F.col("bk")).withColumn("own", F.pmod(F.xxhash64("fp", "id"), F.col("tiles")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    spread = joined.select("id", "fp", "t", "k", "own", F.explode(pair).alias("p"))
+    bucket = F.when((F.col("p.i") == 0) & (F.col("p.j") == 0), F.col("k")).otherwise(F.xxhash64("k", "p.i", "p.j"))
+    side = F.when(F.col("p.i") == F.col("p.j"), F.lit(0)).when(F.col("own") == F.col("p.i"), F.lit(1)).otherwise(F.lit(2))
+    return spread.select(bucket.alias("bucket"), "t", side.cast("int").alias("side"), "id", "fp")
 
 
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -211,5 +215,5 @@ def hamming_links(values: DataFrame, n: int, radius: int = 4, bits: int = 64, ti
             rows = np.flatnonzero(label != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[label[rows]]), pa.array(ids[rows])], names=["a", "b"])
 
-    dealt = key_table(values, n, bits, radius, tile, name).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = key_table(values, key_masks(n, bits, radius), tile, name).drop("t").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(compare, LINK).distinct()
