@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2000, 4000, 8000
-LANDMARKS, MIN_GAIN = 96, 12.0
+LANDMARKS, MIN_GAIN, TOP = 96, 12.0, 3
 SPAN, DECAY, FLOOR = 5, 0.55, 0.34
 CACHE = 400_000
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -93,12 +93,12 @@ class Kernel:
 
 @dataclass
 class ToxicityModel:
-    """score(text) = logistic(slope * largest sentence margin + shift); margin = weights . z + bias."""
+    """score(text) = logistic(slopes . the TOP largest sentence margins + shift); margin = weights . z + bias."""
 
     landmarks: list[str]
     weights: np.ndarray  # the machine's weights folded back through the Nystrom map
     bias: float
-    slope: float
+    slopes: np.ndarray
     shift: float
 
 
@@ -109,19 +109,15 @@ class Scorer:
         self.kernel, self.seen = kernel, {}
 
     def word(self, token: str) -> tuple[tuple[int, float], ...]:
-        try:
-            return self.seen[token]
-        except KeyError:
-            got: dict[int, float] = {}
-            for w in words_of(token):
-                for m, v in self.kernel.values(w).items():
-                    got[m] = max(v, got.get(m, 0.0))
+        found = self.seen.get(token)
+        if found is None:
+            letters = token if token.isalpha() else NOT_LETTERS.sub("", token)
+            found = tuple(self.kernel.values(letters).items()) if letters == token else self.word(letters) if letters else ()
             if len(self.seen) >= CACHE:
                 self.seen.clear()
             if len(token) <= 40:
-                self.seen[token] = out = tuple(got.items())
-                return out
-            return tuple(got.items())
+                self.seen[token] = found
+        return found
 
     def sentences(self, text: str | None) -> Iterator[dict[int, float]]:
         """Landmark values of each sentence that has any: per landmark, its best word's."""
@@ -141,9 +137,10 @@ class Scorer:
                 yield z
 
 
-def top_margin(scorer: Scorer, text: str | None, weights: np.ndarray, bias: float) -> float:
-    """The largest margin of a text's sentences; one that resembles no landmark has the margin ``bias``."""
-    return max([bias, *(bias + sum(weights[m] * v for m, v in z.items()) for z in scorer.sentences(text))])
+def top_margins(scorer: Scorer, text: str | None, weights: np.ndarray, bias: float) -> list[float]:
+    """The TOP largest margins of a text's sentences; a sentence that resembles no landmark has the margin ``bias``."""
+    found = sorted((bias + sum(weights[m] * v for m, v in z.items()) for z in scorer.sentences(text)), reverse=True)[:TOP]
+    return sorted([*found, *[bias] * TOP], reverse=True)[:TOP]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -219,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_sentences: int = 6000) -> Toxici
     rows = training_rows(docs, labels)
     counts = {r["toxic"]: r["count"] for r in labels.where("doc_id is not null and toxic in (0, 1)").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).groupBy("toxic").count().collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    flat = ToxicityModel([], np.zeros(0), 0.0, 0.0, math.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
+    flat = ToxicityModel([], np.zeros(0), 0.0, np.zeros(TOP), math.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     landmarks = choose_landmarks(landmark_candidates(rows))
     if not landmarks:
         return flat
@@ -262,27 +259,34 @@ def fit(docs: DataFrame, labels: DataFrame, max_sentences: int = 6000) -> Toxici
         margin = phi @ w
     weights, bias = to_phi @ w[:-1], float(w[-1])
     order = np.lexsort((-margin, doc))
-    first = order[np.append(True, doc[order[1:]] != doc[order[:-1]])]
-    top, label = np.maximum(margin[first], bias), y[first]
+    starts = np.flatnonzero(np.append(True, doc[order[1:]] != doc[order[:-1]]))
+    top = np.full((len(starts), TOP), bias)
+    for k in range(TOP):
+        at = starts + k
+        own = at < np.append(starts[1:], len(order))
+        top[own, k] = np.maximum(margin[order[at[own]]], bias)
+    label = y[order[starts]]
     share = label.mean()
     case = np.where(label == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
-    slope, shift = calibrate(top, label, case)
-    return ToxicityModel(landmarks, weights, bias, slope, shift)
+    slopes, shift = calibrate(top, label, case)
+    return ToxicityModel(landmarks, weights, bias, slopes, shift)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, case: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic fit of labels on margins (Newton steps, lightly regularised)."""
+def calibrate(x: np.ndarray, y: np.ndarray, case: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weighted logistic fit of labels on margins (Newton steps, lightly regularised); slopes aren't negative."""
     a = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(2)
-    for _ in range(50):
+    w = np.zeros(a.shape[1])
+    ridge = np.append(np.full(x.shape[1], 0.5), 1e-6)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (case * (y - p)) - np.array([0.5, 0.0]) * w
-        h = (a * (case * p * (1 - p))[:, None]).T @ a + np.diag([0.5, 1e-6])
-        step = np.linalg.solve(h, g)
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        g = a.T @ (case * (y - p)) - ridge * w
+        h = (a * (case * p * (1 - p))[:, None]).T @ a + np.diag(ridge)
+        new = w + np.clip(np.linalg.solve(h, g), -2, 2)
+        new[:-1] = np.maximum(new[:-1], 0)
+        if np.abs(new - w).max() < 1e-8:
             break
-    return max(float(w[0]), 0.0), float(w[1])
+        w = new
+    return w[:-1], float(w[-1])
 
 
 def score_of(text: Column, model: ToxicityModel) -> Column:
@@ -313,8 +317,8 @@ def _scores(model: ToxicityModel, batches: Iterator[pd.Series]) -> Iterator[pd.S
         _SCORERS.clear()
         _SCORERS[key] = Scorer(Kernel(model.landmarks))
     for texts in batches:
-        top = np.array([top_margin(_SCORERS[key], t if isinstance(t, str) else None, model.weights, model.bias) for t in texts], np.float64)
-        yield pd.Series(1 / (1 + np.exp(-np.clip(model.slope * top + model.shift, -30, 30))))
+        top = np.array([top_margins(_SCORERS[key], t if isinstance(t, str) else None, model.weights, model.bias) for t in texts], np.float64).reshape(-1, TOP)
+        yield pd.Series(1 / (1 + np.exp(-np.clip(top @ model.slopes + model.shift, -30, 30))))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
