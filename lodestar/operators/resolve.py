@@ -230,7 +230,7 @@ def rule_instance(calls: DataFrame, hints: DataFrame, created: DataFrame, symbol
 def rule_scope_class(calls: DataFrame, scope: DataFrame, symbols: DataFrame, methods: DataFrame) -> DataFrame:
     """The first class in scope that has the method. Joined on (file, method), so a file's classes that lack it cost nothing."""
     classes = symbols.where("kind = 'class'").select(F.col("id").alias("target_id")).distinct()
-    offers = scope.where("kind = 'symbol'").join(classes, "target_id", "left_semi").select("file_path", F.col("target_id").alias("class_id"), "ord").join(methods.select("class_id", F.col("name").alias("method"), F.col("id").alias("t")), "class_id").groupBy("file_path", "method").agg(F.min_by("t", "ord").alias("target_id"))
+    offers = scope.where("kind = 'symbol'").join(classes, "target_id", "left_semi").select("file_path", F.col("target_id").alias("class_id"), "ord").join(methods.select("class_id", F.col("name").alias("method"), F.col("id").alias("t")), "class_id").groupBy("file_path", "method").agg(F.min_by("t", F.struct("ord", "class_id")).alias("target_id"))
     return pick(calls.where("branch = 'dotted'").join(offers, ["file_path", "method"]), 5)
 
 

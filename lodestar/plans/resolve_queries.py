@@ -97,7 +97,7 @@ hint AS (SELECT call_ord, method, coalesce(s.m.t, u.id) AS class_id FROM cal c J
 r_param AS (SELECT call_ord, m.id AS target_id FROM hint h JOIN meth m ON m.class_id = h.class_id AND m.name = h.method),
 made AS (SELECT c.caller_id, s.m.t AS class_id, c.call_ord AS ord FROM cal c JOIN scope s ON s.file_path = c.file_path AND s.name = c.callee_name AND s.m.k = 'symbol' WHERE s.m.t IN (SELECT id FROM rcls)),
 r_instance AS (SELECT c.call_ord, arg_min(m.id, {'a': CASE WHEN contains(lower(c.receiver), lower(k.name)) OR contains(lower(k.name), lower(c.receiver)) THEN 0 ELSE 1 END, 'o': d.ord}) AS target_id FROM cal c JOIN made d ON d.caller_id = c.caller_id JOIN rcls k ON k.id = d.class_id JOIN meth m ON m.class_id = d.class_id AND m.name = c.method WHERE branch = 'dotted' AND c.call_ord NOT IN (SELECT call_ord FROM hint) GROUP BY c.call_ord),
-r_scope AS (SELECT c.call_ord, arg_min(m.id, s.ord) AS target_id FROM cal c JOIN scope s ON s.file_path = c.file_path AND s.m.k = 'symbol' JOIN rcls k ON k.id = s.m.t JOIN meth m ON m.class_id = s.m.t AND m.name = c.method WHERE branch = 'dotted' GROUP BY c.call_ord),
+r_scope AS (SELECT c.call_ord, arg_min(m.id, {'o': s.ord, 'c': s.m.t}) AS target_id FROM cal c JOIN scope s ON s.file_path = c.file_path AND s.m.k = 'symbol' JOIN rcls k ON k.id = s.m.t JOIN meth m ON m.class_id = s.m.t AND m.name = c.method WHERE branch = 'dotted' GROUP BY c.call_ord),
 r_unique AS (SELECT call_ord, u.id AS target_id FROM cal c JOIN uni u ON u.name = c.method WHERE branch = 'dotted'),
 r_bare AS (SELECT call_ord, s.m.t AS target_id FROM cal c JOIN scope s ON s.file_path = c.file_path AND s.name = c.callee_name AND s.m.k = 'symbol' WHERE branch = 'bare'),
 r_same AS (SELECT call_ord, l.id AS target_id FROM cal c JOIN (SELECT file_path, name, arg_max(id, sym_ord) AS id FROM rsym GROUP BY file_path, name) l ON l.file_path = c.file_path AND l.name = c.callee_name WHERE branch = 'bare'),
