@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from lodestar.llm.ranking import bucketed_rank
 from lodestar.llm.staging import stage
 
-ROUNDS, BIAS = 1500, 1.3
+ROUNDS, BIAS = 700, 1.3
 PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 PLAN = T.StructType([T.StructField(c, T.LongType()) for c in ("p_length", "first_rank", "end_rank", "per_sequence", "first_sequence", "p_offset")])
 
@@ -28,7 +29,7 @@ class WordIds(dict):
     it. The table is emptied when it is full, which bounds memory and changes no result.
     """
 
-    LIMIT = 800_000
+    LIMIT = 400_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -36,7 +37,8 @@ class WordIds(dict):
         self.encode = Tokenizer.from_file(path).encode
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        own = self.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(own)}I", *own)
 
     def __missing__(self, word: bytes) -> bytes:
         if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
@@ -86,29 +88,28 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFram
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE)
 
 
-def best_configuration(price: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of ``lengths`` (ascending) within ``capacity`` with the largest summed price.
+def best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of lengths within ``capacity`` with the largest summed price.
 
-    An unbounded-knapsack table over the capacity: best[c] = max over l of best[c - l] + price(l).
+    ``price[l]`` is the price of length l, -inf where there is none. An unbounded-knapsack table
+    over the capacity: best[c] = max over l of best[c - l] + price[l].
     """
     best = np.zeros(capacity + 1)
-    choice = np.zeros(capacity + 1, np.int64)
-    usable = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(int(lengths[0]), capacity + 1):
-        k = usable[c]
-        total = best[c - lengths[:k]] + price[:k]
-        i = k - 1 - int(total[::-1].argmax())  # of equal values the longest piece, so that short ones stay for gaps
+    choice = [0] * (capacity + 1)
+    backwards = price[::-1]
+    for c in range(1, capacity + 1):
+        total = best[:c] + backwards[capacity - c : capacity]  # entry i: a piece of c - i on top of best[i]
+        i = int(total.argmax())  # of equal values the longest piece, so that short ones stay for gaps
         if total[i] >= best[c - 1]:
-            best[c], choice[c] = total[i], lengths[i]
+            best[c], choice[c] = total[i], c - i
         else:
-            best[c], choice[c] = best[c - 1], 0
+            best[c] = best[c - 1]
     out: dict[int, int] = defaultdict(int)
     c = capacity
     while c > 0:
-        l = int(choice[c])
-        if l:
-            out[l] += 1
-        c -= l or 1
+        if choice[c]:
+            out[choice[c]] += 1
+        c -= choice[c] or 1
     return out
 
 
@@ -128,8 +129,9 @@ def fractional_cover(counts: dict[int, int], capacity: int, rounds: int = ROUNDS
         live = sorted(l for l, n in left.items() if n >= 1)
         if not live or sum(left[l] for l in live) <= len(counts):
             break
-        lengths = np.array(live)
-        chosen = best_configuration(np.array([price[l] for l in live]), lengths, capacity)
+        priced = np.full(capacity + 1, -np.inf)
+        priced[live] = [price[l] for l in live]
+        chosen = best_configuration(priced, capacity)
         most = min(left[l] / a for l, a in chosen.items())
         if most < 1:  # more of a length than is left: the configuration of what there is
             chosen = {l: min(a, int(left[l])) for l, a in chosen.items()}
