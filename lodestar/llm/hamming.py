@@ -25,22 +25,33 @@ PAIR_CHUNK = 1 << 14
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+#: For every byte its eight bits, each in a byte of its own: sums of up to 255 of them don't carry over.
+LANE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def majority_bits(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Fingerprints of segments of ``hashes``: a bit is 1 if set in over half of a segment.
 
-    ``starts`` holds the first index of every segment; an empty segment gives 0.
+    ``starts`` holds the first index of every segment; an empty segment gives 0. Bits are
+    counted eight to a word in runs of at most 255 hashes, which bounds memory whatever the
+    length of a segment.
     """
     ends = np.append(starts[1:], len(hashes))
     sizes = ends - starts
     sums = np.zeros((len(starts), 64), np.int64)
     full = np.flatnonzero(sizes)
     step = 1 << 16
-    for lo in range(0, len(hashes), step):  # bounded memory whatever the length of a text
+    for lo in range(0, len(hashes), step):
         part = hashes[lo : lo + step]
-        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        lanes = LANE_BITS[part.astype("<u8").view(np.uint8).reshape(-1, 8)]
         first, last = np.searchsorted(ends[full], lo, "right"), np.searchsorted(starts[full], lo + len(part), "left")
         own = full[first:last]
-        sums[own] += np.add.reduceat(bits, np.maximum(starts[own] - lo, 0), axis=0, dtype=np.int32)
+        begin = np.maximum(starts[own] - lo, 0)
+        runs = -(-np.diff(np.append(begin, len(part))) // 255)
+        head = np.cumsum(runs) - runs
+        cuts = np.repeat(begin, runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(head, runs))
+        counts = np.add.reduceat(lanes, cuts, axis=0).view(np.uint8)
+        sums[own] += np.add.reduceat(counts, head, axis=0, dtype=np.int64) if len(cuts) > len(own) else counts
     return np.packbits(sums * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
@@ -161,9 +172,12 @@ def key_table(values: DataFrame, masks: list[int], tile: int, name: str) -> Data
     """
     keys = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64)))) for t, m in enumerate(masks)]
     keyed = values.select("id", "fp", F.posexplode(F.array(*keys)).alias("t", "k"))
-    sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = stage(sizes.select(F.col("k").alias("bk"), F.greatest(F.lit(1), F.ceil(F.col("n") / tile)).cast("int").alias("tiles")), f"{name}-sizes")
-    joined = keyed.join(sizes, F.col("k") == F.col("bk")).withColumn("own", F.pmod(F.xxhash64("fp", "id"), F.col("tiles")).cast("int"))
+    large = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
+    large = stage(large.select(F.col("k").alias("bk"), F.ceil(F.col("n") / tile).cast("int").alias("tiles")), f"{name}-sizes")
+    if large.count() <= 250_000:  # about 5 MB
+        large = F.broadcast(large)
+    joined = keyed.join(large, F.col("k") == F.col("bk"), "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    joined = joined.withColumn("own", F.pmod(F.xxhash64("fp", "id"), F.col("tiles")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     spread = joined.select("id", "fp", "t", "k", "own", F.explode(pair).alias("p"))
     bucket = F.when((F.col("p.i") == 0) & (F.col("p.j") == 0), F.col("k")).otherwise(F.xxhash64("k", "p.i", "p.j"))
