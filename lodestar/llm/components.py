@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     adaptive execution split a hub's rows, and all minima aggregate before they shuffle.
     Self links and null ends are ignored; an empty edge list gives an empty result.
     """
-    e = edges.select("a", "b").where("a is not null and b is not null and a <> b")
+    e = stage(edges.select("a", "b").where("a is not null and b is not null and a <> b"), f"{name}-links")  # read twice
     both = stage(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-edges")
     parents = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("f")).select("node", "f"), f"{name}-f0")
     state, seen = None, None
