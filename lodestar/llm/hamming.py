@@ -164,26 +164,32 @@ def key_masks(n: int, bits: int, radius: int) -> list[int]:
 
 
 def key_table(values: DataFrame, masks: list[int], tile: int, name: str) -> DataFrame:
-    """(bucket, t, side, id, fp, ...): each row of ``values`` once per pigeonhole key, large buckets cut into tiles.
-
-    A bucket of more than ``tile`` members is split by hash into t tiles and becomes the
-    t(t+1)/2 pairs of tiles, so one task never holds more than about two tiles of it while
-    every pair of members still meets in one place.
-    """
+    """(bucket, side, id, fp, ..., t): each row of ``values`` once per pigeonhole key, large buckets cut into tiles."""
     keys = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64)))) for t, m in enumerate(masks)]
     others = [c for c in values.columns if c not in ("id", "fp")]
     keyed = values.select("id", "fp", *others, F.posexplode(F.array(*keys)).alias("t", "k"))
+    return tiled(keyed, ["fp", "id"], tile, name)
+
+
+def tiled(keyed: DataFrame, salt: list[str], tile: int, name: str) -> DataFrame:
+    """(bucket, side, ...): the rows of ``keyed``, those of a key ``k`` in one bucket, large buckets cut into tiles.
+
+    A bucket of more than ``tile`` members is split by hash of ``salt`` into t tiles and becomes
+    the t(t+1)/2 pairs of tiles, so one task never holds more than about two tiles of it while
+    every pair of members still meets in one place.
+    """
+    kept = [c for c in keyed.columns if c != "k"]
     large = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
     large = stage(large.select(F.col("k").alias("bk"), F.ceil(F.col("n") / tile).cast("int").alias("tiles")), f"{name}-sizes")
     if large.count() <= 250_000:  # about 5 MB
         large = F.broadcast(large)
     joined = keyed.join(large, F.col("k") == F.col("bk"), "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    joined = joined.withColumn("own", F.pmod(F.xxhash64("fp", "id"), F.col("tiles")).cast("int"))
+    joined = joined.withColumn("own", F.pmod(F.xxhash64(*salt), F.col("tiles")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    spread = joined.select("id", "fp", *others, "t", "k", "own", F.explode(pair).alias("p"))
+    spread = joined.select(*kept, "k", "own", F.explode(pair).alias("p"))
     bucket = F.when((F.col("p.i") == 0) & (F.col("p.j") == 0), F.col("k")).otherwise(F.xxhash64("k", "p.i", "p.j"))
     side = F.when(F.col("p.i") == F.col("p.j"), F.lit(0)).when(F.col("own") == F.col("p.i"), F.lit(1)).otherwise(F.lit(2))
-    return spread.select(bucket.alias("bucket"), "t", side.cast("int").alias("side"), "id", "fp", *others)
+    return spread.select(bucket.alias("bucket"), side.cast("int").alias("side"), *kept)
 
 
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
