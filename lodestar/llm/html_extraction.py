@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +22,8 @@ HINT = re.compile(r"[a-z]+|\d+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OPAQUE = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select option".split())
+RAW = frozenset("script style textarea title iframe".split())  # hold text only, no tags
+END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in OPAQUE}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("ul ol dl table div section article main body aside nav footer header form".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -60,6 +63,15 @@ def parse(source: str) -> Page:
     parts: list[str] = []
     linked = links = 0
     opaque, depth = "", 0
+    inside: Counter[str] = Counter()  # elements open within the opaque one
+    next_end: dict[str, re.Match | None] = {}
+    at = 0
+
+    def end_of(tag: str) -> re.Match | None:
+        """The next end tag of ``tag``, looked for once until it is passed."""
+        if tag not in next_end or (next_end[tag] and next_end[tag].start() < at):
+            next_end[tag] = END[tag].search(source, at)
+        return next_end[tag]
 
     def element(tag: str, attributes: str) -> None:
         own = [MAYBE.get(tag, len(TAGS)), AT["bias"]]
@@ -110,28 +122,40 @@ def parse(source: str) -> Page:
             if links:
                 linked += len(raw)
 
-    at = 0
-    for m in TOKEN.finditer(source):
+    while m := TOKEN.search(source, at):
         data(source[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
         closing = bool(m[1])
+        empty = m[3].endswith("/")
+        if tag in RAW:
+            if not closing and not empty:
+                if end := end_of(tag):
+                    at = end.end()
+                elif tag in ("script", "style"):  # code to the end of the page
+                    at = len(source)
+            continue
         if opaque:
             if tag == opaque:
-                depth += -1 if closing else not m[3].endswith("/")
+                depth += -1 if closing else not empty
                 if depth <= 0:
                     opaque = ""
-            elif opaque == "head" and tag == "body":
-                opaque = ""
-            if opaque or closing:
                 continue
-            if tag != "body":
+            if opaque == "head" and tag == "body":
+                opaque = ""
+                if closing:
+                    continue
+            elif closing and not inside[tag] and any(t == tag for t, _ in stack):  # an enclosing element ends
+                opaque = ""
+            else:
+                inside[tag] = max(0, inside[tag] + (-1 if closing else not empty))
                 continue
         if tag in OPAQUE:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not empty and end_of(tag):
                 opaque, depth = tag, 1
+                inside.clear()
             continue
         if tag in INLINE:
             if tag == "a":
