@@ -278,20 +278,20 @@ def with_texts(hits: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return cut.select(*row, normalised(F.col("line")).alias("norm"))
 
 
-def line_groups(docs: DataFrame, min_words: int = 5, complete: int = 3, radius: int = 5, similarity: float = 0.8, tile: int = 512) -> DataFrame:
+def line_groups(docs: DataFrame, min_words: int = 5, radius: int = 5, similarity: float = 0.8, tile: int = 512) -> DataFrame:
     """(doc_key, doc_id, line_no, id, root, kept) for every line with a letter or digit.
 
     Equal normalised lines are one node. Nodes of ``min_words`` or more words whose SimHashes
-    share a pigeonhole block and differ in at most ``radius`` bits are compared, and linked
-    where their texts have an edit similarity of ``similarity`` or more. The blocks bring all
-    pairs within ``complete`` bits together and most of those a little further apart. Of each connected group the occurrence
-    with the smallest (doc_id, document key, line number) is kept; a null doc_id comes first.
+    differ in at most ``radius`` bits are compared, and linked where their texts have an edit
+    similarity of ``similarity`` or more. The pigeonhole keys bring all pairs within the radius
+    together, whatever the number of lines. Of each connected group the occurrence with the
+    smallest (doc_id, document key, line number) is kept; a null doc_id comes first.
     """
     lines = stage(line_table(docs, min_words), "lines")
     occurrence = F.struct(F.col("doc_id"), F.col("doc_key"), F.col("line_no"))
     nodes = stage(lines.where("id is not null").groupBy("id", "fp").agg(F.min(occurrence).alias("first"), F.max("words").alias("words"), F.max("chars").alias("chars"), F.count(F.lit(1)).alias("n")), "line-nodes")
     fuzzy = nodes.where(F.col("words") >= min_words)
-    masks = key_masks(fuzzy.count(), 64, complete)
+    masks = key_masks(fuzzy.count(), 64, radius)
     hits = stage(partnered(fuzzy.select("id", "fp", "words", "chars"), masks, radius, similarity, tile).drop("words", "chars"), "line-hits")
     roots = connected_components(verified_links(with_texts(hits, fuzzy, docs), masks, radius, similarity), "lines")
     rooted = stage(nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked")), "line-rooted")
@@ -311,7 +311,7 @@ def normalised(line: Column) -> Column:
     return run(line)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, complete: int = 3, radius: int = 5, similarity: float = 0.8) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with extra columns __dropped and a ``text`` that keeps one occurrence of each group.
 
     Lines are what \\n separates. A document keeps its other lines as they were, in order; it
@@ -319,7 +319,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, complete: int = 3, radius:
     one occurrence: what one keeps, all keep. An empty table gives no rows; other columns are
     carried.
     """
-    groups = line_groups(docs, min_words, complete, radius, similarity)
+    groups = line_groups(docs, min_words, radius, similarity)
     dropped = stage(groups.where("not kept").select("doc_key", "line_no").distinct().groupBy(F.col("doc_key").alias("__key")).agg(F.collect_set("line_no").alias("__lines")), "line-dropped")
     held = docs.withColumn("__doc_key", text_key(docs)).join(dropped, F.col("__doc_key") == F.col("__key"), "left")
     gone = F.map_from_entries(F.transform("__lines", lambda i: F.struct(i, F.lit(True))))
