@@ -6,9 +6,9 @@ import re
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -16,15 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm.components import connected_components
-from lodestar.llm.hamming import LINK, key_masks, key_table, majority_bits, whole_buckets
+from lodestar.llm.hamming import LINK, majority_bits, tiled, whole_buckets
 from lodestar.llm.staging import stage
-from lodestar.llm.words import word_bounds, xxh64_words
+from lodestar.llm.words import P1, P2, P3, word_bounds, xxh64_words
 
 WORD = re.compile(r"[^\W_]+")
-LONG_LINE = 400
 CHARS = 1 << 20
+#: Pigeonhole keys by number of words: from, below, classes of words, classes to a key. Where ranges overlap a line has both kinds of keys.
+LEVELS = ((0, 10, 4, 2), (8, 16, 4, 1), (12, 1 << 62, 9, 1))
+LONG_WORD, FEW, IN_BLOCK = 4, 4, 2
 LINE = T.StructType(
-    [T.StructField("doc_key", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("chars", T.IntegerType())]
+    [T.StructField("doc_key", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("chars", T.IntegerType()), T.StructField("blocks", T.ArrayType(T.LongType()))]
 )
 
 
@@ -33,7 +35,7 @@ def normalise(line: str) -> str:
     return " ".join(WORD.findall(line.lower()))
 
 
-def edit_distance(a: list | str, b: list | str) -> int:
+def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance, bit-parallel: one machine-independent big integer holds a column."""
     if len(a) > len(b):
         a, b = b, a
@@ -58,20 +60,37 @@ def edit_distance(a: list | str, b: list | str) -> int:
 
 
 def similar(a: str, b: str, least: float) -> bool:
-    """Edit similarity 1 - distance / longer length, in characters; in words where a line passes LONG_LINE."""
-    x, y = (a, b) if max(len(a), len(b)) <= LONG_LINE else (a.split(), b.split())
-    longer = max(len(x), len(y))
-    if min(len(x), len(y)) < least * longer:
+    """Whether 1 - edit distance / longer length, in characters, is ``least`` or more."""
+    longer = max(len(a), len(b))
+    most = int((1 - least) * longer + 1e-9)
+    if longer - min(len(a), len(b)) > most:
         return False
-    return edit_distance(x, y) <= (1 - least) * longer + 1e-9
+    lo = shared_prefix(a, b)
+    a, b = a[lo:], b[lo:]
+    hi = shared_prefix(a[::-1], b[::-1])
+    a, b = a[: len(a) - hi], b[: len(b) - hi]
+    if max(len(a), len(b)) <= most:
+        return True
+    return edit_distance(a, b) <= most
+
+
+def shared_prefix(a: str, b: str) -> int:
+    """The number of characters with which both begin."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
 
 
 class Sketch:
-    """Counts of pieces of lines, hashed to BINS, that rule out most dissimilar pairs without an edit distance.
+    """Counts of three-character pieces, hashed to BINS, that rule out most dissimilar pairs without an edit distance.
 
-    An edit spoils at most q pieces of q units each, so similar lines share nearly all of them;
-    hashing can only make lines look more alike, never less. Pieces are three characters, or
-    single words where a pair is compared by words.
+    An edit spoils at most three pieces, so similar lines share nearly all of them; hashing can
+    only make lines look more alike, never less.
     """
 
     BINS = 512
@@ -79,30 +98,29 @@ class Sketch:
     def __init__(self, lines: list[str], least: float) -> None:
         self.least = least
         self.chars = np.array([len(x) for x in lines])
-        self.words = np.array([x.count(" ") + 1 for x in lines])
-        self.by_chars, self.by_words = np.zeros((2, len(lines), self.BINS), np.uint16)
+        self.pieces = np.zeros((len(lines), self.BINS), np.uint16)
         for i, x in enumerate(lines):
-            if 2 < len(x) <= LONG_LINE:
+            if len(x) > 2:
                 c = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-                self.by_chars[i] = self.bins(c[:-2] * 0x9E3779B1 + c[1:-1] * 0x85EBCA77 + c[2:] * 0xC2B2AE3D)
-            self.by_words[i] = self.bins(np.array([xxhash.xxh32_intdigest(w) for w in x.encode("utf-8", "surrogatepass").split()], np.uint64))
-
-    def bins(self, h: np.ndarray) -> np.ndarray:
-        return np.minimum(np.bincount(((h ^ (h >> np.uint64(15))) % np.uint64(self.BINS)).astype(np.int64), minlength=self.BINS), 65535).astype(np.uint16)
+                h = c[:-2] * 0x9E3779B1 + c[1:-1] * 0x85EBCA77 + c[2:] * 0xC2B2AE3D
+                self.pieces[i] = np.minimum(np.bincount(((h ^ (h >> np.uint64(15))) % np.uint64(self.BINS)).astype(np.int64), minlength=self.BINS), 65535)
 
     def may_be_similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.zeros(len(a), bool)
-        long = np.maximum(self.chars[a], self.chars[b]) > LONG_LINE
-        for chosen, size, counts, q in ((~long, self.chars, self.by_chars, 3), (long, self.words, self.by_words, 1)):
-            all_rows = np.flatnonzero(chosen & (np.minimum(size[a], size[b]) >= self.least * np.maximum(size[a], size[b]) - 1e-9))
-            for lo in range(0, len(all_rows), 4096):
-                at = all_rows[lo : lo + 4096]
-                most = np.maximum(size[a[at]], size[b[at]])
-                shared = np.minimum(counts[a[at]], counts[b[at]]).sum(axis=1, dtype=np.int64)
-                out[at] = shared >= most - (q - 1) - q * np.floor((1 - self.least) * most + 1e-9)
+        rows = np.flatnonzero(long_enough(self.chars[a], self.chars[b], self.least))
+        for lo in range(0, len(rows), 4096):
+            at = rows[lo : lo + 4096]
+            most = np.maximum(self.chars[a[at]], self.chars[b[at]])
+            shared = np.minimum(self.pieces[a[at]], self.pieces[b[at]]).sum(axis=1, dtype=np.int64)
+            out[at] = (shared >= most - 2 - 3 * np.floor((1 - self.least) * most + 1e-9)) | (most >= 65535)
         return out
 
 
+def long_enough(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Pairs of lengths that leave room for the similarity."""
+    return np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
+
+
 def text_key(docs: DataFrame) -> Column:
     """Tells rows apart that share a doc_id; rows equal in doc_id and text share it."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -124,39 +142,99 @@ def words_only(text: str) -> bytes:
     return blanked()[codes].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
 
 
+def token_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of each word of UTF-8 bytes; Chinese and Japanese characters, written without blanks, are words each."""
+    inside = (data != ord(" ")) & (data != ord("\n"))
+    alone = ((data >= 0xE3) & (data <= 0xE9)).nonzero()[0]  # lead bytes of U+3000 to U+9FFF
+    if not len(alone):
+        return word_bounds(inside)
+    cut = np.zeros(len(data) + 3, bool)
+    cut[alone] = cut[alone + 3] = True
+    cut = cut[: len(data)] & inside
+    last = np.append(~inside[1:], True) & inside
+    cut[0:1] |= inside[0:1]
+    cut[1:] |= inside[1:] & ~inside[:-1]
+    first = np.flatnonzero(cut)
+    stops = np.flatnonzero(last) + 1
+    return first, np.minimum(np.append(first[1:], len(data)), stops[np.searchsorted(stops, first, "right")])
+
+
+def block_keys(hashes: np.ndarray, line: np.ndarray, n: int, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, keys): the keys of each line's blocks, lines in order.
+
+    A line's words fall into classes by their hash, and a block is the SimHash of the words of
+    one class (in short lines of two), so an edit changes the blocks of the words it touches
+    and leaves all others as they are: by the pigeonhole principle lines that differ in fewer
+    classes than there are blocks share a block, bit for bit; short lines do where one word is
+    replaced by another. Only ``content`` words count where a line has FEW of them, and blocks
+    of IN_BLOCK words or more; one word alone would bring unrelated lines together.
+    """
+    enough = np.bincount(line[content], minlength=n) >= FEW
+    chosen = content | ~enough[line]
+    hashes, line = hashes[chosen], line[chosen]
+    words = np.bincount(line, minlength=n)
+    kind = (hashes ^ hashes >> np.uint64(29)) * P2 >> np.uint64(40)
+    rows, keys = [], []
+    for level, (least, below, classes, together) in enumerate(LEVELS):
+        own = ((words >= least) & (words < below))[line]
+        chosen = list(combinations(range(classes), together))
+        blocks = len(chosen)
+        member = np.array([[i for i, x in enumerate(chosen) if c in x] for c in range(classes)])
+        slot = (line[own, None] * blocks + member[(kind[own] % np.uint64(classes)).astype(np.int64)]).ravel()
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order]
+        starts = np.flatnonzero(np.diff(slot, prepend=-1))
+        bits = majority_bits(np.repeat(hashes[own], member.shape[1])[order], starts)
+        held = np.diff(np.append(starts, len(slot))) >= IN_BLOCK
+        slot, bits = slot[starts][held], bits[held]
+        mixed = (bits ^ (np.uint64(level * 64) + (slot % blocks).astype(np.uint64)) * P1) * P2
+        rows.append(slot // blocks)
+        keys.append((mixed ^ mixed >> np.uint64(32)) * P3)
+    rows, keys = np.concatenate(rows), np.concatenate(keys)
+    order = np.argsort(rows, kind="stable")
+    return np.searchsorted(rows[order], np.arange(n + 1)), keys[order]
+
+
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row per line: (doc_key, doc_id, line_no, id, fp, words, chars), the last two of the normalised line.
+    """One row per line: (doc_key, doc_id, line_no, id, fp, words, chars, blocks), all but the first three of the normalised line.
 
-    ``id`` is a hash of the normalised line and ``fp`` its SimHash over words. A line under
-    ``min_words`` words recurs across documents by chance, so its id also holds the document:
-    such lines are compared within their document only. Lines without a letter or digit have
-    no id and are never repeated content.
+    ``id`` is a hash of the normalised line, ``fp`` its SimHash over all words and ``blocks``
+    the keys of its SimHash blocks (``block_keys``), none for lines under ``min_words`` words.
+    Lines without a letter or digit have no id and are never repeated content.
     """
 
     def lines(keys: list[int], ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
         data = np.frombuffer(words_only("\n".join(texts)), np.uint8)
-        inside = (data != ord(" ")) & (data != ord("\n"))
-        first, end = word_bounds(inside)
+        first, end = token_bounds(data)
         begins = np.append(0, np.flatnonzero(data == ord("\n")) + 1)
         starts = np.searchsorted(first, begins)
         counts = np.diff(np.append(starts, len(first)))
-        fps = majority_bits(xxh64_words(data, first, end), starts)
-        spaced = np.append(data, np.uint8(ord(" ")))  # the words, each with the blank or line end behind it
-        spaced[end] = ord(" ")
-        inside = np.append(inside, False)
-        inside[end] = True
-        spaced = spaced[inside]
+        hashes = xxh64_words(data, first, end)
+        fps = majority_bits(hashes, starts)
+        points = np.append(0, np.cumsum((data & 0xC0) != 0x80))  # bytes that begin a code point
+        long = points[end] - points[first] >= LONG_WORD
+        line = np.repeat(np.arange(len(counts)), counts)
+        some = (counts >= min_words)[line]
+        offsets, blocks = block_keys(hashes[some], line[some], len(counts), long[some])
+        spaced = np.append(data, np.uint8(ord(" ")))  # the runs, each with the blank or line end behind it
+        runs, stops = word_bounds((data != ord(" ")) & (data != ord("\n")))
+        spaced[stops] = ord(" ")
+        kept = np.append((data != ord(" ")) & (data != ord("\n")), False)
+        kept[stops] = True
+        spaced = spaced[kept]
         packed = spaced.tobytes()
-        points = np.append(0, np.cumsum((spaced & 0xC0) != 0x80))  # bytes that begin a code point
-        at = np.append(0, np.cumsum(end - first + 1))
+        at = np.append(0, np.cumsum(stops - runs + 1))
+        run_starts = np.searchsorted(runs, np.append(begins, len(data) + 1))
+        lo, hi = at[run_starts[:-1]], at[run_starts[1:]]
+        points = np.append(0, np.cumsum((spaced & 0xC0) != 0x80))
+        chars = np.maximum(points[hi] - points[lo] - 1, 0)
+        names = np.array([digest(packed[a : b - 1]) if a < b else 0 for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64)
         per_text = np.array([x.count("\n") + 1 for x in texts])
         key = np.repeat(np.array(keys, np.int64), per_text)
-        seeds = np.where(counts >= min_words, np.uint64(0), key.view(np.uint64)).tolist()
-        chars = np.maximum(points[at[starts + counts]] - points[at[starts]] - 1, 0)
-        names = np.array([digest(packed[lo : hi - 1], seed) if lo < hi else 0 for lo, hi, seed in zip(at[starts].tolist(), at[starts + counts].tolist(), seeds, strict=True)], np.uint64)
         doc_id = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), per_text)))
         number = np.arange(len(key)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        return pa.RecordBatch.from_arrays([pa.array(key), doc_id, pa.array(number.astype(np.int32)), pa.array(names.view(np.int64), mask=counts == 0), pa.array(fps.view(np.int64)), pa.array(counts.astype(np.int32)), pa.array(chars.astype(np.int32))], names=LINE.names)
+        listed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(blocks.view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(key), doc_id, pa.array(number.astype(np.int32)), pa.array(names.view(np.int64), mask=counts == 0), pa.array(fps.view(np.int64)), pa.array(counts.astype(np.int32)), pa.array(chars.astype(np.int32)), listed], names=LINE.names)
 
     digest = xxhash.xxh64_intdigest
 
@@ -173,34 +251,12 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select(text_key(docs).alias("doc_key"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, LINE)
 
 
-def partnered(values: DataFrame, masks: list[int], radius: int, similarity: float, tile: int) -> DataFrame:
-    """(bucket, t, side, id, fp, ...): the rows of the pigeonhole table with a partner in their bucket.
+def near_pairs(fps: np.ndarray, chars: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (a < b) of one bucket (sorted) that may be similar; of tiles 1 and 2 only across.
 
-    A partner is within the radius and, in the unit that ``similar`` would compare, long enough
-    to be similar.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_buckets(batches, "bucket"):
-            bucket, side, t, fps, words, chars = (table.column(c).to_numpy() for c in ("bucket", "side", "t", "fp", "words", "chars"))
-            hit = np.zeros(len(bucket), bool)
-            for a, b in close_pairs(fps.view(np.uint64), bucket, side, t, masks, radius):
-                long = np.maximum(chars[a], chars[b]) > LONG_LINE
-                x, y = (np.where(long, words[i], chars[i]) for i in (a, b))
-                fit = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
-                hit[a[fit]] = hit[b[fit]] = True
-            if hit.any():
-                yield from table.filter(pa.array(hit)).to_batches()
-
-    keyed = key_table(values, masks, tile, "lines")
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, keyed.schema)
-
-
-def close_pairs(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, t: np.ndarray, masks: list[int], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (a < b) of one bucket (sorted) with at most ``radius`` differing bits; of tiles 1 and 2 only across.
-
-    Row i meets row i + 1, then i + 2, and so on while its bucket lasts, all rows at a time. A
-    pair that shares several keys is given in the bucket of the first of them only.
+    At most ``radius`` bits of their SimHashes over all words differ, and their lengths leave
+    room for the similarity. Row i meets row i + 1, then i + 2, and so on while its bucket
+    lasts, all rows at a time; pairs further apart come later.
     """
     if not len(fps):
         return
@@ -210,108 +266,171 @@ def close_pairs(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, t: np.nda
     rows = np.flatnonzero(left)
     step = 1
     while len(rows):
-        apart = fps[rows] ^ fps[rows + step]
-        near = np.flatnonzero((np.bitwise_count(apart) <= radius) & ((side[rows] != side[rows + step]) | (side[rows] == 0)))
-        if len(near):
-            first = np.full(len(near), len(masks))
-            for k in range(len(masks) - 1, -1, -1):
-                first[(apart[near] & np.uint64(masks[k])) == 0] = k
-            near = near[first == t[rows[near]]]
-            yield rows[near], rows[near] + step
+        near = (np.bitwise_count(fps[rows] ^ fps[rows + step]) <= radius) & ((side[rows] != side[rows + step]) | (side[rows] == 0))
+        a = rows[near]
+        a = a[long_enough(chars[a], chars[a + step], similarity)]
+        if len(a):
+            yield a, a + step
         step += 1
         rows = rows[left[rows] >= step]
 
 
-def verified_links(hits: DataFrame, masks: list[int], radius: int, similarity: float) -> DataFrame:
-    """Edges (a, b) between lines in one bucket that are within the radius and edit-similar.
+def block_hits(nodes: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
+    """(bucket, side, id, fp, chars, partner): the lines that share a block with one that may be similar.
+
+    ``partner`` is the first such line of the bucket, null for the first itself, so the pairs
+    (partner, id) hold a bucket's likely groups together with at most one pair to a line.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_buckets(batches, "bucket"):
+            bucket, side, ids, fps, chars = (table.column(c).to_numpy() for c in ("bucket", "side", "id", "fp", "chars"))
+            hit, partner = np.zeros(len(ids), bool), np.full(len(ids), -1)
+            for a, b in near_pairs(fps.view(np.uint64), chars, bucket, side, radius, similarity):
+                hit[a] = hit[b] = True
+                partner[b] = a  # steps grow, so the first row of all stays
+            if hit.any():
+                named = pa.array(ids[partner], mask=partner < 0)
+                yield from table.append_column("partner", named).filter(pa.array(hit)).to_batches()
+
+    keyed = tiled(nodes.select("id", "fp", "chars", F.explode("blocks").alias("k")), ["fp", "id"], tile, "lines")
+    schema = T.StructType([*keyed.schema.fields, T.StructField("partner", T.LongType())])
+    return keyed.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, schema)
+
+
+def representative_texts(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, norm) for ``ids(id)``: the normalised line, cut from the document of its first occurrence."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, places in zip(batch.column(0), batch.column(1), strict=True):
+                lines, at = (text.as_py() or "").split("\n"), places.as_py()
+                found = words_only("\n".join(lines[p["line_no"]] for p in at)).split(b"\n")
+                norm = [b" ".join(x.split()).decode("utf-8", "surrogatepass") for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([p["id"] for p in at], pa.int64()), pa.array(norm, pa.string())], names=["id", "norm"])
+
+    wanted = ids.select(F.col("id").alias("wi"))
+    places = nodes.join(wanted, F.col("id") == F.col("wi")).select("id", F.col("first.doc_key").alias("wk"), F.col("first.line_no").alias("line_no"))
+    per_doc = places.groupBy("wk").agg(F.collect_list(F.struct("id", "line_no")).alias("at"))
+    own = docs.select(text_key(docs).alias("doc_key"), F.col("text").cast("string").alias("text"))
+    return own.join(per_doc, F.col("doc_key") == F.col("wk")).select("text", "at").mapInArrow(cut, "id long, norm string").dropDuplicates(["id"])
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs(a, b)`` whose lines are edit-similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            sketch, n = Sketch(x + y, similarity), np.arange(len(x))
+            ok = sketch.may_be_similar(n, n + len(x))
+            ok = [k and similar(p, q, similarity) for k, p, q in zip(ok.tolist(), x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    one, two = (texts.select(F.col("id").alias(f"i{c}"), F.col("norm").alias(f"n{c}")) for c in "ab")
+    return pairs.join(one, F.col("a") == F.col("ia")).join(two, F.col("b") == F.col("ib")).select("a", "b", "na", "nb").mapInArrow(run, LINK)
+
+
+def unsettled(hits: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """The rows of ``hits`` with ``part`` that may be similar to one of another part, their partner aside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_buckets(batches, "bucket"):
+            bucket, side, ids, fps, chars, part = (table.column(c).to_numpy() for c in ("bucket", "side", "id", "fp", "chars", "part"))
+            partner = table.column("partner").fill_null(0).to_numpy()
+            known = table.column("partner").is_valid().to_numpy()
+            left = np.zeros(len(ids), bool)
+            for a, b in near_pairs(fps.view(np.uint64), chars, bucket, side, radius, similarity):
+                open_ = (part[a] != part[b]) & ~(known[b] & (partner[b] == ids[a]))
+                left[a[open_]] = left[b[open_]] = True
+            if left.any():
+                yield from table.filter(pa.array(left)).to_batches()
 
-    ``hits`` are rows (bucket, t, side, id, fp, norm) that have a partner. A pair goes to the edit
-    distance only if it shares as many pieces as the similarity implies (``Sketch``), and not if
-    it is connected already, which loses no connection and spares a group of n variants its
-    n * n / 2 comparisons.
+    return hits.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, hits.schema)
+
+
+def links_across(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Edges between edit-similar lines of a bucket whose parts differ.
+
+    A pair goes to the edit distance only if it shares as many pieces as the similarity implies
+    (``Sketch``), and not if its bucket has connected it already, which loses no connection.
     """
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_buckets(batches, "bucket", 1 << 12):
-            bucket, ids, side, t, fps = (table.column(c).to_numpy() for c in ("bucket", "id", "side", "t", "fp"))
+            bucket, side, ids, fps, chars, part = (table.column(c).to_numpy() for c in ("bucket", "side", "id", "fp", "chars", "part"))
             norm = table.column("norm").to_pylist()
             sketch = Sketch(norm, similarity)
-            root = list(range(len(ids)))
+            parent: dict[int, int] = {}
 
             def find(i: int) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
+                while (up := parent.get(i, i)) != i:
+                    parent[i] = parent.get(up, up)
+                    i = up
                 return i
 
             out: list[tuple[int, int]] = []
-
-            def join(a: np.ndarray, b: np.ndarray) -> None:
+            for a, b in near_pairs(fps.view(np.uint64), chars, bucket, side, radius, similarity):
+                ok = part[a] != part[b]
+                a, b = a[ok], b[ok]
                 ok = sketch.may_be_similar(a, b)
                 for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
-                    p, q = find(i), find(j)
+                    p, q = find(int(part[i])), find(int(part[j]))
                     if p != q and similar(norm[i], norm[j], similarity):
-                        root[max(p, q)] = min(p, q)
-                        out.append((int(ids[i]), int(ids[j])))
-
-            for a, b in close_pairs(fps.view(np.uint64), bucket, side, t, masks, radius):
-                join(a, b)
+                        parent[max(p, q)] = min(p, q)
+                        out.append((int(part[i]), int(part[j])))
             if out:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return hits.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, LINK).distinct()
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, LINK).distinct()
 
 
-def with_texts(hits: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``hits`` with ``norm``, cut from the document that holds the line's first occurrence.
+def line_roots(nodes: DataFrame, docs: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
+    """(node, root) of every line of ``nodes`` that is linked to another.
 
-    The rows go to the documents, so that a text moves once by its document and then straight
-    to its buckets.
+    First each line is verified against its partner in every bucket, which joins most of a
+    group of any size with a few pairs to a line; then the lines of a bucket that this left in
+    different parts are compared with each other.
     """
-    places = hits.join(nodes.select(F.col("id").alias("wi"), F.col("first.doc_key").alias("wk"), F.col("first.line_no").alias("wl")), F.col("id") == F.col("wi"))
-    row = ["bucket", "t", "side", "id", "fp"]
-    per_doc = places.groupBy("wk").agg(F.collect_list(F.struct(*row, "wl")).alias("at"))
-    own = docs.select(text_key(docs).alias("doc_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).dropDuplicates(["doc_key"])
-    found = own.join(per_doc, F.col("doc_key") == F.col("wk")).withColumn("lines", F.split("text", "\n", -1))
-    cut = found.select(F.explode(F.transform("at", lambda x: F.struct(*(x[c].alias(c) for c in row), F.get(F.col("lines"), x["wl"]).alias("line")))).alias("x")).select("x.*")
-    return cut.select(*row, normalised(F.col("line")).alias("norm"))
-
-
-def line_groups(docs: DataFrame, min_words: int = 5, radius: int = 5, similarity: float = 0.8, tile: int = 512) -> DataFrame:
+    hits = stage(block_hits(nodes, radius, similarity, tile), "line-hits")
+    texts = stage(representative_texts(hits.select("id").distinct(), nodes, docs), "line-texts")
+    pairs = hits.where("partner is not null").select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).distinct()
+    parts = connected_components(similar_pairs(pairs, texts, similarity), "line-parts")
+    placed = hits.join(parts, F.col("id") == F.col("node"), "left").select(*hits.columns, F.coalesce("root", "id").alias("part"))
+    left = stage(unsettled(placed, radius, similarity), "line-unsettled")
+    if left.isEmpty():
+        return parts
+    dealt = left.drop("partner").join(texts.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).drop("i")
+    merged = connected_components(links_across(dealt, radius, similarity), "line-merged").select(F.col("node").alias("old"), F.col("root").alias("new"))
+    own = parts.unionByName(left.join(parts, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("node"), F.col("id").alias("root")).distinct())
+    moved = own.join(merged, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    return moved
+
+
+def line_groups(docs: DataFrame, min_words: int = 5, radius: int = 20, similarity: float = 0.8, tile: int = 512) -> DataFrame:
     """(doc_key, doc_id, line_no, id, root, kept) for every line with a letter or digit.
 
-    Equal normalised lines are one node. Nodes of ``min_words`` or more words whose SimHashes
-    differ in at most ``radius`` bits are compared, and linked where their texts have an edit
-    similarity of ``similarity`` or more. The pigeonhole keys bring all pairs within the radius
-    together, whatever the number of lines. Of each connected group the occurrence with the
-    smallest (doc_id, document key, line number) is kept; a null doc_id comes first.
+    Equal normalised lines are one node, whatever their length and wherever they stand. Nodes
+    of ``min_words`` or more words that share a SimHash block, and whose SimHashes over all
+    words differ in at most ``radius`` bits, are compared, and linked where their texts have an
+    edit similarity of ``similarity`` or more in characters. What is compared doesn't depend on
+    the number of lines. Of each connected group the occurrence with the smallest (doc_id,
+    document key, line number) is kept; a null doc_id comes first. ``id`` and ``fp`` together
+    name a line, so two lines whose ids collide stay apart.
     """
     lines = stage(line_table(docs, min_words), "lines")
     occurrence = F.struct(F.col("doc_id"), F.col("doc_key"), F.col("line_no"))
-    nodes = stage(lines.where("id is not null").groupBy("id", "fp").agg(F.min(occurrence).alias("first"), F.max("words").alias("words"), F.max("chars").alias("chars"), F.count(F.lit(1)).alias("n")), "line-nodes")
-    fuzzy = nodes.where(F.col("words") >= min_words)
-    masks = key_masks(fuzzy.count(), 64, radius)
-    hits = stage(partnered(fuzzy.select("id", "fp", "words", "chars"), masks, radius, similarity, tile).drop("words", "chars"), "line-hits")
-    roots = connected_components(verified_links(with_texts(hits, fuzzy, docs), masks, radius, similarity), "lines")
-    rooted = stage(nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked")), "line-rooted")
-    firsts = stage(rooted.where("linked").groupBy("root").agg(F.min("first").alias("group_first")), "line-firsts").select(F.col("root").alias("r"), "group_first")
-    repeated = stage(rooted.where("linked or n > 1").join(firsts, F.col("root") == F.col("r"), "left").select(F.col("id").alias("g"), "root", F.coalesce("group_first", "first").alias("group_first")), "line-repeated")
-    return lines.where("id is not null").join(repeated, F.col("id") == F.col("g"), "left").select("doc_key", "doc_id", "line_no", "id", F.coalesce("root", "id").alias("root"), (F.col("group_first").isNull() | (F.col("group_first") == occurrence)).alias("kept"))
-
-
-def normalised(line: Column) -> Column:
-    """As ``normalise``, on a column."""
-
-    @F.pandas_udf(T.StringType())
-    def run(s):  # noqa: ANN001, ANN202
-        lines = words_only("\n".join(s.fillna(""))).split(b"\n")
-        return pd.Series([b" ".join(x.split()).decode("utf-8", "surrogatepass") for x in lines])
-
-    return run(line)
+    nodes = stage(lines.where("id is not null").groupBy("id", "fp").agg(F.min(occurrence).alias("first"), F.first("chars").alias("chars"), F.first("blocks").alias("blocks"), F.count(F.lit(1)).alias("n")), "line-nodes")
+    roots = line_roots(nodes, docs, radius, similarity, tile)
+    rooted = stage(nodes.drop("blocks", "chars").join(roots, F.col("id") == F.col("node"), "left").select("id", "fp", "first", "n", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked")).where("linked or n > 1"), "line-rooted")
+    firsts = rooted.where("linked").groupBy("root").agg(F.min("first").alias("group_first")).select(F.col("root").alias("r"), "group_first")
+    repeated = stage(rooted.join(firsts, F.col("linked") & (F.col("root") == F.col("r")), "left").select(F.col("id").alias("g"), F.col("fp").alias("gf"), "root", F.coalesce("group_first", "first").alias("group_first")), "line-repeated")
+    same = (F.col("id") == F.col("g")) & (F.col("fp") == F.col("gf"))
+    return lines.drop("blocks").where("id is not null").join(repeated, same, "left").select("doc_key", "doc_id", "line_no", "id", F.coalesce("root", "id").alias("root"), (F.col("group_first").isNull() | (F.col("group_first") == occurrence)).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 5, similarity: float = 0.8) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 20, similarity: float = 0.8) -> DataFrame:
     """``docs`` with extra columns __dropped and a ``text`` that keeps one occurrence of each group.
 
     Lines are what \\n separates. A document keeps its other lines as they were, in order; it

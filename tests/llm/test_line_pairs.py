@@ -1,27 +1,88 @@
-"""Operator 10's candidates at the radius it links at."""
+"""What operator 10 compares, against the edit similarity of all pairs."""
 
+import collections
 import random
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lodestar.llm import line_dedup
-from lodestar.llm.hamming import key_masks
-from lodestar.llm.staging import stage
-
-
-@pytest.mark.parametrize("counted", [900, 1 << 25])
-def test_no_pair_within_the_radius_is_lost(spark, monkeypatch, counted):
-    """Pairs 1 to 5 bits apart, with the keys that line_groups takes for few and for many lines."""
-    rnd = random.Random(4)
-    rows = []
-    for i in range(150):
-        fp = rnd.getrandbits(64)
-        for x in (fp, fp ^ sum(1 << b for b in rnd.sample(range(64), i % 5 + 1))):
-            rows.append((len(rows), x - (x >> 63 << 64), 20, 100))
-    values = spark.createDataFrame(rows, "id long, fp long, words int, chars int")
-    taken = []
-    monkeypatch.setattr(line_dedup, "key_masks", lambda n, bits, radius: taken.append(key_masks(counted, bits, radius)) or taken[-1])
-    line_dedup.line_groups(spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"))
-    hits = stage(line_dedup.partnered(values, taken[0], 5, 0.8, 512), "test-hits")
-    assert hits.agg(F.count_distinct("id")).first()[0] == len(rows)
+from lodestar.llm.words import xxh64_words
+
+SF = "/root/testdata/sf0.001"
+
+
+def roots(spark, docs):
+    rows = line_dedup.line_groups(docs).select("doc_id", "line_no", "root").collect()
+    return {(r["doc_id"], r["line_no"]): r["root"] for r in rows}
+
+
+def alike(a, b):
+    longer = max(len(a), len(b))
+    return min(len(a), len(b)) >= 0.8 * longer and line_dedup.edit_distance(a, b) <= int(0.2 * longer + 1e-9)
+
+
+def test_recall_on_documents(spark):
+    """Of all pairs of a drawn line and any other line with an edit similarity of 0.8, nine in ten are in one group."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    at = {}
+    for r in docs.collect():
+        for no, line in enumerate((r["text"] or "").split("\n")):
+            at.setdefault(line_dedup.normalise(line), (r["doc_id"], no))
+    lines = [x for x in at if x.count(" ") >= 4]
+    sketch = line_dedup.Sketch(lines, 0.8)
+    asked = random.Random(1).sample(range(len(lines)), 400)
+    everyone = np.arange(len(lines))
+    pairs = [(i, j) for i in asked for j in everyone[sketch.may_be_similar(np.full(len(lines), i), everyone)].tolist() if i != j and alike(lines[i], lines[j])]
+    root = roots(spark, docs)
+    found = sum(root[at[lines[i]]] == root[at[lines[j]]] for i, j in pairs)
+    assert len(pairs) > 15 and found >= 0.9 * len(pairs)
+
+
+def test_recall_on_edited_lines(spark):
+    """Words replaced, left out and put in, up to the least similarity that counts."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("abcdefghilmnoprstu", k=rnd.choice([2, 3, 4, 5, 6, 7, 8, 9])))
+    rows, total = [], 0
+    while total < 600:
+        words = [word() for _ in range(rnd.choice([5, 7, 10, 14, 20, 40, 80]))]
+        rate, other = rnd.choice([0.03, 0.06, 0.1, 0.15, 0.2]), []
+        for w in words:
+            r = rnd.random() / rate
+            other += [w] if r >= 1 else [word()] if r < 0.6 else [] if r < 0.8 else [w, word()]
+        a, b = " ".join(words), " ".join(other)
+        if a != b and len(other) >= 5 and alike(a, b):
+            rows += [(2 * total, a), (2 * total + 1, b)]
+            total += 1
+    root = roots(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(root[2 * i, 0] == root[2 * i + 1, 0] for i in range(total)) >= 0.9 * total
+
+
+def test_short_lines_and_unspaced_scripts(spark):
+    rows = [(1, "Read more\n你好世界这是一个很长的句子没有空格"), (2, "read  more!\n你好世界这是一个很长的句子也没有空格"), (3, "Read mote\n完全不同的另外一句话在这里出现了"), (4, None), (5, "")]
+    root = roots(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert root[1, 0] == root[2, 0] != root[3, 0] and root[1, 1] == root[2, 1] != root[3, 1]
+
+
+def test_words_of_unspaced_scripts():
+    data = np.frombuffer("ab 你好c\n世 d".encode(), np.uint8)
+    first, end = line_dedup.token_bounds(data)
+    assert [data[a:b].tobytes().decode() for a, b in zip(first, end)] == ["ab", "你", "好", "c", "世", "d"]
+
+
+@pytest.mark.parametrize(("words", "least"), [(5, 0.7), (11, 0.9), (14, 0.9), (30, 0.9)])
+def test_blocks_outlive_other_edits(words, least):
+    """A line keeps the blocks of the classes that an edit doesn't touch."""
+    rnd = random.Random(words)
+    texts = []
+    for _ in range(200):
+        own = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(words)]
+        texts += [" ".join(own), " ".join([*own[:-1], "changed"])]
+    data = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    first, end = line_dedup.token_bounds(data)
+    line = np.cumsum(data == ord("\n"))[first]
+    offsets, keys = line_dedup.block_keys(xxh64_words(data, first, end), line, len(texts), np.ones(len(first), bool))
+    own = [set(keys[offsets[i] : offsets[i + 1]].tolist()) for i in range(len(texts))]
+    assert sum(bool(own[i] & own[i + 1]) for i in range(0, len(own), 2)) >= least * 200
+    strangers = collections.Counter(k for i in range(0, len(own), 2) for k in own[i])
+    assert max(strangers.values()) == 1

@@ -423,30 +423,19 @@ def test_edit_distance():
     for _ in range(300):
         a, b = ("".join(rnd.choices("abc", k=rnd.randint(0, 90))) for _ in "ab")
         assert line_dedup.edit_distance(a, b) == plain_distance(a, b)
-    assert line_dedup.edit_distance("x y".split(), "x z y".split()) == 1
 
 
-def plain_similarity(a, b):
-    a, b = (a, b) if max(len(a), len(b)) <= line_dedup.LONG_LINE else (a.split(), b.split())
-    return 1 - plain_distance(a, b) / max(len(a), len(b))
-
-
-def plain_lines(rows, min_words=5, radius=5, similarity=0.8):
-    """(doc_id, text) -> kept text, by all pairs of distinct normalised lines that share one of four fingerprint blocks."""
-    occurrences, fps = collections.defaultdict(list), {}
+def plain_lines(rows, min_words=5, similarity=0.8):
+    """(doc_id, text) -> kept text, by the edit distance of all pairs of distinct normalised lines."""
+    occurrences = collections.defaultdict(list)
     for i, t in rows:
         for no, line in enumerate((t or "").split("\n")):
-            norm = line_dedup.normalise(line)
-            if norm:
-                key = norm if len(norm.split()) >= min_words else (i, t, norm)
-                occurrences[key].append((-1 if i is None else i, t or "", no))
-    long = [k for k in occurrences if isinstance(k, str)]
-    for k in long:
-        h = [xxhash.xxh64_intdigest(w) for w in k.encode().split()]
-        fps[k] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-    links = [(a, b) for i, a in enumerate(long) for b in long[i + 1 :] if (fps[a] ^ fps[b]).bit_count() <= radius and any(not (fps[a] ^ fps[b]) >> k & 0xFFFF for k in (0, 16, 32, 48)) and plain_similarity(a, b) >= similarity]
+            if norm := line_dedup.normalise(line):
+                occurrences[norm].append((-1 if i is None else i, t or "", no))
     index = {k: n for n, k in enumerate(occurrences)}
-    root = components(range(len(index)), [(index[a], index[b]) for a, b in links])
+    long = [k for k in occurrences if len(k.split()) >= min_words]
+    links = [(index[a], index[b]) for i, a in enumerate(long) for b in long[i + 1 :] if alike(a, b, similarity)]
+    root = components(range(len(index)), links)
     members = collections.defaultdict(set)
     for k, places in occurrences.items():
         members[root[index[k]]].update(places)
@@ -456,6 +445,27 @@ def plain_lines(rows, min_words=5, radius=5, similarity=0.8):
     return {(i, t): None if t is None else "\n".join(line for no, line in enumerate(t.split("\n")) if (-1 if i is None else i, t, no) not in dropped) for i, t in rows}
 
 
+def alike(a, b, similarity):
+    return min(len(a), len(b)) >= similarity * max(len(a), len(b)) and 1 - line_dedup.edit_distance(a, b) / max(len(a), len(b)) >= similarity - 1e-9
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_similar_takes_the_whole_lines(least):
+    """The shared beginning and end are left out of the distance, and sketches reject none that is similar."""
+    rnd = random.Random(2)
+    lines = ["".join(rnd.choices("ab ", k=rnd.randint(0, 60))) for _ in range(30)]
+    lines += [x[:k] + rnd.choice(["", "a", "bb"]) + x[k + 2 :] for x in lines for k in (0, 7, 30)] + ["ab" * 600, "ab" * 500 + "b" * 200]
+    sketch, n = line_dedup.Sketch(lines, least), len(lines)
+    for i in range(n):
+        may = sketch.may_be_similar(np.full(n, i), np.arange(n))
+        for j in range(n):
+            longer = max(len(lines[i]), len(lines[j]), 1)
+            want = plain_distance(lines[i], lines[j]) <= int((1 - least) * longer + 1e-9) if i % 9 == 0 and longer < 100 else alike(lines[i], lines[j], least) if longer > 1 else None
+            if want is not None and max(len(lines[i]), len(lines[j])):
+                assert line_dedup.similar(lines[i], lines[j], least) == want, (lines[i], lines[j])
+                assert may[j] or not want
+
+
 def test_line_dedup(spark, none):
     rnd = random.Random(6)
     shared = [prose(rnd, n) for n in (7, 9, 30, 60)]
