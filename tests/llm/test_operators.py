@@ -284,6 +284,41 @@ def test_topk(spark, hot):
     assert topk.top_k(df.limit(0)).count() == 0
     few = topk.top_k(df.where("vec_id in (0, 1, 2)"), 20).collect()
     assert len(few) == 2
+    twice = topk.top_k(df.union(df).withColumn("score", F.lit("x")).withColumn("cell", F.lit(1)), 20, pivots=6)
+    assert twice.columns == ["query_id", "rank", "vec_id", "score"] and twice.count() == topk.top_k(df, 20).count()
+
+
+def test_topk_blocks_and_large_components(spark, monkeypatch):
+    """Cells of several blocks, and products that a double doesn't hold, give the same exact scores."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(3)
+    for scale in (1.0, 2.0**27):
+        v = np.round(rng.normal(size=(120, 4)) * scale * 7)
+        df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+        got = collections.defaultdict(list)
+        for r in topk.top_k(df, 5, query_modulus=7, scale=1, pivots=4).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        for q in range(0, 120, 7):
+            product = lambda i: sum(int(a) * int(b) for a, b in zip(v[q], v[i]))
+            assert got[q] == [(i, product(i)) for i in sorted((i for i in range(120) if i != q), key=lambda i: (-product(i), i))[:5]]
+
+
+def test_topk_skips_cells_of_other_clusters(spark):
+    """On clustered vectors a query goes to a small part of all cells."""
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=(32, 16)) * 4
+    v = centre[rng.integers(0, 32, 3200)] + rng.normal(size=(3200, 16)) * 0.1
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    rows = topk.integer_vectors(df, 64, "vec_id", "embedding")
+    data, cells = topk.find_cells(rows, 16, 32)
+    whole = np.floor(64 * v)
+    asks = whole[::20]
+    least = -np.sort(-(asks @ whole.T), axis=1)[:, 20]
+    share = cells.needed(asks, least).mean()
+    assert share < 0.15
+    tops = spark.createDataFrame([(i * 20, int(x)) for i, x in enumerate(least)], "query_id long, least long")
+    asked = topk.asked_cells(data.where("vec_id % 20 = 0"), tops, cells, 16)
+    assert asked.count() == round(share * 160 * 32)
 
 
 # --- 6 mixing ------------------------------------------------------------------------------
