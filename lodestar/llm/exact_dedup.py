@@ -1,13 +1,15 @@
-"""Exact deduplication by a tree-merge of digest runs (operator 9); DataFrame functions only."""
+"""Exact deduplication by a tree-merge of sorted digest runs (operator 9); DataFrame functions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.llm.staging import stage
 
-RUNS, FAN_IN = 64, 4
+RUNS, FAN_IN, CUTS = 64, 4, 256
+KEY = ["sha", "check", "n_bytes"]
 
 
 def digests(docs: DataFrame, runs: int = RUNS) -> DataFrame:
@@ -25,21 +27,46 @@ def digests(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     ).withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int"))
 
 
+def cut_of(cuts: int) -> Column:
+    """Which of ``cuts`` equal ranges of digests a digest lies in, in order of digests."""
+    head = F.conv(F.hex(F.substring("sha", 1, 4)), 16, 10).cast("long")
+    return F.floor(head * F.lit(cuts) / F.lit(float(1 << 32))).cast("int")
+
+
+def first_runs(rows: DataFrame) -> DataFrame:
+    """(run, sha, check, n_bytes, keep_id, group_size): each run with one entry a digest.
+
+    Every task reduces what it reads before it gives anything away, so a text that fills a
+    third of all rows leaves it as one entry a run.
+    """
+    return rows.groupBy("run", *KEY).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+
+
+def merge_round(level: DataFrame, fan_in: int, cuts: int) -> DataFrame:
+    """Merge ``fan_in`` neighbouring runs into one, cut into ``cuts`` ranges of digests.
+
+    A cell (run, range) goes to one task, which sorts its runs into one and passes over it
+    once: entries that agree in digest, second hash and length stand side by side, at most
+    ``fan_in`` of them, and the first, with the largest identifier, stays with the sum of
+    their sizes. The result is a sorted run again.
+    """
+    cell = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).withColumn("cut", cut_of(cuts)).repartition("run", "cut")
+    equal = W.partitionBy("run", "cut", *KEY).orderBy(F.col("keep_id").desc_nulls_last()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    first = W.partitionBy("run", "cut", *KEY).orderBy(F.col("keep_id").desc_nulls_last())
+    merged = cell.select("run", *KEY, "keep_id", F.sum("group_size").over(equal).alias("group_size"), F.row_number().over(first).alias("at"))
+    return merged.where("at = 1").drop("at")
+
+
 def merge_runs(rows: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
-    """(sha, check, n_bytes, keep_id, group_size) for all texts.
+    """(sha, check, n_bytes, keep_id, group_size) for all texts, by a tree of merges over sorted digest runs.
 
-    Rows are first reduced inside ``runs`` runs, keyed by digest; then rounds merge ``fan_in``
-    runs into one until one is left. At every level a digest keeps one entry per run with the
-    largest identifier so far and its count, so a text that fills a third of all rows enters
-    each merge as one entry per run. The digest is part of every shuffle key, so the last
-    round, too, is spread over all tasks.
+    Tasks exchange runs as in a butterfly: with every round a task holds fewer runs, but a
+    smaller range of digests of each, so all rounds, the last too, are spread over all tasks.
     """
-    key = ["sha", "check", "n_bytes"]
-    level = rows.groupBy("run", *key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    left = runs
+    level, left = first_runs(rows), runs
     while left > 1:
         left = -(-left // fan_in)
-        level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).groupBy("run", *key).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        level = merge_round(level, fan_in, CUTS * -(-runs // left))
     return level.drop("run")
 
 

@@ -441,6 +441,22 @@ def test_exact(docs, none):
         assert exact_dedup.merge_runs(exact_dedup.digests(docs, runs), runs, fan).count() == len(groups)
 
 
+def test_exact_levels_are_verified(spark):
+    """Equal digests of unlike texts stay apart at every level; ranges of digests are in order and all used."""
+    rows = [(i, bytes([i % 8 * 32]) + bytes(31), i % 3, 5, i % 16) for i in range(480)]
+    level = exact_dedup.first_runs(spark.createDataFrame(rows, "doc_id long, sha binary, check long, n_bytes long, run int"))
+    for cuts, left in ((4, 4), (8, 1)):
+        level = exact_dedup.merge_round(level, 4, cuts)
+        assert level.agg(F.max("run")).first()[0] == left - 1
+    got = {(bytes(r["sha"]), r["check"]): (r["keep_id"], r["group_size"]) for r in level.collect()}
+    want = collections.defaultdict(list)
+    for i, sha, check, _, _ in rows:
+        want[sha, check].append(i)
+    assert got == {k: (max(v), len(v)) for k, v in want.items()} and level.count() == 24
+    cuts = [r[0] for r in level.orderBy("sha").select(exact_dedup.cut_of(8)).distinct().collect()]
+    assert sorted(cuts) == list(range(8))
+
+
 # --- 10 line dedup -------------------------------------------------------------------------
 
 
