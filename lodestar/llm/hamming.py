@@ -32,27 +32,56 @@ LANE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitor
 def majority_bits(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Fingerprints of segments of ``hashes``: a bit is 1 if set in over half of a segment.
 
-    ``starts`` holds the first index of every segment; an empty segment gives 0. Bits are
-    counted eight to a word in runs of at most 255 hashes, which bounds memory whatever the
-    length of a segment.
+    ``starts`` holds the first index of every segment; an empty segment gives 0. Segments are
+    counted in bit-sliced carry-save counters, those with counters of one width together;
+    long ones by ``long_majority``.
     """
-    ends = np.append(starts[1:], len(hashes))
-    sizes = ends - starts
-    sums = np.zeros((len(starts), 64), np.int64)
-    full = np.flatnonzero(sizes)
-    step = 1 << 16
-    for lo in range(0, len(hashes), step):
-        part = hashes[lo : lo + step]
+    sizes = np.append(starts[1:], len(hashes))[: len(starts)] - starts
+    out = np.zeros(len(starts), np.uint64)
+    least = 1
+    for planes in range(1, 8):
+        most = 2 ** (planes + 1) - 1
+        rows = np.flatnonzero((sizes >= least) & (sizes <= most))
+        if len(rows):
+            out[rows] = carry_save(hashes, starts[rows], sizes[rows], planes)
+        least = most + 1
+    for row in np.flatnonzero(sizes >= least).tolist():
+        out[row] = long_majority(hashes[starts[row] : starts[row] + sizes[row]])
+    return out
+
+
+def carry_save(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, planes: int) -> np.ndarray:
+    """Majority bits of non-empty segments of fewer than 2 ** (planes + 1) hashes.
+
+    The 64 counters of a segment lie across ``planes`` words. They begin so high that one more
+    than half of the segment carries out of the last.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    first, size = starts[order], sizes[order]
+    bias = (1 << planes) - (size // 2 + 1)
+    counter = [np.where(bias >> i & 1, ALL, np.uint64(0)) for i in range(planes)]
+    over = np.zeros(len(first), np.uint64)
+    live = np.searchsorted(-size, -np.arange(size[0]), "left")  # segments that are longer than 0, 1, 2, ...
+    for p, m in enumerate(live.tolist()):
+        carry = hashes[first[:m] + p]
+        for plane in counter:
+            more = plane[:m] & carry
+            plane[:m] ^= carry
+            carry = more
+        over[:m] |= carry
+    out = np.empty_like(over)
+    out[order] = over
+    return out
+
+
+def long_majority(hashes: np.ndarray) -> np.uint64:
+    """Majority bits of one long segment: eight to a word in runs of at most 255 hashes, which bounds memory."""
+    sums = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 16):
+        part = hashes[lo : lo + (1 << 16)]
         lanes = LANE_BITS[part.astype("<u8").view(np.uint8).reshape(-1, 8)]
-        first, last = np.searchsorted(ends[full], lo, "right"), np.searchsorted(starts[full], lo + len(part), "left")
-        own = full[first:last]
-        begin = np.maximum(starts[own] - lo, 0)
-        runs = -(-np.diff(np.append(begin, len(part))) // 255)
-        head = np.cumsum(runs) - runs
-        cuts = np.repeat(begin, runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(head, runs))
-        counts = np.add.reduceat(lanes, cuts, axis=0).view(np.uint8)
-        sums[own] += np.add.reduceat(counts, head, axis=0, dtype=np.int64) if len(cuts) > len(own) else counts
-    return np.packbits(sums * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        sums += np.add.reduceat(lanes, np.arange(0, len(part), 255), axis=0).view(np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(sums * 2 > len(hashes), bitorder="little").view("<u8")[0]
 
 
 def pigeonhole(n: int, bits: int, radius: int, per_bucket: int = 256) -> tuple[int, int]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -21,10 +23,12 @@ from lodestar.llm.staging import stage
 from lodestar.llm.words import P1, P2, P3, word_bounds, xxh64_words
 
 WORD = re.compile(r"[^\W_]+")
+ALONE = re.compile("[\u3000-\u9fff]|[^ \u3000-\u9fff]+")  # words, where Chinese and Japanese characters are words each
 CHARS = 1 << 20
 #: Pigeonhole keys by number of words: from, below, classes of words, classes to a key. Where ranges overlap a line has both kinds of keys.
 LEVELS = ((0, 10, 4, 2), (8, 16, 4, 1), (12, 1 << 62, 9, 1))
 LONG_WORD, FEW, IN_BLOCK = 4, 4, 2
+COSINE = 0.5
 LINE = T.StructType(
     [T.StructField("doc_key", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("chars", T.IntegerType()), T.StructField("blocks", T.ArrayType(T.LongType()))]
 )
@@ -41,7 +45,7 @@ def edit_distance(a: str, b: str) -> int:
         a, b = b, a
     if not a:
         return len(b)
-    masks: dict = {}
+    masks: dict[str, int] = {}
     for i, x in enumerate(a):
         masks[x] = masks.get(x, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
@@ -68,10 +72,39 @@ def similar(a: str, b: str, least: float) -> bool:
     lo = shared_prefix(a, b)
     a, b = a[lo:], b[lo:]
     hi = shared_prefix(a[::-1], b[::-1])
-    a, b = a[: len(a) - hi], b[: len(b) - hi]
-    if max(len(a), len(b)) <= most:
+    x, y = a[: len(a) - hi], b[: len(b) - hi]
+    if max(len(x), len(y)) <= most or word_by_word(x.split(" "), y.split(" "), most) <= most:
         return True
-    return edit_distance(a, b) <= most
+    return edit_distance(x, y) <= most
+
+
+def same_words(a: str, b: str, least: float) -> bool:
+    """Whether the cosine of the words' counts, which a SimHash only estimates, is ``least`` or more."""
+    one, two = (Counter(ALONE.findall(x) if max(x) >= "\u3000" else x.split(" ")) for x in (a, b))
+    dot = sum(n * two[w] for w, n in one.items() if w in two)
+    return dot >= least * math.sqrt(sum(n * n for n in one.values()) * sum(n * n for n in two.values()))
+
+
+def word_by_word(a: list[str], b: list[str], most: int) -> int:
+    """The cost of one way to edit words ``a`` into ``b``, so no less than the edit distance; past ``most`` it stops.
+
+    Unequal words are replaced, or one left out where that makes the next ones equal.
+    """
+    i = j = cost = 0
+    while i < len(a) and j < len(b) and cost <= most:
+        if a[i] != b[j]:
+            if a[i + 1 : i + 2] == b[j : j + 1] and a[i + 1 : i + 2] != b[j + 1 : j + 2]:
+                cost += len(a[i]) + 1
+                i += 1
+                continue
+            if b[j + 1 : j + 2] == a[i : i + 1] and a[i + 1 : i + 2] != b[j + 1 : j + 2]:
+                cost += len(b[j]) + 1
+                j += 1
+                continue
+            cost += max(len(a[i]), len(b[j]))
+        i += 1
+        j += 1
+    return cost + sum(len(x) + 1 for x in a[i:]) + sum(len(x) + 1 for x in b[j:])
 
 
 def shared_prefix(a: str, b: str) -> int:
@@ -86,36 +119,6 @@ def shared_prefix(a: str, b: str) -> int:
     return lo
 
 
-class Sketch:
-    """Counts of three-character pieces, hashed to BINS, that rule out most dissimilar pairs without an edit distance.
-
-    An edit spoils at most three pieces, so similar lines share nearly all of them; hashing can
-    only make lines look more alike, never less.
-    """
-
-    BINS = 512
-
-    def __init__(self, lines: list[str], least: float) -> None:
-        self.least = least
-        self.chars = np.array([len(x) for x in lines])
-        self.pieces = np.zeros((len(lines), self.BINS), np.uint16)
-        for i, x in enumerate(lines):
-            if len(x) > 2:
-                c = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-                h = c[:-2] * 0x9E3779B1 + c[1:-1] * 0x85EBCA77 + c[2:] * 0xC2B2AE3D
-                self.pieces[i] = np.minimum(np.bincount(((h ^ (h >> np.uint64(15))) % np.uint64(self.BINS)).astype(np.int64), minlength=self.BINS), 65535)
-
-    def may_be_similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a), bool)
-        rows = np.flatnonzero(long_enough(self.chars[a], self.chars[b], self.least))
-        for lo in range(0, len(rows), 4096):
-            at = rows[lo : lo + 4096]
-            most = np.maximum(self.chars[a[at]], self.chars[b[at]])
-            shared = np.minimum(self.pieces[a[at]], self.pieces[b[at]]).sum(axis=1, dtype=np.int64)
-            out[at] = (shared >= most - 2 - 3 * np.floor((1 - self.least) * most + 1e-9)) | (most >= 65535)
-        return out
-
-
 def long_enough(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """Pairs of lengths that leave room for the similarity."""
     return np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
@@ -195,6 +198,42 @@ def block_keys(hashes: np.ndarray, line: np.ndarray, n: int, content: np.ndarray
     return np.searchsorted(rows[order], np.arange(n + 1)), keys[order]
 
 
+def line_rows(keys: list[int], ids: list[int | None], texts: list[str], min_words: int) -> pa.RecordBatch:
+    """``line_table`` of a few documents."""
+    digest = xxhash.xxh64_intdigest
+    data = np.frombuffer(words_only("\n".join(texts)), np.uint8)
+    first, end = token_bounds(data)
+    begins = np.append(0, np.flatnonzero(data == ord("\n")) + 1)
+    starts = np.searchsorted(first, begins)
+    counts = np.diff(np.append(starts, len(first)))
+    hashes = xxh64_words(data, first, end)
+    fps = majority_bits(hashes, starts)
+    points = np.append(0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int32))  # bytes that begin a code point
+    long = points[end] - points[first] >= LONG_WORD
+    line = np.repeat(np.arange(len(counts)), counts)
+    some = (counts >= min_words)[line]
+    offsets, blocks = block_keys(hashes[some], line[some], len(counts), long[some])
+    spaced = np.append(data, np.uint8(ord(" ")))  # the runs, each with the blank or line end behind it
+    runs, stops = word_bounds((data != ord(" ")) & (data != ord("\n")))
+    spaced[stops] = ord(" ")
+    kept = np.append((data != ord(" ")) & (data != ord("\n")), False)
+    kept[stops] = True
+    spaced = spaced[kept]
+    packed = spaced.tobytes()
+    at = np.append(0, np.cumsum(stops - runs + 1))
+    run_starts = np.searchsorted(runs, np.append(begins, len(data) + 1))
+    lo, hi = at[run_starts[:-1]], at[run_starts[1:]]
+    points = np.append(0, np.cumsum((spaced & 0xC0) != 0x80, dtype=np.int32))
+    chars = np.maximum(points[hi] - points[lo] - 1, 0)
+    names = np.array([digest(packed[a : b - 1]) if a < b else 0 for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64)
+    per_text = np.array([x.count("\n") + 1 for x in texts])
+    key = np.repeat(np.array(keys, np.int64), per_text)
+    doc_id = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), per_text)))
+    number = np.arange(len(key)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    listed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(blocks.view(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(key), doc_id, pa.array(number.astype(np.int32)), pa.array(names.view(np.int64), mask=counts == 0), pa.array(fps.view(np.int64)), pa.array(counts.astype(np.int32)), pa.array(chars.astype(np.int32)), listed], names=LINE.names)
+
+
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     """One row per line: (doc_key, doc_id, line_no, id, fp, words, chars, blocks), all but the first three of the normalised line.
 
@@ -203,41 +242,6 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     Lines without a letter or digit have no id and are never repeated content.
     """
 
-    def lines(keys: list[int], ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
-        data = np.frombuffer(words_only("\n".join(texts)), np.uint8)
-        first, end = token_bounds(data)
-        begins = np.append(0, np.flatnonzero(data == ord("\n")) + 1)
-        starts = np.searchsorted(first, begins)
-        counts = np.diff(np.append(starts, len(first)))
-        hashes = xxh64_words(data, first, end)
-        fps = majority_bits(hashes, starts)
-        points = np.append(0, np.cumsum((data & 0xC0) != 0x80))  # bytes that begin a code point
-        long = points[end] - points[first] >= LONG_WORD
-        line = np.repeat(np.arange(len(counts)), counts)
-        some = (counts >= min_words)[line]
-        offsets, blocks = block_keys(hashes[some], line[some], len(counts), long[some])
-        spaced = np.append(data, np.uint8(ord(" ")))  # the runs, each with the blank or line end behind it
-        runs, stops = word_bounds((data != ord(" ")) & (data != ord("\n")))
-        spaced[stops] = ord(" ")
-        kept = np.append((data != ord(" ")) & (data != ord("\n")), False)
-        kept[stops] = True
-        spaced = spaced[kept]
-        packed = spaced.tobytes()
-        at = np.append(0, np.cumsum(stops - runs + 1))
-        run_starts = np.searchsorted(runs, np.append(begins, len(data) + 1))
-        lo, hi = at[run_starts[:-1]], at[run_starts[1:]]
-        points = np.append(0, np.cumsum((spaced & 0xC0) != 0x80))
-        chars = np.maximum(points[hi] - points[lo] - 1, 0)
-        names = np.array([digest(packed[a : b - 1]) if a < b else 0 for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64)
-        per_text = np.array([x.count("\n") + 1 for x in texts])
-        key = np.repeat(np.array(keys, np.int64), per_text)
-        doc_id = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), per_text)))
-        number = np.arange(len(key)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        listed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(blocks.view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(key), doc_id, pa.array(number.astype(np.int32)), pa.array(names.view(np.int64), mask=counts == 0), pa.array(fps.view(np.int64)), pa.array(counts.astype(np.int32)), pa.array(chars.astype(np.int32)), listed], names=LINE.names)
-
-    digest = xxhash.xxh64_intdigest
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
@@ -245,7 +249,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
                 rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py() or ""))
                 size += len(rows[-1][2])
                 if size >= CHARS or i == batch.num_rows - 1:
-                    yield lines(*map(list, zip(*rows, strict=True)))
+                    yield line_rows(*map(list, zip(*rows, strict=True)), min_words)
                     rows, size = [], 0
 
     return docs.select(text_key(docs).alias("doc_key"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, LINE)
@@ -321,10 +325,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            sketch, n = Sketch(x + y, similarity), np.arange(len(x))
-            ok = sketch.may_be_similar(n, n + len(x))
-            ok = [k and similar(p, q, similarity) for k, p, q in zip(ok.tolist(), x, y, strict=True)]
+            texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ok = [same_words(x, y, COSINE) and similar(x, y, similarity) for x, y in texts]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     one, two = (texts.select(F.col("id").alias(f"i{c}"), F.col("norm").alias(f"n{c}")) for c in "ab")
@@ -352,15 +354,13 @@ def unsettled(hits: DataFrame, radius: int, similarity: float) -> DataFrame:
 def links_across(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
     """Edges between edit-similar lines of a bucket whose parts differ.
 
-    A pair goes to the edit distance only if it shares as many pieces as the similarity implies
-    (``Sketch``), and not if its bucket has connected it already, which loses no connection.
+    A pair that its bucket has connected already is not compared, which loses no connection.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_buckets(batches, "bucket", 1 << 12):
             bucket, side, ids, fps, chars, part = (table.column(c).to_numpy() for c in ("bucket", "side", "id", "fp", "chars", "part"))
             norm = table.column("norm").to_pylist()
-            sketch = Sketch(norm, similarity)
             parent: dict[int, int] = {}
 
             def find(i: int) -> int:
@@ -373,17 +373,17 @@ def links_across(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
             for a, b in near_pairs(fps.view(np.uint64), chars, bucket, side, radius, similarity):
                 ok = part[a] != part[b]
                 a, b = a[ok], b[ok]
-                ok = sketch.may_be_similar(a, b)
-                for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+                for i, j in zip(a.tolist(), b.tolist(), strict=True):
                     p, q = find(int(part[i])), find(int(part[j]))
-                    if p != q and similar(norm[i], norm[j], similarity):
+                    if p != q and same_words(norm[i], norm[j], COSINE) and similar(norm[i], norm[j], similarity):
                         parent[max(p, q)] = min(p, q)
                         out.append((int(part[i]), int(part[j])))
             if out:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, LINK).distinct()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, long work: parts aren't to be joined
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, LINK).distinct()
 
 
 def line_roots(nodes: DataFrame, docs: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
@@ -408,13 +408,13 @@ def line_roots(nodes: DataFrame, docs: DataFrame, radius: int, similarity: float
     return moved
 
 
-def line_groups(docs: DataFrame, min_words: int = 5, radius: int = 20, similarity: float = 0.8, tile: int = 512) -> DataFrame:
+def line_groups(docs: DataFrame, min_words: int = 5, radius: int = 16, similarity: float = 0.8, tile: int = 512) -> DataFrame:
     """(doc_key, doc_id, line_no, id, root, kept) for every line with a letter or digit.
 
     Equal normalised lines are one node, whatever their length and wherever they stand. Nodes
     of ``min_words`` or more words that share a SimHash block, and whose SimHashes over all
-    words differ in at most ``radius`` bits, are compared, and linked where their texts have an
-    edit similarity of ``similarity`` or more in characters. What is compared doesn't depend on
+    words differ in at most ``radius`` bits, are compared, and linked where the cosine of their
+    words is COSINE or more and their edit similarity ``similarity`` or more in characters. What is compared doesn't depend on
     the number of lines. Of each connected group the occurrence with the smallest (doc_id,
     document key, line number) is kept; a null doc_id comes first. ``id`` and ``fp`` together
     name a line, so two lines whose ids collide stay apart.
@@ -430,7 +430,7 @@ def line_groups(docs: DataFrame, min_words: int = 5, radius: int = 20, similarit
     return lines.drop("blocks").where("id is not null").join(repeated, same, "left").select("doc_key", "doc_id", "line_no", "id", F.coalesce("root", "id").alias("root"), (F.col("group_first").isNull() | (F.col("group_first") == occurrence)).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 20, similarity: float = 0.8) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 16, similarity: float = 0.8) -> DataFrame:
     """``docs`` with extra columns __dropped and a ``text`` that keeps one occurrence of each group.
 
     Lines are what \\n separates. A document keeps its other lines as they were, in order; it
