@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections import defaultdict
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from lodestar.llm.ranking import bucketed_rank
 from lodestar.llm.staging import stage
 
-ROUNDS, BIAS = 700, 1.3
+ROUNDS, BIAS = 1500, 1.3
 PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 PLAN = T.StructType([T.StructField(c, T.LongType()) for c in ("p_length", "first_rank", "end_rank", "per_sequence", "first_sequence", "p_offset")])
 
@@ -29,7 +30,7 @@ class WordIds(dict):
     it. The table is emptied when it is full, which bounds memory and changes no result.
     """
 
-    LIMIT = 400_000
+    LIMIT, TOGETHER = 400_000, 4096
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -40,6 +41,26 @@ class WordIds(dict):
         own = self.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(own)}I", *own)
 
+    def learn(self, words: set[bytes]) -> None:
+        """Take up all of ``words`` that are new, many to a call of the tokenizer, which tells by offsets which ids are whose."""
+        new = [w for w in words if w not in self and len(w) <= 64 and b"<|" not in w]
+        ends = {w: w[-1:] for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
+        plain = {w[:-1] if w in ends else w for w in new} | set(ends.values())
+        plain = [w for w in plain if w not in self]
+        if len(self) + len(plain) + len(ends) > self.LIMIT:
+            self.clear()
+            plain = list({w[:-1] if w in ends else w for w in new} | set(ends.values()))
+        for lo in range(0, len(plain), self.TOGETHER):
+            part = plain[lo : lo + self.TOGETHER]
+            texts = [w.decode("utf-8", "surrogatepass") for w in part]
+            found = self.encode("\n".join(texts), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            at = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), begins) * 4
+            self.update(zip(part, (ids[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), strict=True))
+        for w, end in ends.items():
+            self[w] = self[w[:-1]] + self[end]
+
     def __missing__(self, word: bytes) -> bytes:
         if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
             found = self[word[:-1]] + self[word[-1:]]
@@ -55,13 +76,13 @@ class WordIds(dict):
 _TABLES: dict[str, WordIds] = {}
 
 
-def document_ids(text: str | None, table: WordIds) -> bytes:
-    """All ids of a text, then id 0, as little-endian unsigned 32-bit bytes."""
-    if not text:
-        return b"\0\0\0\0"
-    if "<|" in text:  # it may hold special tokens, which are told by case
-        return table.ids(text) + b"\0\0\0\0"
-    return b"".join(map(table.__getitem__, text.encode("utf-8", "surrogatepass").lower().split())) + b"\0\0\0\0"
+def document_ids(texts: list[str | None], table: WordIds) -> Iterator[bytes]:
+    """For each text all its ids, then id 0, as little-endian unsigned 32-bit bytes."""
+    special = [bool(t) and "<|" in t for t in texts]  # it may hold special tokens, which are told by case
+    words = [[] if own or not t else t.encode("utf-8", "surrogatepass").lower().split() for t, own in zip(texts, special, strict=True)]
+    table.learn(set().union(*words))
+    for t, own, w in zip(texts, special, words, strict=True):
+        yield (table.ids(t) if own else b"".join(map(table.__getitem__, w))) + b"\0\0\0\0"
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
@@ -78,8 +99,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFram
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = document_ids(text, table)
+                for doc_id, ids in zip(part.column(0).to_pylist(), document_ids(part.column(1).to_pylist(), table), strict=True):
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
@@ -144,6 +164,27 @@ def fractional_cover(counts: dict[int, int], capacity: int, rounds: int = ROUNDS
     return [(dict(c), x) for c, x in taken.items()]
 
 
+def dual_bound(counts: dict[int, int], capacity: int, rounds: int, rate: float = 0.05) -> float:
+    """A lower bound on the program by multiplicative weights on the prices.
+
+    Any prices bound it: all pieces cost their summed prices, and no sequence is worth more
+    than the dearest configuration. The first prices are the lengths; every round lowers those
+    of the dearest configuration, by a step that covers none of its lengths more than once.
+    """
+    lengths = np.array(sorted(counts))
+    number = np.array([counts[l] for l in lengths.tolist()], np.float64)
+    price, bound = lengths / capacity, 0.0
+    for _ in range(rounds):
+        priced = np.full(capacity + 1, -np.inf)
+        priced[lengths] = price
+        chosen = best_configuration(priced, capacity)
+        bound = max(bound, float(price @ number) / sum(priced[l] * a for l, a in chosen.items()))
+        step = min(counts[l] / a for l, a in chosen.items())
+        for l, a in chosen.items():
+            price[np.searchsorted(lengths, l)] *= math.exp(-rate * a * step / counts[l])
+    return bound
+
+
 def best_fit(counts: dict[int, int], capacity: int, open_bins: dict[tuple[tuple[int, int], ...], int] | None = None) -> dict[tuple[tuple[int, int], ...], int]:
     """Best-fit decreasing on a histogram: equal bins are one entry (their content, their number)."""
     bins: dict[int, dict[tuple[tuple[int, int], ...], int]] = defaultdict(lambda: defaultdict(int))
@@ -181,11 +222,13 @@ def best_fit(counts: dict[int, int], capacity: int, open_bins: dict[tuple[tuple[
     return out
 
 
-def plan_sequences(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """(configuration, number of sequences) that pack the whole histogram.
+def plan_sequences(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """(configuration, number of sequences) that pack the whole histogram, and the least number that any packing needs.
 
     The linear program's amounts are rounded down; what that leaves is packed best-fit, first
-    into the room that the rounded sequences have left.
+    into the room that the rounded sequences have left. Where best-fit alone needs fewer
+    sequences than that, it is the plan. The summed lengths bound the number from below, and
+    where the plan is above that, the program's prices do.
     """
     full = counts.get(capacity, 0)
     rest = {l: n for l, n in counts.items() if 0 < l < capacity and n}
@@ -197,8 +240,11 @@ def plan_sequences(counts: dict[int, int], capacity: int, rounds: int = ROUNDS)
             whole[tuple(sorted(config.items()))] += n
             for l, a in config.items():
                 left[l] -= a * n
-    packed = best_fit({l: n for l, n in left.items() if n}, capacity, whole)
-    return ([({capacity: 1}, full)] if full else []) + [(dict(c), n) for c, n in sorted(packed.items())]
+    packed = min(best_fit({l: n for l, n in left.items() if n}, capacity, whole), best_fit(rest, capacity), key=lambda bins: sum(bins.values()))
+    least = -(-sum(l * n for l, n in rest.items()) // capacity)
+    if least < sum(packed.values()):
+        least = max(least, math.ceil(dual_bound(rest, capacity, rounds // 5) - 1e-6))
+    return ([({capacity: 1}, full)] if full else []) + [(dict(c), n) for c, n in sorted(packed.items())], full + least
 
 
 def plan_rows(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, ...]]:
@@ -224,7 +270,7 @@ def place(pieces: DataFrame, capacity: int, rounds: int = ROUNDS) -> DataFrame:
     a length that a third of all pieces share is spread over many tasks.
     """
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    rows = plan_rows(plan_sequences(counts, capacity, rounds))
+    rows = plan_rows(plan_sequences(counts, capacity, rounds)[0])
     total = sum(counts.values())
     parts = max(64, -(-total // 200_000))
     ranked = bucketed_rank(pieces, ["length"], F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(parts)), [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")], "rank")
