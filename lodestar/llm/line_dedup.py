@@ -26,7 +26,7 @@ WORD = re.compile(r"[^\W_]+")
 ALONE = re.compile("[\u3000-\u9fff]|[^ \u3000-\u9fff]+")  # words, where Chinese and Japanese characters are words each
 CHARS = 1 << 20
 #: Pigeonhole keys by number of words: from, below, classes of words, classes to a key. Where ranges overlap a line has both kinds of keys.
-LEVELS = ((0, 10, 4, 2), (8, 16, 4, 1), (12, 1 << 62, 9, 1))
+LEVELS = ((0, 10, 4, 2), (8, 16, 4, 1), (12, 1 << 62, 7, 1))
 LONG_WORD, FEW, IN_BLOCK = 4, 4, 2
 COSINE = 0.5
 LINE = T.StructType(
@@ -162,19 +162,21 @@ def token_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.minimum(np.append(first[1:], len(data)), stops[np.searchsorted(stops, first, "right")])
 
 
-def block_keys(hashes: np.ndarray, line: np.ndarray, n: int, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def content_words(line: np.ndarray, n: int, long: np.ndarray) -> np.ndarray:
+    """The words that fingerprints are made of: long ones, in lines with fewer than FEW of them all."""
+    return long | (np.bincount(line[long], minlength=n) < FEW)[line]
+
+
+def block_keys(hashes: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, keys): the keys of each line's blocks, lines in order.
 
     A line's words fall into classes by their hash, and a block is the SimHash of the words of
     one class (in short lines of two), so an edit changes the blocks of the words it touches
     and leaves all others as they are: by the pigeonhole principle lines that differ in fewer
     classes than there are blocks share a block, bit for bit; short lines do where one word is
-    replaced by another. Only ``content`` words count where a line has FEW of them, and blocks
-    of IN_BLOCK words or more; one word alone would bring unrelated lines together.
+    replaced by another. Blocks of fewer than IN_BLOCK words are left out, for one word alone
+    would bring unrelated lines together.
     """
-    enough = np.bincount(line[content], minlength=n) >= FEW
-    chosen = content | ~enough[line]
-    hashes, line = hashes[chosen], line[chosen]
     words = np.bincount(line, minlength=n)
     kind = (hashes ^ hashes >> np.uint64(29)) * P2 >> np.uint64(40)
     rows, keys = [], []
@@ -206,13 +208,14 @@ def line_rows(keys: list[int], ids: list[int | None], texts: list[str], min_word
     begins = np.append(0, np.flatnonzero(data == ord("\n")) + 1)
     starts = np.searchsorted(first, begins)
     counts = np.diff(np.append(starts, len(first)))
-    hashes = xxh64_words(data, first, end)
-    fps = majority_bits(hashes, starts)
     points = np.append(0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int32))  # bytes that begin a code point
     long = points[end] - points[first] >= LONG_WORD
     line = np.repeat(np.arange(len(counts)), counts)
+    content = content_words(line, len(counts), long)
+    line, hashes = line[content], xxh64_words(data, first[content], end[content])
+    fps = majority_bits(hashes, np.searchsorted(line, np.arange(len(counts))))
     some = (counts >= min_words)[line]
-    offsets, blocks = block_keys(hashes[some], line[some], len(counts), long[some])
+    offsets, blocks = block_keys(hashes[some], line[some], len(counts))
     spaced = np.append(data, np.uint8(ord(" ")))  # the runs, each with the blank or line end behind it
     runs, stops = word_bounds((data != ord(" ")) & (data != ord("\n")))
     spaced[stops] = ord(" ")
@@ -237,8 +240,9 @@ def line_rows(keys: list[int], ids: list[int | None], texts: list[str], min_word
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     """One row per line: (doc_key, doc_id, line_no, id, fp, words, chars, blocks), all but the first three of the normalised line.
 
-    ``id`` is a hash of the normalised line, ``fp`` its SimHash over all words and ``blocks``
-    the keys of its SimHash blocks (``block_keys``), none for lines under ``min_words`` words.
+    ``id`` is a hash of the normalised line, ``fp`` the SimHash of its ``content_words`` and
+    ``blocks`` the keys of their SimHash blocks (``block_keys``), none for lines under
+    ``min_words`` words.
     Lines without a letter or digit have no id and are never repeated content.
     """
 
@@ -258,7 +262,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
 def near_pairs(fps: np.ndarray, chars: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (a < b) of one bucket (sorted) that may be similar; of tiles 1 and 2 only across.
 
-    At most ``radius`` bits of their SimHashes over all words differ, and their lengths leave
+    At most ``radius`` bits of their SimHashes as a whole differ, and their lengths leave
     room for the similarity. Row i meets row i + 1, then i + 2, and so on while its bucket
     lasts, all rows at a time; pairs further apart come later.
     """
@@ -412,8 +416,8 @@ def line_groups(docs: DataFrame, min_words: int = 5, radius: int = 16, similarit
     """(doc_key, doc_id, line_no, id, root, kept) for every line with a letter or digit.
 
     Equal normalised lines are one node, whatever their length and wherever they stand. Nodes
-    of ``min_words`` or more words that share a SimHash block, and whose SimHashes over all
-    words differ in at most ``radius`` bits, are compared, and linked where the cosine of their
+    of ``min_words`` or more words that share a SimHash block, and whose SimHashes as a whole
+    differ in at most ``radius`` bits, are compared, and linked where the cosine of their
     words is COSINE or more and their edit similarity ``similarity`` or more in characters. What is compared doesn't depend on
     the number of lines. Of each connected group the occurrence with the smallest (doc_id,
     document key, line number) is kept; a null doc_id comes first. ``id`` and ``fp`` together

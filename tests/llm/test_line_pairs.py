@@ -80,7 +80,7 @@ def test_blocks_outlive_other_edits(words, least):
     data = np.frombuffer("\n".join(texts).encode(), np.uint8)
     first, end = line_dedup.token_bounds(data)
     line = np.cumsum(data == ord("\n"))[first]
-    offsets, keys = line_dedup.block_keys(xxh64_words(data, first, end), line, len(texts), np.ones(len(first), bool))
+    offsets, keys = line_dedup.block_keys(xxh64_words(data, first, end), line, len(texts))
     own = [set(keys[offsets[i] : offsets[i + 1]].tolist()) for i in range(len(texts))]
     assert sum(bool(own[i] & own[i + 1]) for i in range(0, len(own), 2)) >= least * 200
     strangers = collections.Counter(k for i in range(0, len(own), 2) for k in own[i])
