@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import source_order
 from lodestar.operators import deadcode, extract, graph, incremental, macro, resolve, rollup, search
 from lodestar.operators.tools import Server
 from lodestar.sources import snapshots, trees
@@ -69,7 +70,7 @@ class Engine:
         """Names to edges and usages; all of it again whenever a file changed, since names cross files."""
         t, spark = self.tables, self.spark
         ordered = self.files.select("file_path", F.xxhash64("file_path").alias("file_ord"))
-        place = F.xxhash64("file_path").bitwiseAND(F.lit(0x1FFFFFFF)) * (1 << 33) + F.col("sym_ord")  # files in a fixed order, then lines
+        place = source_order(F.col("sym_ord"), F.lit(0))
         self.symbols = stage(graph.latest(t["symbols"].withColumn("sym_ord", place)), "engine-latest")
         names = self.symbols.withColumn("is_exported", F.coalesce("is_exported", F.lit(False)))
         found = stage(resolve.resolve_calls(t["call_sites"], t["imports"], ordered, names, t["bases"], t["params"]), "engine-resolved")

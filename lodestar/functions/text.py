@@ -176,3 +176,12 @@ def method_kind(decorators: Column, is_async: Column) -> Column:
 def export_flag(name: Column, path: Column, exported: Column) -> Column:
     """In __all__ where the file has one; else public and in an __init__.py."""
     return F.coalesce(F.array_contains(exported, name), path.endswith("__init__.py") & ~name.startswith("_"))
+
+
+def source_order(line: Column, column: Column) -> Column:
+    """Where something stands in the source, as one number: files by their 64-bit hash, then lines, then columns.
+
+    It has room for lines and columns up to 2^31 and keeps files with unequal hashes apart.
+    """
+    file = F.xxhash64("file_path").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")
+    return (file * F.lit(1 << 62).cast("decimal(19,0)") + (line.cast("long") * F.lit(1 << 31) + column.cast("long"))).cast("decimal(38,0)")

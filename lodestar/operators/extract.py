@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import docstring, export_flag, literal_type, masked_python, masked_script, method_kind, normalize_path, parameters
+from lodestar.functions.text import docstring, export_flag, literal_type, masked_python, masked_script, method_kind, normalize_path, parameters, source_order
 from lodestar.sources.stages import stage
 
 #: fixed values: words before a bracket that are no call
@@ -117,7 +117,7 @@ def python_imports(st: DataFrame) -> DataFrame:
     b = own.where(F.col("t").rlike(r"^import ")).select("file_path", "stmt", F.lit(0).alias("level"), F.lit(None).cast("string").alias("module_name"), F.posexplode(F.split(F.regexp_replace("t", "^import ", ""), r"\s*,\s*")).alias("k", "item"))
     both = a.unionByName(b).withColumn("thing", F.regexp_extract("item", r"^([\w.*]+)", 1)).withColumn("alias", F.nullif(F.regexp_extract("item", r" as (\w+)", 1), F.lit("")))
     plain = F.col("module_name").isNull()
-    order = F.xxhash64("file_path").bitwiseAND(F.lit(0x1FFFFFFF)) * (1 << 33) + F.col("stmt") * 1024 + F.col("k")
+    order = source_order(F.col("stmt"), F.col("k"))
     return both.where("thing <> ''").select("file_path", F.when(plain, F.col("thing")).otherwise(F.col("module_name")).alias("module_name"), F.when(~plain & (F.col("thing") != "*"), F.col("thing")).alias("imported_symbol"), "alias", (F.col("thing") == "*").alias("is_wildcard"), "level", order.alias("imp_ord"))
 
 
@@ -150,7 +150,7 @@ def python_calls(st: DataFrame, symbols: DataFrame) -> dict[str, DataFrame]:
     loose = st.where(~F.col("code").rlike(r"^\s*(@|from\s|import\s)") & ~F.col("code").rlike(DEF) & ~F.col("code").rlike(CLASS)).join(blocks, (F.col("file_path") == F.col("f")) & (F.col("stmt") >= F.col("s")) & (F.col("stmt") < F.col("e")), "left_anti")
     outer = loose.select("file_path", F.concat("file_path", F.lit("#<module>")).alias("caller_id"), "first", line)
     spread = inner.unionByName(outer).select("file_path", "caller_id", (F.col("first") + F.col("k")).cast("long").alias("line"), F.col("text"), F.explode(call_chain(F.col("text"), KEYWORDS)).alias("c"))
-    order = F.xxhash64("file_path").bitwiseAND(F.lit(0x1FFFFFFF)) * (1 << 33) + F.col("line") * 4096 + F.col("col")
+    order = source_order(F.col("line"), F.col("col"))
     calls = stage(spread.select("file_path", "caller_id", "line", F.col("c.column").cast("long").alias("col"), F.col("c.callee").alias("callee_name"), F.substring(F.trim("text"), 1, 60).alias("call_snippet")).withColumn("call_ord", order), "extract-calls")
     step = F.row_number().over(W.partitionBy("file_path").orderBy("line", "col"))
     pipeline = calls.where("caller_id like '%#<module>'").withColumn("step", step).select("file_path", "step", "line", "callee_name", "call_snippet", "call_ord")
@@ -205,11 +205,10 @@ def script_tables(files: DataFrame) -> dict[str, DataFrame]:
     imp = r"^\s*import\s+(?:type\s+)?(.+?)\s+from\s+['\"]([^'\"]+)['\"]"
     names = F.split(F.regexp_replace(F.regexp_extract(raw, imp, 1), r"[{}]", ""), r"\s*,\s*")
     imports = st.where(raw.rlike(imp)).select("file_path", "line", F.translate(F.regexp_extract(raw, imp, 2), "/", ".").alias("module_name"), F.posexplode(names).alias("k", "item")).withColumn("item", F.trim("item"))
-    order = F.xxhash64("file_path").bitwiseAND(F.lit(0x1FFFFFFF)) * (1 << 33) + F.col("line") * 4096
-    imports = imports.select("file_path", "module_name", F.when(~F.col("item").startswith("*"), F.regexp_extract("item", r"^(\w+)", 1)).alias("imported_symbol"), F.nullif(F.regexp_extract("item", r" as (\w+)", 1), F.lit("")).alias("alias"), F.lit(False).alias("is_wildcard"), F.lit(0).alias("level"), (order + F.col("k")).alias("imp_ord"))
+    imports = imports.select("file_path", "module_name", F.when(~F.col("item").startswith("*"), F.regexp_extract("item", r"^(\w+)", 1)).alias("imported_symbol"), F.nullif(F.regexp_extract("item", r" as (\w+)", 1), F.lit("")).alias("alias"), F.lit(False).alias("is_wildcard"), F.lit(0).alias("level"), source_order(F.col("line"), F.col("k")).alias("imp_ord"))
     body = symbols.where("kind <> 'class'").select(F.col("file_path").alias("f"), F.col("start_line").alias("s"), F.col("stop").alias("e"), "id")
     spread = st.select("file_path", F.col("line").cast("long").alias("line"), F.explode(call_chain(c, SCRIPT_KEYWORDS)).alias("x"))
     inner = spread.join(body, (F.col("file_path") == F.col("f")) & (F.col("line") > F.col("s")) & (F.col("line") <= F.col("e")), "left").groupBy("file_path", "line", "x").agg(F.max_by("id", "s").alias("id"))
     heads_at = symbols.select(F.col("file_path").alias("f4"), F.col("start_line").alias("s4"), F.col("name").alias("n4"))
-    calls = inner.join(heads_at, (F.col("file_path") == F.col("f4")) & (F.col("line") == F.col("s4")) & (F.col("x.callee") == F.col("n4")), "left_anti").select("file_path", F.coalesce("id", F.concat("file_path", F.lit("#<module>"))).alias("caller_id"), "line", F.col("x.column").cast("long").alias("col"), F.regexp_replace("x.callee", r"^this\.", "self.").alias("callee_name")).withColumn("call_ord", order + F.col("col"))
+    calls = inner.join(heads_at, (F.col("file_path") == F.col("f4")) & (F.col("line") == F.col("s4")) & (F.col("x.callee") == F.col("n4")), "left_anti").select("file_path", F.coalesce("id", F.concat("file_path", F.lit("#<module>"))).alias("caller_id"), "line", F.col("x.column").cast("long").alias("col"), F.regexp_replace("x.callee", r"^this\.", "self.").alias("callee_name")).withColumn("call_ord", source_order(F.col("line"), F.col("col")))
     return {"symbols": symbols.drop("base", "stop"), "bases": bases, "params": params, "imports": imports, "call_sites": calls}

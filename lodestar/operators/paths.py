@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.operators.graph import best_edge
@@ -22,6 +21,23 @@ def allowed(edges: DataFrame, kinds: Sequence[str] | None) -> DataFrame:
     return edges if kinds is None else edges.where(F.col("kind").isin(list(kinds)))
 
 
+def numbered(level: DataFrame, order: list[str], start: int, name: str) -> DataFrame:
+    """(node, depth, queue_ord, parent): a level's nodes numbered from ``start`` in ``order``.
+
+    The level is cut into ranges of that order, each sorted in its own task; what reaches the
+    driver is one count per range.
+    """
+    dealt = level.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(dealt.select("node", "depth", "parent", F.monotonically_increasing_id().alias("at")), f"{name}-ranges")
+    part = F.shiftright("at", 33)  # the task's number, above the row's number in the task
+    first, offsets = start, {}
+    for r in sorted(placed.groupBy(part.alias("part")).count().collect()):
+        offsets[r["part"]] = first
+        first += r["count"]
+    base = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in (offsets or {0: 0}).items() for x in kv]), part)
+    return placed.select("node", "depth", (base + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("queue_ord"), "parent")
+
+
 def bfs(edges: DataFrame, start: str, max_depth: int = MAX_DEPTH, kinds: Sequence[str] | None = None, target: str | None = None) -> DataFrame:
     """(node, depth, queue_ord, parent): nodes in the order in which a queue would reach them.
 
@@ -36,8 +52,7 @@ def bfs(edges: DataFrame, start: str, max_depth: int = MAX_DEPTH, kinds: Sequenc
     for depth in range(1, max_depth + 1):
         met = frontier.select(F.col("node").alias("parent"), F.col("queue_ord").alias("p")).join(steps, F.col("parent") == F.col("source"))
         first = met.groupBy("target").agg(F.min(F.struct("p", "edge_ord", "parent")).alias("e")).join(reached.select(F.col("node").alias("__seen")), F.col("target") == F.col("__seen"), "left_anti")
-        order = W.orderBy("e.p", "e.edge_ord", "target")
-        frontier = stage(first.select(F.col("target").alias("node"), F.lit(depth).alias("depth"), (F.row_number().over(order) + size - 1).cast("long").alias("queue_ord"), F.col("e.parent").alias("parent")), f"bfs-{depth}")
+        frontier = numbered(first.select(F.col("target").alias("node"), F.lit(depth).alias("depth"), F.col("e.p").alias("p"), F.col("e.edge_ord").alias("edge_ord"), F.col("e.parent").alias("parent")), ["p", "edge_ord", "node"], size, f"bfs-{depth}")
         found = frontier.agg(F.count(F.lit(1)), F.max((F.col("node") == target).cast("int")) if target else F.lit(0)).first()
         if not found[0]:
             break

@@ -12,6 +12,7 @@ call_sites(call_ord, file_path, caller_id, callee_name, line, col); bases(class_
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 from lodestar.sources.stages import stage
 
 METHODS = ("method", "class_method", "static_method")
-MAX_ANCESTRY = 32
 
 
 def first_by(df: DataFrame, keys: list[str], value: str, order: Column, out: str | None = None) -> DataFrame:
@@ -149,12 +149,12 @@ def base_links(bases: DataFrame, symbols: DataFrame, scope: DataFrame) -> DataFr
     return found.groupBy("class_id", "base_ord").agg(F.min_by("t", "p").alias("parent_id"))
 
 
-def ancestors(links: DataFrame, max_depth: int = MAX_ANCESTRY) -> DataFrame:
+def ancestors(links: DataFrame) -> DataFrame:
     """(class_id, ancestor_id, depth, ord): the closure in breadth-first order, without cycles."""
     up = stage(links.where("class_id <> parent_id").select(F.col("class_id").alias("c"), "parent_id", "base_ord"), "ancestry-links")
-    level = reached = stage(up.groupBy(F.col("c").alias("class_id"), F.col("parent_id").alias("ancestor_id")).agg(F.min("base_ord").cast("string").alias("ord")).withColumn("depth", F.lit(1)), "ancestry-1")
-    for depth in range(2, max_depth + 1):
-        following = level.join(up, F.col("ancestor_id") == F.col("c")).where("parent_id <> class_id").groupBy("class_id", F.col("parent_id").alias("a")).agg(F.min(F.concat("ord", F.lit("."), F.lpad(F.col("base_ord").cast("string"), 3, "0"))).alias("ord"))
+    level = reached = stage(up.groupBy(F.col("c").alias("class_id"), F.col("parent_id").alias("ancestor_id")).agg(F.lpad(F.min("base_ord").cast("string"), 10, "0").alias("ord")).withColumn("depth", F.lit(1)), "ancestry-1")
+    for depth in count(2):
+        following = level.join(up, F.col("ancestor_id") == F.col("c")).where("parent_id <> class_id").groupBy("class_id", F.col("parent_id").alias("a")).agg(F.min(F.concat("ord", F.lit("."), F.lpad(F.col("base_ord").cast("string"), 10, "0"))).alias("ord"))
         level = stage(following.withColumnRenamed("a", "ancestor_id").withColumn("depth", F.lit(depth)).join(reached.select("class_id", "ancestor_id"), ["class_id", "ancestor_id"], "left_anti").select("class_id", "ancestor_id", "ord", "depth"), f"ancestry-{depth}")
         if level.isEmpty():
             break

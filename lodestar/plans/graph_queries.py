@@ -193,57 +193,59 @@ def path_trivial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reach_sql(kinds: str, start: str, depth: int, tail: str) -> str:
-    return CTE.replace("WITH cls", "WITH RECURSIVE cls", 1) + f", e AS (SELECT DISTINCT source, target FROM edges WHERE kind IN ({kinds})), r(node, depth) AS (SELECT {start} AS node, 0 AS depth UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON e.source = r.node WHERE r.depth < {depth}), d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node) {tail}"
+    step = f"SELECT e.target, min(r.depth) + 1 FROM r JOIN e ON e.source = r.node LEFT JOIN recurring.r AS old ON old.node = e.target WHERE old.node IS NULL AND r.depth < {depth} GROUP BY e.target"
+    return CTE.replace("WITH cls", "WITH RECURSIVE cls", 1) + f", e AS (SELECT DISTINCT source, target FROM edges WHERE kind IN ({kinds})), d(node, depth) USING KEY (node) AS (SELECT {start} AS node, 0 AS depth UNION {step.replace(' r ', ' d AS r ')}) {tail}".replace("recurring.r", "recurring.d")
 
 
 ALL_KINDS = "'calls', 'instantiates', 'inherits', 'contains'"
 
 
-@query(reach_sql(ALL_KINDS, TOP, 12, "SELECT depth, count(*) AS nodes FROM d GROUP BY depth"))
+@query(reach_sql(ALL_KINDS, TOP, paths.MAX_DEPTH, "SELECT depth, count(*) AS nodes FROM d GROUP BY depth"))
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.bfs(edges(spark, sf_dir), top_caller(spark, sf_dir), 12).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
+    return paths.bfs(edges(spark, sf_dir), top_caller(spark, sf_dir)).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query(reach_sql(ALL_KINDS, TOP, 12, "SELECT node, depth FROM d"))
+@query(reach_sql(ALL_KINDS, TOP, paths.MAX_DEPTH, "SELECT node, depth FROM d"))
 def bfs_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.bfs(edges(spark, sf_dir), top_caller(spark, sf_dir), 12).select("node", "depth")
+    return paths.bfs(edges(spark, sf_dir), top_caller(spark, sf_dir)).select("node", "depth")
 
 
-@query(reach_sql("'calls'", TOP, 8, "SELECT node, depth FROM d"))
+@query(reach_sql("'calls'", TOP, paths.MAX_DEPTH, "SELECT node, depth FROM d"))
 def bfs_calls_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.bfs(edges(spark, sf_dir), top_caller(spark, sf_dir), 8, kinds=["calls"]).select("node", "depth")
+    return paths.bfs(edges(spark, sf_dir), top_caller(spark, sf_dir), kinds=["calls"]).select("node", "depth")
 
 
 FAR = "SELECT true AS found, max(depth) AS total_hops FROM d"
 
 
-def far_node(spark: SparkSession, sf_dir: str, depth: int) -> str:
-    return paths.bfs(edges(spark, sf_dir), top_caller(spark, sf_dir), depth).orderBy(F.col("depth").desc(), "node").first()["node"]
+def far_node(spark: SparkSession, sf_dir: str) -> str:
+    return paths.bfs(edges(spark, sf_dir), top_caller(spark, sf_dir)).orderBy(F.col("depth").desc(), "node").first()["node"]
 
 
-@query(reach_sql(ALL_KINDS, TOP, 6, FAR))
+@query(reach_sql(ALL_KINDS, TOP, paths.MAX_DEPTH, FAR))
 def bfs_path_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The way to a farthest node within six hops has as many hops as its level."""
+    """The way to a farthest node has as many hops as its level."""
     start = top_caller(spark, sf_dir)
-    return paths.find_path(symbols(spark, sf_dir), edges(spark, sf_dir), start, far_node(spark, sf_dir, 6)).select("found", "total_hops")
+    return paths.find_path(symbols(spark, sf_dir), edges(spark, sf_dir), start, far_node(spark, sf_dir)).select("found", "total_hops")
 
 
 @query()
 def path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of that way, numbered; which of several shortest ways depends on edge order."""
     start = top_caller(spark, sf_dir)
-    return paths.find_path(symbols(spark, sf_dir), edges(spark, sf_dir), start, far_node(spark, sf_dir, 6)).select(F.posexplode("node_ids").alias("step", "node"))
+    return paths.find_path(symbols(spark, sf_dir), edges(spark, sf_dir), start, far_node(spark, sf_dir)).select(F.posexplode("node_ids").alias("step", "node"))
 
 
 @query(
     CTE.replace("WITH cls", "WITH RECURSIVE cls", 1)
-    + f""", e AS (SELECT source, target, min(CASE kind WHEN 'calls' THEN 1.0 WHEN 'instantiates' THEN 1.2 WHEN 'inherits' THEN 1.8 ELSE 2.5 END) AS w FROM edges GROUP BY source, target),
-r(node, hops, cost) AS (SELECT {TOP}, 0, CAST(0 AS DOUBLE) UNION SELECT e.target, r.hops + 1, round(r.cost + e.w, 6) FROM r JOIN e ON e.source = r.node WHERE r.hops < 9)
-SELECT node, CAST(round(min(cost), 4) AS DOUBLE) AS cost FROM r GROUP BY node HAVING min(cost) < 6"""
+    + f""", e AS (SELECT source, target, min(CASE kind WHEN 'calls' THEN 1.0::DOUBLE WHEN 'instantiates' THEN 1.2 WHEN 'inherits' THEN 1.8 ELSE 2.5 END) AS w FROM edges GROUP BY source, target),
+r(node, cost) USING KEY (node) AS (SELECT {TOP}, 0.0::DOUBLE UNION
+  SELECT e.target, min(r.cost + e.w) FROM r JOIN e ON e.source = r.node LEFT JOIN recurring.r AS old ON old.node = e.target WHERE old.cost IS NULL OR r.cost + e.w < old.cost - 1e-9 GROUP BY e.target)
+SELECT node, CAST(round(cost, 4) AS DOUBLE) AS cost FROM r"""
 )
 def dijkstra_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs under 6, which no path of more than nine edges can undercut."""
-    return paths.cheapest(edges(spark, sf_dir), top_caller(spark, sf_dir)).where("cost < 6").select("node", F.round("cost", 4).alias("cost"))
+    """The least cost of every node that can be reached."""
+    return paths.cheapest(edges(spark, sf_dir), top_caller(spark, sf_dir)).select("node", F.round("cost", 4).alias("cost"))
 
 
 # --- dead code -----------------------------------------------------------------------------

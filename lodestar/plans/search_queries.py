@@ -173,12 +173,12 @@ def tool_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_queries.ego_neighbors(spark, sf_dir).select("direction", "kind", "name")
 
 
-@query(graph_queries.reach_sql(graph_queries.ALL_KINDS, graph_queries.TOP, 6, "SELECT unnest(range(0, max(depth) + 1))::INTEGER AS step FROM d"))
+@query(graph_queries.reach_sql(graph_queries.ALL_KINDS, graph_queries.TOP, graph_queries.paths.MAX_DEPTH, "SELECT unnest(range(0, max(depth) + 1))::INTEGER AS step FROM d"))
 def tool_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbered steps of a traced path: one more than its hops."""
     e = edges(spark, sf_dir)
     start = graph_queries.top_caller(spark, sf_dir)
-    found = graph_queries.paths.find_path(symbols(spark, sf_dir), e, start, graph_queries.far_node(spark, sf_dir, 6))
+    found = graph_queries.paths.find_path(symbols(spark, sf_dir), e, start, graph_queries.far_node(spark, sf_dir))
     return tools.trace_steps(found, e).select("step")
 
 
