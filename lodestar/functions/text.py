@@ -183,5 +183,5 @@ def source_order(line: Column, column: Column) -> Column:
 
     It has room for lines and columns up to 2^31 and keeps files with unequal hashes apart.
     """
-    file = F.xxhash64("file_path").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")
+    file = F.xxhash64("file_path").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
     return (file * F.lit(1 << 62).cast("decimal(19,0)") + (line.cast("long") * F.lit(1 << 31) + column.cast("long"))).cast("decimal(38,0)")
