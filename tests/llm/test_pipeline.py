@@ -5,7 +5,7 @@ import collections
 import pytest
 
 import corpus_pipeline
-from lodestar.llm import line_dedup, mixing, packing, queries, simhash_dedup, toxicity
+from lodestar.llm import line_dedup, mixing, packing, queries, toxicity
 from lodestar.llm.staging import stage
 
 SF = "/root/testdata/sf0.001"
@@ -26,6 +26,29 @@ def test_columns_and_order(steps):
     assert all(s.columns == steps[0].columns for s in steps[:-1])
 
 
+def plain_singles(rows):
+    """The smallest doc_id of every group that Jaccard similarities of 0.8 over five-word shingles connect, by all pairs."""
+    sets = {}
+    for r in rows:
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in ids:
+        for j in ids:
+            a, b = sets[i], sets[j]
+            if i < j and (a == b or (a and b and len(a & b) >= 0.8 * len(a | b))):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return sorted({find(i) for i in ids})
+
+
 def test_stages(spark, steps):
     docs, clean, lines, single, mixed, packed = steps
     labels = spark.read.parquet(f"{SF}/labels.parquet")
@@ -33,8 +56,7 @@ def test_stages(spark, steps):
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in scores.where("score < 0.3").collect()}
     want = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(clean).collect()}
     assert {r["doc_id"]: r["text"] for r in lines.collect()} == want
-    classes = simhash_dedup.near_duplicates(lines, words=5).collect()
-    assert sorted(r["doc_id"] for r in single.collect()) == sorted({r["component_id"] for r in classes})
+    assert sorted(r["doc_id"] for r in single.collect()) == plain_singles(lines.select("doc_id", "text").collect())
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(single).collect()}
     assert collections.Counter(r["doc_id"] for r in mixed.collect()) == collections.Counter({i: n for i, n in copies.items() if n})
     tokens = packing.tokenized_pieces(mixed, queries.tokenizer_path(), 2048)
