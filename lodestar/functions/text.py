@@ -32,11 +32,6 @@ def masked_python(s: pd.Series) -> pd.Series:
     return s.map(mask_code, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def masked_script(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: mask_code(x, python=False), na_action="ignore")
-
-
 def split_top(text: str, delimiter: str) -> list[str]:
     """Split outside brackets and quotes; parts are trimmed and an empty tail is dropped."""
     parts, depth, quote, at = [], 0, "", 0
@@ -103,9 +98,10 @@ def clean_docstring(raw: str) -> str:
 
 def parse_doc(raw: str | None, comments: str | None = None) -> dict | None:
     """Summary, description, parameters and return text; leading comments stand in for a missing docstring."""
-    text = clean_docstring(raw) if raw else re.sub(r"(?m)^\s*#+ ?", "", comments or "").strip()
+    text = clean_docstring(raw) if raw else ""
     if not text:
-        return None
+        told = [s for line in (comments or "").split("\n") if (s := re.sub(r"^\s*#+\s?", "", line).strip())]
+        return {"summary": told[0], "description": "\n".join(told[1:]), "params": {}, "returns": None} if told else None
     prose, params, returns, section, current = [], {}, [], "", ""
     for line in text.split("\n"):
         s = line.strip()

@@ -1,22 +1,27 @@
 """Source text to symbols, imports and call sites, as relational steps over lines and statements.
 
 A file is split into lines, lines are gathered to statements by running bracket depth, and
-blocks are found by indentation with range joins inside a file. Python code is used only to
-blank out strings and comments and to read parameter lists and docstrings.
+blocks are found by one pass over their indents (``blocks``). Python code is used only for that
+pass, to blank out strings and comments, and to read parameter lists and docstrings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
-from lodestar.functions.text import docstring, export_flag, literal_type, masked_python, masked_script, method_kind, normalize_path, parameters, source_order
+from lodestar.functions import script
+from lodestar.functions.text import docstring, export_flag, literal_type, masked_python, method_kind, normalize_path, parameters, source_order
+from lodestar.operators import blocks
 from lodestar.sources.stages import stage
 
 #: fixed values: words before a bracket that are no call
 KEYWORDS = "if elif else while for in return yield assert except with def class lambda and or not is del raise try finally from import as pass break continue global nonlocal async await".split()
-SCRIPT_KEYWORDS = "if for while switch catch return function typeof new await super constructor import of in".split()
 #: fixed values: folders that a scan skips
 SKIPPED = (".git", "__pycache__", ".venv", "node_modules", "out", "dist")
 LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript"}
@@ -34,8 +39,8 @@ def lines_of(files: DataFrame, mask) -> DataFrame:  # noqa: ANN001
     return both.select("file_path", F.posexplode(F.arrays_zip(F.split("t", "\n").alias("raw"), F.split("m", "\n").alias("code"))).alias("n", "x")).select("file_path", (F.col("n") + 1).alias("line"), "x.raw", "x.code")
 
 
-def statements(files: DataFrame) -> DataFrame:
-    """(file_path, stmt, first, last, indent, code, raw): logical lines of Python files."""
+def logical_lines(files: DataFrame) -> DataFrame:
+    """(file_path, stmt, first, last, indent, code, raw, width): statements of Python files, lone comments and blank lines."""
     per_file = W.partitionBy("file_path").orderBy("line")
     before = per_file.rowsBetween(W.unboundedPreceding, -1)
     x = lines_of(files, masked_python)
@@ -46,44 +51,55 @@ def statements(files: DataFrame) -> DataFrame:
     numbered = x.withColumn("own", (~goes_on).cast("int")).withColumn("stmt", F.sum("own").over(per_file))
     ordered = F.array_sort(F.collect_list(F.struct("line", "code", "raw")))
     grouped = numbered.groupBy("file_path", "stmt").agg(ordered.alias("l"))
-    joined = grouped.select("file_path", "stmt", F.get("l.line", F.lit(0)).alias("first"), F.element_at("l.line", -1).alias("last"), F.array_join("l.code", "\n").alias("code"), F.array_join("l.raw", "\n").alias("raw"))
-    return joined.where("trim(translate(code, '\n', ' ')) <> ''").withColumn("indent", F.length(F.regexp_extract("code", r"^([ \t]*)", 1)))
+    joined = grouped.select("file_path", "stmt", F.get("l.line", F.lit(0)).alias("first"), F.element_at("l.line", -1).alias("last"), F.array_join("l.code", "\n").alias("code"), F.array_join("l.raw", "\n").alias("raw"), F.length(F.element_at("l.raw", -1)).alias("width"))
+    return joined.withColumn("indent", F.length(F.regexp_extract("code", r"^([ \t]*)", 1)))
 
 
 DEF = r"^\s*(async\s+)?def\s+(\w+)"
 CLASS = r"^\s*class\s+(\w+)"
 
 
+def python_places(files: DataFrame) -> DataFrame:
+    """Logical lines with what they are and where they stand in their file's blocks (blocks.PLACE)."""
+    code = F.col("code")
+    bare = F.trim(F.translate(code, "\n\t", "  ")) == ""
+    what = (
+        F.when(bare & F.trim(F.translate("raw", "\t", " ")).startswith("#"), F.lit(blocks.COMMENT))
+        .when(bare & (F.trim(F.translate("raw", "\t", " ")) == ""), F.lit(blocks.BLANK))
+        .when(code.rlike(r"^\s*@"), F.lit(blocks.DECORATOR))
+        .when(code.rlike(CLASS), F.lit(blocks.CLASS))
+        .when(code.rlike(DEF), F.lit(blocks.DEF))
+        .otherwise(F.lit(blocks.OTHER))
+    )
+    name = F.when(code.rlike(CLASS), F.regexp_extract(code, CLASS, 1)).when(code.rlike(DEF), F.regexp_extract(code, DEF, 2))
+    lines = stage(logical_lines(files).withColumn("what", what).withColumn("name", name), "extract-lines")
+    return stage(lines.join(blocks.place(lines), ["file_path", "stmt"]), "extract-places")
+
+
 def python_tables(files: DataFrame) -> dict[str, DataFrame]:
-    """symbols, bases, params, imports, call_sites and pipeline_steps of Python files."""
-    st = stage(statements(files), "extract-statements")
-    is_def, is_class, is_deco = F.col("code").rlike(DEF), F.col("code").rlike(CLASS), F.col("code").rlike(r"^\s*@")
-    heads = st.where(is_def | is_class).select("file_path", "stmt", "first", "indent", "code", "raw", is_class.alias("is_class"), F.col("code").rlike(r"^\s*async\b").alias("is_async"), F.when(is_class, F.regexp_extract("code", CLASS, 1)).otherwise(F.regexp_extract("code", DEF, 2)).alias("name"))
-    nexts = st.where(~is_deco | (F.col("indent") == 0)).select(F.col("file_path").alias("f2"), F.col("stmt").alias("s2"), F.col("indent").alias("i2"))
-    ends = heads.join(nexts, (F.col("file_path") == F.col("f2")) & (F.col("s2") > F.col("stmt")) & (F.col("i2") <= F.col("indent")), "left").groupBy("file_path", "stmt").agg(F.coalesce(F.min("s2"), F.lit(1 << 30)).alias("stop"))
-    blocks = stage(heads.join(ends, ["file_path", "stmt"]), "extract-blocks")
-    inner = lambda d: blocks.where(d).select(F.col("file_path").alias("f3"), F.col("stmt").alias("s3"), F.col("stop").alias("e3"), F.col("name").alias("n3"))
-    within = (F.col("file_path") == F.col("f3")) & (F.col("stmt") > F.col("s3")) & (F.col("stmt") < F.col("e3"))
-    top = blocks.join(inner("not is_class"), within, "left_anti")
-    outer = top.join(inner("is_class"), within, "left").groupBy("file_path", "stmt").agg(F.min_by("n3", "s3").alias("owner"))
-    owned = top.join(outer, ["file_path", "stmt"]).where("not (is_class and owner is not null)")
-    decos = st.where(is_deco).select("file_path", "stmt", F.trim("raw").alias("d"), F.col("first").alias("df"), "indent")
-    # a decorator belongs to the next statement that is none
-    after = st.where(~is_deco).select(F.col("file_path").alias("f4"), F.col("stmt").alias("s4"))
-    held = decos.join(after, (F.col("file_path") == F.col("f4")) & (F.col("s4") > F.col("stmt"))).groupBy("file_path", "stmt", "d", "df").agg(F.min("s4").alias("head")).groupBy("file_path", F.col("head").alias("stmt")).agg(F.array_sort(F.collect_list(F.struct("df", "d"))).alias("ds"))
+    """symbols, bases, params, imports, call_sites and pipeline_steps of Python files.
+
+    A symbol reaches from its first decorator to the last line of its block. Comment lines right above
+    it (or above its decorators) stand in for a missing docstring.
+    """
+    lines = python_places(files)
+    st = lines.where(~F.col("what").isin(blocks.COMMENT, blocks.BLANK))
+    is_class = F.col("what") == blocks.CLASS
+    owned = st.where(is_class | (F.col("what") == blocks.DEF)).where("body_of is null and not (what = 'class' and owner is not null)").select("file_path", "stmt", "first", "indent", "code", "raw", is_class.alias("is_class"), F.col("code").rlike(r"^\s*async\b").alias("is_async"), "name", "owner", "end_line", "end_column")
+    decos = st.where(F.col("what") == blocks.DECORATOR).where("head is not null")
+    held = decos.groupBy("file_path", F.col("head").alias("stmt")).agg(F.array_sort(F.collect_list(F.struct(F.col("first").alias("df"), F.trim("raw").alias("d")))).alias("ds"), F.min("stmt").alias("top"))
+    notes = lines.where("comment_of is not null").groupBy("file_path", "comment_of").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stmt", "raw"))), lambda c: c["raw"]), "\n").alias("note"))
+    own_note = notes.select("file_path", F.col("comment_of").alias("stmt"), F.col("note").alias("own_note"))
+    top_note = notes.select("file_path", F.col("comment_of").alias("top"), F.col("note").alias("top_note"))
     exports = st.where(F.col("raw").rlike(r"^__all__\s*=\s*\[")).groupBy("file_path").agg(F.min_by("raw", "stmt").alias("all")).select("file_path", F.transform(F.regexp_extract_all("all", F.lit(r"['\"]([^'\"]*)['\"]"), F.lit(1)), lambda s: F.trim(s)).alias("exported"))
-    docs = st.where(F.trim(F.translate("code", "\n", " ")).rlike(r'^[rRuU]?"\s*"*\s*"+$')).select(F.col("file_path").alias("f5"), F.col("stmt").alias("s5"), F.trim("raw").alias("doc"))
-    first_in = st.select(F.col("file_path").alias("f6"), F.col("stmt").alias("s6"))
-    first = owned.join(first_in, (F.col("file_path") == F.col("f6")) & (F.col("s6") > F.col("stmt")) & (F.col("s6") < F.col("stop"))).groupBy("file_path", "stmt").agg(F.min("s6").alias("first_stmt"))
-    doc = first.join(docs, (F.col("file_path") == F.col("f5")) & (F.col("first_stmt") == F.col("s5"))).select("file_path", "stmt", "doc")
-    rets = st.where(F.col("code").rlike(r"^\s*return\b")).select(F.col("file_path").alias("f7"), F.col("stmt").alias("s7"), F.regexp_replace("raw", r"^\s*return\b\s*", "").alias("expr"))
-    inner_defs = blocks.join(inner("not is_class"), within, "left_semi").select(F.col("file_path").alias("f8"), F.col("stmt").alias("s8"), F.col("stop").alias("e8"))
-    shown = rets.join(inner_defs, (F.col("f7") == F.col("f8")) & (F.col("s7") > F.col("s8")) & (F.col("s7") < F.col("e8")), "left_anti")
-    inferred = owned.where("not is_class").join(shown, (F.col("file_path") == F.col("f7")) & (F.col("s7") > F.col("stmt")) & (F.col("s7") < F.col("stop")), "left").groupBy("file_path", "stmt").agg(F.array_sort(F.array_distinct(F.array_compact(F.collect_list(literal_type(F.col("expr")))))).alias("ts"), F.count("s7").alias("n"))
+    doc = st.where("doc_of is not null").where(F.trim(F.translate("code", "\n", " ")).rlike(r'^[rRuU]?"\s*"*\s*"+$')).select("file_path", F.col("doc_of").alias("stmt"), F.trim("raw").alias("doc"))
+    rets = st.where("body_of is not null and not inner").where(F.col("code").rlike(r"^\s*return\b")).select("file_path", F.col("body_of").alias("stmt"), F.regexp_replace("raw", r"^\s*return\b\s*", "").alias("expr"))
+    returned = rets.groupBy("file_path", "stmt").agg(F.array_sort(F.array_distinct(F.array_compact(F.collect_list(literal_type(F.col("expr")))))).alias("ts"), F.count(F.lit(1)).alias("n"))
+    inferred = owned.where("not is_class").select("file_path", "stmt").join(returned, ["file_path", "stmt"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("ts", F.coalesce("ts", F.array().cast("array<string>")))
     plain = F.filter("ts", lambda t: t != "None")
     union = F.when(F.col("n") == 0, F.lit("None")).when(F.size("ts") == 0, F.lit(None)).when(F.size(plain) == 0, F.lit("None")).when((F.size("ts") == 2) & (F.size(plain) == 1), F.concat(F.lit("Optional["), F.get(plain, F.lit(0)), F.lit("]"))).otherwise(F.array_join("ts", " | "))
     sig = r"(?s)^\s*(?:async\s+)?def\s+\w+\s*(?:\[[^\]]*\])?\s*\((.*)\)\s*(?:->\s*(.+?))?\s*:[^:]*$"
-    joined = owned.join(held, ["file_path", "stmt"], "left").join(exports, "file_path", "left").join(doc, ["file_path", "stmt"], "left").join(inferred.select("file_path", "stmt", union.alias("inferred")), ["file_path", "stmt"], "left")
+    joined = owned.join(held, ["file_path", "stmt"], "left").join(exports, "file_path", "left").join(doc, ["file_path", "stmt"], "left").join(own_note, ["file_path", "stmt"], "left").join(top_note, ["file_path", "top"], "left").join(inferred.select("file_path", "stmt", union.alias("inferred")), ["file_path", "stmt"], "left")
     decorators = F.coalesce(F.col("ds.d"), F.array().cast("array<string>"))
     one_line = F.regexp_replace(F.regexp_replace("raw", r"(?m)\s+#[^\"'\n]*$", ""), r"(:)\s*[^\s:][^:\n]*$", "$1")
     named = joined.select(
@@ -91,11 +107,13 @@ def python_tables(files: DataFrame) -> dict[str, DataFrame]:
         "name",
         F.when(F.col("is_class"), F.lit("class")).when(F.col("owner").isNotNull(), method_kind(decorators, F.col("is_async"))).when(F.col("is_async"), F.lit("async_function")).otherwise(F.lit("function")).alias("kind"),
         "file_path",
-        F.coalesce(F.get("ds.df", F.lit(0)), F.col("first")).alias("start_line"),
+        F.coalesce(F.get("ds.df", F.lit(0)), F.col("first")).cast("int").alias("start_line"),
+        (F.col("indent") + 1).alias("start_column"),
+        "end_line",
+        "end_column",
         "stmt",
-        "stop",
         decorators.alias("decorators"),
-        docstring("doc", F.lit(None).cast("string")).alias("docstring"),
+        docstring("doc", F.coalesce("top_note", "own_note")).alias("docstring"),
         F.when(F.col("owner").isNotNull(), F.lit(False)).otherwise(export_flag(F.col("name"), F.col("file_path"), F.col("exported"))).alias("is_exported"),
         F.when(F.col("owner").isNotNull(), F.concat("file_path", F.lit("#"), "owner")).alias("parent_class_id"),
         F.when(~F.col("is_class"), parameters(F.regexp_extract(one_line, sig, 1))).alias("parameters"),
@@ -105,7 +123,7 @@ def python_tables(files: DataFrame) -> dict[str, DataFrame]:
     symbols = stage(named, "extract-symbols")
     bases = symbols.where("bases_text <> ''").select(F.col("id").alias("class_id"), F.posexplode(F.split("bases_text", r"\s*,\s*")).alias("base_ord", "b")).select("class_id", "base_ord", F.trim("b").alias("base"))
     params = symbols.where("kind <> 'class'").select("id", F.explode("parameters").alias("p")).select("id", F.col("p.name").alias("param"), "p.type_hint")
-    return {"symbols": symbols.drop("bases_text", "stmt", "stop"), "bases": bases, "params": params, "imports": python_imports(st), **python_calls(st, symbols)}
+    return {"symbols": symbols.drop("bases_text", "stmt"), "bases": bases, "params": params, "imports": python_imports(st), **python_calls(st, symbols)}
 
 
 def python_imports(st: DataFrame) -> DataFrame:
@@ -143,11 +161,9 @@ def call_chain(code: Column, keywords: list[str]) -> Column:
 def python_calls(st: DataFrame, symbols: DataFrame) -> dict[str, DataFrame]:
     """call_sites and pipeline_steps: calls in function bodies and in module statements."""
     line = F.posexplode(F.split("code", "\n")).alias("k", "text")
-    body = symbols.where("kind <> 'class'").select(F.col("file_path").alias("f"), F.col("stmt").alias("s"), F.col("stop").alias("e"), "id")
-    held = st.join(body, (F.col("file_path") == F.col("f")) & (F.col("stmt") > F.col("s")) & (F.col("stmt") < F.col("e")))
-    inner = held.select("file_path", F.col("id").alias("caller_id"), "first", line)
-    blocks = symbols.where("parent_class_id is null").select(F.col("file_path").alias("f"), F.col("stmt").alias("s"), F.col("stop").alias("e"))
-    loose = st.where(~F.col("code").rlike(r"^\s*(@|from\s|import\s)") & ~F.col("code").rlike(DEF) & ~F.col("code").rlike(CLASS)).join(blocks, (F.col("file_path") == F.col("f")) & (F.col("stmt") >= F.col("s")) & (F.col("stmt") < F.col("e")), "left_anti")
+    body = symbols.where("kind <> 'class'").select("file_path", F.col("stmt").alias("body_of"), F.col("id").alias("caller_id"))
+    inner = st.join(body, ["file_path", "body_of"]).select("file_path", "caller_id", "first", line)
+    loose = st.where("loose").where(~F.col("code").rlike(r"^\s*(from\s|import\s)"))
     outer = loose.select("file_path", F.concat("file_path", F.lit("#<module>")).alias("caller_id"), "first", line)
     spread = inner.unionByName(outer).select("file_path", "caller_id", (F.col("first") + F.col("k")).cast("long").alias("line"), F.col("text"), F.explode(call_chain(F.col("text"), KEYWORDS)).alias("c"))
     order = source_order(F.col("line"), F.col("col"))
@@ -157,58 +173,64 @@ def python_calls(st: DataFrame, symbols: DataFrame) -> dict[str, DataFrame]:
     return {"call_sites": calls.drop("call_snippet"), "pipeline_steps": pipeline}
 
 
+PARAMETERS = pa.list_(pa.struct([(c, pa.string()) for c in ("name", "type_hint", "default_value", "kind")]))
+#: columns of the rows of a script file; those that a kind of row doesn't have are null
+SCRIPT_ROW = {
+    **dict.fromkeys(("file_path", "what", "name", "kind", "owner"), pa.string()),
+    **dict.fromkeys(("line", "col", "end_line", "end_column"), pa.int32()),
+    "exported": pa.bool_(),
+    "params": PARAMETERS,
+    "returns": pa.string(),
+    "bases": pa.list_(pa.string()),
+    **dict.fromkeys(("summary", "description", "module", "alias"), pa.string()),
+}
+
+
+def script_rows(files: DataFrame) -> DataFrame:
+    """SCRIPT_ROW of TypeScript and JavaScript files: what one pass over a file's tokens finds."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows = script.rows_of(content.as_py())
+                columns = [pa.array([path] * len(rows) if n == "file_path" else [r.get(n) for r in rows], t) for n, t in SCRIPT_ROW.items()]
+                yield pa.RecordBatch.from_arrays(columns, names=list(SCRIPT_ROW))
+
+    ddl = ", ".join(f"{n} {from_arrow_type(t).simpleString()}" for n, t in SCRIPT_ROW.items())
+    return files.select(normalize_path(F.col("file_path")).alias("file_path"), "content").mapInArrow(task, ddl)
+
+
 def script_tables(files: DataFrame) -> dict[str, DataFrame]:
-    """symbols, bases, params, imports and call_sites of TypeScript and JavaScript files, by brace depth.
+    """symbols, bases, params, imports and call_sites of TypeScript and JavaScript files.
 
-    Finds classes, methods, constructors, functions, arrow and function expressions that start
-    on one line; a declaration spread over lines is found if its name and bracket share a line.
+    Symbols are classes, methods and constructors, functions at any depth, and arrow functions, function and class
+    expressions that a variable is set to, over any number of lines. Methods of object
+    literals are neither symbols nor calls; what they call belongs to the symbol around them. The last
+    comment before a declaration gives its summary and description.
     """
-    per_file = W.partitionBy("file_path").orderBy("line")
-    x = lines_of(files, masked_script)
-    braces = F.regexp_count("code", F.lit(r"\{")) - F.regexp_count("code", F.lit(r"\}"))
-    st = stage(x.withColumn("depth", F.coalesce(F.sum(braces).over(per_file.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("after", F.col("depth") + braces), "script-lines")
-    c = F.col("code")
-    cls = r"\bclass\s+(\w+)(?:\s*<[^>{]*>)?(?:\s+extends\s+([\w.]+))?"
-    fun = r"\bfunction\s*\*?\s*(\w+)\s*(?:<[^>(]*>)?\s*\(([^)]*)\)?\s*(?::\s*([^{=]+))?"
-    arrow = r"\b(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s+)?(?:function\s*\w*\s*)?(?:<[^>(]*>)?\(([^)]*)\)\s*(?::\s*([^={]+?))?\s*(?:=>|\{)"
-    method = r"^\s*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?(#?\w+)\s*(?:<[^>(]*>)?\(([^)]*)\)\s*(?::\s*([^{;]+))?\s*\{"
-    raw = F.col("raw")
-    found = st.select("file_path", "line", "depth", "after", "raw", F.when(c.rlike(cls), F.lit("class")).when(c.rlike(fun), F.lit("function")).when(c.rlike(arrow), F.lit("arrow")).when(c.rlike(method) & ~F.regexp_extract(c, method, 1).isin(*[k for k in SCRIPT_KEYWORDS if k != "constructor"]), F.lit("method")).alias("what")).where("what is not null")
-    part = lambda i: F.when(F.col("what") == "function", F.regexp_extract(raw, fun, i)).when(F.col("what") == "arrow", F.regexp_extract(raw, arrow, i)).otherwise(F.regexp_extract(raw, method, i))
-    heads = found.withColumn("name", F.when(F.col("what") == "class", F.regexp_extract(raw, cls, 1)).otherwise(part(1))).withColumn("args", part(2)).withColumn("ret", F.trim(part(3)))
-    ends = heads.join(st.select(F.col("file_path").alias("f2"), F.col("line").alias("l2"), F.col("after").alias("a2")), (F.col("file_path") == F.col("f2")) & (F.col("l2") >= F.col("line")) & (F.col("a2") <= F.col("depth")), "left").groupBy("file_path", "line").agg(F.coalesce(F.min("l2"), F.lit(1 << 30)).alias("stop"))
-    blocks = heads.join(ends, ["file_path", "line"])
-    classes = blocks.where("what = 'class'").select(F.col("file_path").alias("f3"), F.col("line").alias("s3"), F.col("stop").alias("e3"), F.col("depth").alias("d3"), F.col("name").alias("owner"))
-    owned = blocks.join(classes, (F.col("file_path") == F.col("f3")) & (F.col("line") > F.col("s3")) & (F.col("line") <= F.col("e3")) & (F.col("depth") == F.col("d3") + 1), "left").where("what <> 'method' or owner is not null")
-    member = (F.col("what") == "method") & F.col("owner").isNotNull()
-    is_async = raw.rlike(r"\basync\b")
-    symbols = stage(
-        owned.select(
-            F.concat("file_path", F.lit("#"), F.when(member, F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))).alias("id"),
-            "name",
-            F.when(F.col("what") == "class", F.lit("class")).when(member, F.when(raw.rlike(r"\bstatic\b"), F.lit("static_method")).when(is_async, F.lit("async_function")).otherwise(F.lit("method"))).when(is_async, F.lit("async_function")).otherwise(F.lit("function")).alias("kind"),
-            "file_path",
-            F.col("line").alias("start_line"),
-            "stop",
-            F.array().cast("array<string>").alias("decorators"),
-            raw.rlike(r"^\s*export\b").alias("is_exported"),
-            F.when(member, F.concat("file_path", F.lit("#"), "owner")).alias("parent_class_id"),
-            F.when(F.col("what") != "class", F.transform(parameters("args"), lambda p: F.struct(F.regexp_replace(p["name"], r"^\.\.\.|\?$", "").alias("name"), p["type_hint"].alias("type_hint"), p["default_value"].alias("default_value"), F.when(p["name"].startswith("..."), F.lit("args")).otherwise(F.lit("positional")).alias("kind")))).alias("parameters"),
-            F.when(F.col("what") != "class", F.nullif(F.col("ret"), F.lit(""))).alias("return_type"),
-            F.when(F.col("what") == "class", F.nullif(F.regexp_extract(raw, cls, 2), F.lit(""))).alias("base"),
-            F.col("line").cast("long").alias("sym_ord"),
-        ),
-        "script-symbols",
+    rows = stage(script_rows(files), "script-rows")
+    is_class = F.col("kind") == "class"
+    owner = F.concat("file_path", F.lit("#"), "owner")
+    symbols = rows.where("what = 'symbol'").select(
+        F.concat("file_path", F.lit("#"), F.when(F.col("owner").isNotNull(), F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))).alias("id"),
+        "name",
+        "kind",
+        "file_path",
+        F.col("line").alias("start_line"),
+        F.col("col").alias("start_column"),
+        "end_line",
+        "end_column",
+        F.array().cast("array<string>").alias("decorators"),
+        F.struct("summary", "description").alias("docstring"),
+        F.col("exported").alias("is_exported"),
+        owner.alias("parent_class_id"),
+        F.when(~is_class, F.col("params")).alias("parameters"),
+        F.col("returns").alias("return_type"),
+        F.col("line").cast("long").alias("sym_ord"),
     )
-    bases = symbols.where("base is not null").select(F.col("id").alias("class_id"), F.lit(0).alias("base_ord"), "base")
+    heads = rows.where("what = 'symbol' and kind = 'class'")
+    bases = heads.select(F.concat("file_path", F.lit("#"), "name").alias("class_id"), F.posexplode("bases").alias("base_ord", "base"))
     params = symbols.where("kind <> 'class'").select("id", F.explode("parameters").alias("p")).select("id", F.col("p.name").alias("param"), "p.type_hint")
-    imp = r"^\s*import\s+(?:type\s+)?(.+?)\s+from\s+['\"]([^'\"]+)['\"]"
-    names = F.split(F.regexp_replace(F.regexp_extract(raw, imp, 1), r"[{}]", ""), r"\s*,\s*")
-    imports = st.where(raw.rlike(imp)).select("file_path", "line", F.translate(F.regexp_extract(raw, imp, 2), "/", ".").alias("module_name"), F.posexplode(names).alias("k", "item")).withColumn("item", F.trim("item"))
-    imports = imports.select("file_path", "module_name", F.when(~F.col("item").startswith("*"), F.regexp_extract("item", r"^(\w+)", 1)).alias("imported_symbol"), F.nullif(F.regexp_extract("item", r" as (\w+)", 1), F.lit("")).alias("alias"), F.lit(False).alias("is_wildcard"), F.lit(0).alias("level"), source_order(F.col("line"), F.col("k")).alias("imp_ord"))
-    body = symbols.where("kind <> 'class'").select(F.col("file_path").alias("f"), F.col("start_line").alias("s"), F.col("stop").alias("e"), "id")
-    spread = st.select("file_path", F.col("line").cast("long").alias("line"), F.explode(call_chain(c, SCRIPT_KEYWORDS)).alias("x"))
-    inner = spread.join(body, (F.col("file_path") == F.col("f")) & (F.col("line") > F.col("s")) & (F.col("line") <= F.col("e")), "left").groupBy("file_path", "line", "x").agg(F.max_by("id", "s").alias("id"))
-    heads_at = symbols.select(F.col("file_path").alias("f4"), F.col("start_line").alias("s4"), F.col("name").alias("n4"))
-    calls = inner.join(heads_at, (F.col("file_path") == F.col("f4")) & (F.col("line") == F.col("s4")) & (F.col("x.callee") == F.col("n4")), "left_anti").select("file_path", F.coalesce("id", F.concat("file_path", F.lit("#<module>"))).alias("caller_id"), "line", F.col("x.column").cast("long").alias("col"), F.regexp_replace("x.callee", r"^this\.", "self.").alias("callee_name")).withColumn("call_ord", source_order(F.col("line"), F.col("col")))
-    return {"symbols": symbols.drop("base", "stop"), "bases": bases, "params": params, "imports": imports, "call_sites": calls}
+    imports = rows.where("what = 'import'").select("file_path", F.col("module").alias("module_name"), F.col("name").alias("imported_symbol"), "alias", F.lit(False).alias("is_wildcard"), F.lit(0).alias("level"), source_order(F.col("line"), F.col("col")).alias("imp_ord"))
+    calls = rows.where("what = 'call'").select("file_path", F.coalesce(owner, F.concat("file_path", F.lit("#<module>"))).alias("caller_id"), F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"), F.col("name").alias("callee_name"), source_order(F.col("line"), F.col("col")).alias("call_ord"))
+    return {"symbols": symbols, "bases": bases, "params": params, "imports": imports, "call_sites": calls}

@@ -86,9 +86,42 @@ def resolve_suffix(imports: DataFrame, files: DataFrame, submodule: bool = False
     return own.join(suffixes(files), F.col("want") == F.col("suffix")).groupBy("imp_ord").agg(F.min_by("file_path", "file_ord").alias("path"))
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(imp_ord, path): the file of each import; relative, exact, suffix, then submodule matches."""
+def folded_path(folder: Column, module: Column) -> Column:
+    """``module`` below ``folder`` with '.' and '..' worked off on a stack of segments; null above the top."""
+    parts = F.concat(F.split(folder, "/"), F.split(module, "/"))
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(True).alias("inside"))
+
+    def step(seen: Column, part: Column) -> Column:
+        stack, up = seen["stack"], part == ".."
+        kept = F.when(part.isin("", "."), stack).when(up, F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(F.concat(stack, F.array(part)))
+        return F.struct(kept.alias("stack"), (seen["inside"] & ~(up & (F.size(stack) == 0))).alias("inside"))
+
+    done = F.aggregate(parts, start, step)
+    return F.when(done["inside"], F.array_join(done["stack"], "/"))
+
+
+#: fixed values: endings that a script module may be written without, in the order in which they are tried
+SCRIPT_ENDINGS = ("ts", "tsx", "js", "jsx")
+
+
+def resolve_script(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """import s from '../m': the path as it stands, with each ending, the TypeScript source of a .js path, then m/index."""
+    own = imports.where(F.col("module_name").rlike(r"^\.{1,2}(/|$)"))
+    base = folded_path(folder_up(F.col("file_path"), F.lit(1)), F.col("module_name"))
+    source = F.when(base.rlike(r"\.jsx?$"), F.regexp_replace(base, r"\.js(x?)$", ".ts$1"))
+    endings = [F.concat(base, F.lit(f".{e}")) for e in SCRIPT_ENDINGS]
+    return match_paths(own, F.array(base, *endings, source, *[F.concat(below(base, F.lit("index")), F.lit(f".{e}")) for e in SCRIPT_ENDINGS]), files)
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, resolve_ts_paths: bool = False) -> DataFrame:
+    """(imp_ord, path): the file of each import; relative, exact, suffix, then submodule matches.
+
+    With ``resolve_ts_paths`` the relative modules of scripts are found too; without, as originally
+    observed, scripts are linked by names alone.
+    """
     ways = [resolve_relative(imports, files), resolve_exact(imports, files), resolve_suffix(imports, files), resolve_suffix(imports, files, submodule=True)]
+    if resolve_ts_paths:
+        ways.append(resolve_script(imports, files))
     found = reduce(DataFrame.unionByName, [w.withColumn("way", F.lit(i)) for i, w in enumerate(ways)])
     return found.groupBy("imp_ord").agg(F.min_by("path", "way").alias("path"))
 
@@ -124,13 +157,13 @@ def scope_module_import(imports: DataFrame, resolved: DataFrame) -> DataFrame:
     return own.groupBy("file_path", F.coalesce("alias", F.element_at(F.split("module_name", r"\."), -1)).alias("name")).agg(F.max_by("path", "imp_ord").alias("target_file"), F.max("imp_ord").alias("ord")).select("file_path", "name", F.lit("module").alias("kind"), F.lit(None).cast("string").alias("target_id"), "target_file", "ord")
 
 
-def scopes(imports: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+def scopes(imports: DataFrame, files: DataFrame, symbols: DataFrame, resolve_ts_paths: bool = False) -> DataFrame:
     """(file_path, name, kind, target_id, target_file, ord): what a name means at the top of a file.
 
     The last import of a name holds, then a local class, then a wildcard. ``ord`` is the place
     at which the name first came up: local classes, then imports.
     """
-    resolved = resolve_imports(imports, files)
+    resolved = resolve_imports(imports, files, resolve_ts_paths)
     layers = [(0, 1, scope_wildcard(imports, resolved, symbols)), (1, 0, scope_local(symbols)), (2, 1, scope_module_import(imports, resolved)), (2, 1, scope_from_import(imports, resolved, symbols))]
     both = reduce(DataFrame.unionByName, [x.select(*SCOPE).withColumn("layer", F.lit(l)).withColumn("place", F.struct(F.lit(p).alias("late"), "ord")) for l, p, x in layers])
     item = F.max_by(F.struct("kind", "target_id", "target_file"), F.struct("layer", "ord"))
@@ -258,9 +291,9 @@ def best(found: DataFrame) -> DataFrame:
     return found.groupBy("call_ord").agg(F.min_by("target_id", F.struct("prio", "sub_ord")).alias("target_id"))
 
 
-def resolve_calls(call_sites: DataFrame, imports: DataFrame, files: DataFrame, symbols: DataFrame, bases: DataFrame, params: DataFrame) -> DataFrame:
+def resolve_calls(call_sites: DataFrame, imports: DataFrame, files: DataFrame, symbols: DataFrame, bases: DataFrame, params: DataFrame, resolve_ts_paths: bool = False) -> DataFrame:
     """(call_ord, target_id): at most one target per call."""
-    scope = stage(scopes(imports, files, symbols), "resolve-scope")
+    scope = stage(scopes(imports, files, symbols, resolve_ts_paths), "resolve-scope")
     closure = ancestors(base_links(bases, symbols, scope))
     methods = stage(method_table(symbols, closure), "resolve-methods")
     calls = stage(split_calls(call_sites, symbols), "resolve-calls")
