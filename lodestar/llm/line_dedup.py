@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import re
 import sys
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -23,12 +21,14 @@ from lodestar.llm.staging import stage
 from lodestar.llm.words import P1, P2, P3, word_bounds, xxh64_words
 
 WORD = re.compile(r"[^\W_]+")
-ALONE = re.compile("[\u3000-\u9fff]|[^ \u3000-\u9fff]+")  # words, where Chinese and Japanese characters are words each
 CHARS = 1 << 20
 #: Pigeonhole keys by number of words: from, below, classes of words, classes to a key. Where ranges overlap a line has both kinds of keys.
-LEVELS = ((0, 10, 4, 2), (8, 16, 4, 1), (12, 1 << 62, 7, 1))
+LEVELS = ((0, 10, 4, 2), (8, 16, 4, 1), (12, 1 << 62, 9, 1), (36, 1 << 62, 24, 1))
+#: Lines of so many words, from and below, have keys that survive any one word, and any two, as well
+ALL_BUT_ONE, ALL_BUT_TWO = (3, 13), (4, 7)
 LONG_WORD, FEW, IN_BLOCK = 4, 4, 2
-COSINE = 0.5
+#: In lines under so many characters one word moves many bits of a SimHash
+SHORT_CHARS, SHORT_RADIUS = 80, 28
 LINE = T.StructType(
     [T.StructField("doc_key", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("chars", T.IntegerType()), T.StructField("blocks", T.ArrayType(T.LongType()))]
 )
@@ -78,13 +78,6 @@ def similar(a: str, b: str, least: float) -> bool:
     return edit_distance(x, y) <= most
 
 
-def same_words(a: str, b: str, least: float) -> bool:
-    """Whether the cosine of the words' counts, which a SimHash only estimates, is ``least`` or more."""
-    one, two = (Counter(ALONE.findall(x) if max(x) >= "\u3000" else x.split(" ")) for x in (a, b))
-    dot = sum(n * two[w] for w, n in one.items() if w in two)
-    return dot >= least * math.sqrt(sum(n * n for n in one.values()) * sum(n * n for n in two.values()))
-
-
 def word_by_word(a: list[str], b: list[str], most: int) -> int:
     """The cost of one way to edit words ``a`` into ``b``, so no less than the edit distance; past ``most`` it stops.
 
@@ -195,11 +188,39 @@ def block_keys(hashes: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray
         mixed = (bits ^ (np.uint64(level * 64) + (slot % blocks).astype(np.uint64)) * P1) * P2
         rows.append(slot // blocks)
         keys.append((mixed ^ mixed >> np.uint64(32)) * P3)
+    for r, k in all_but_some(hashes, line, words):
+        rows.append(r)
+        keys.append(k)
     rows, keys = np.concatenate(rows), np.concatenate(keys)
     order = np.argsort(rows, kind="stable")
     return np.searchsorted(rows[order], np.arange(n + 1)), keys[order]
 
 
+def all_but_some(hashes: np.ndarray, line: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, keys): in short lines the sum of all words, of all but each one, and in very short ones of all but each two.
+
+    Lines that differ in so many words, replaced, left out or put in anywhere, share one of these keys.
+    """
+    mixed = (hashes ^ hashes >> np.uint64(31)) * P3
+    rows, sums = [], []
+    for n in range(ALL_BUT_ONE[0], ALL_BUT_ONE[1]):
+        own = np.flatnonzero(words == n)
+        if not len(own):
+            continue
+        h = mixed[(words == n)[line]].reshape(-1, n)
+        total = h.sum(1, dtype=np.uint64)
+        left = [total[:, None], total[:, None] - h]
+        if ALL_BUT_TWO[0] <= n < ALL_BUT_TWO[1]:
+            i, j = np.triu_indices(n, 1)
+            left.append(total[:, None] - h[:, i] - h[:, j])
+        left = np.concatenate(left, axis=1)
+        rows.append(np.repeat(own, left.shape[1]))
+        sums.append(left.ravel())
+    if rows:
+        pairs = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), (np.concatenate(sums) ^ P1) * P2]), axis=1)
+        yield pairs[0].astype(np.int64), (pairs[1] ^ pairs[1] >> np.uint64(32)) * P3
+
+
 def line_rows(keys: list[int], ids: list[int | None], texts: list[str], min_words: int) -> pa.RecordBatch:
     """``line_table`` of a few documents."""
     digest = xxhash.xxh64_intdigest
@@ -274,7 +295,7 @@ def near_pairs(fps: np.ndarray, chars: np.ndarray, bucket: np.ndarray, side: np.
     rows = np.flatnonzero(left)
     step = 1
     while len(rows):
-        near = (np.bitwise_count(fps[rows] ^ fps[rows + step]) <= radius) & ((side[rows] != side[rows + step]) | (side[rows] == 0))
+        near = (np.bitwise_count(fps[rows] ^ fps[rows + step]) <= np.where(chars[rows] < SHORT_CHARS, max(radius, SHORT_RADIUS), radius)) & ((side[rows] != side[rows + step]) | (side[rows] == 0))
         a = rows[near]
         a = a[long_enough(chars[a], chars[a + step], similarity)]
         if len(a):
@@ -330,7 +351,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ok = [same_words(x, y, COSINE) and similar(x, y, similarity) for x, y in texts]
+            ok = [similar(x, y, similarity) for x, y in texts]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     one, two = (texts.select(F.col("id").alias(f"i{c}"), F.col("norm").alias(f"n{c}")) for c in "ab")
@@ -379,7 +400,7 @@ def links_across(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
                 a, b = a[ok], b[ok]
                 for i, j in zip(a.tolist(), b.tolist(), strict=True):
                     p, q = find(int(part[i])), find(int(part[j]))
-                    if p != q and same_words(norm[i], norm[j], COSINE) and similar(norm[i], norm[j], similarity):
+                    if p != q and similar(norm[i], norm[j], similarity):
                         parent[max(p, q)] = min(p, q)
                         out.append((int(part[i]), int(part[j])))
             if out:
@@ -412,14 +433,13 @@ def line_roots(nodes: DataFrame, docs: DataFrame, radius: int, similarity: float
     return moved
 
 
-def line_groups(docs: DataFrame, min_words: int = 5, radius: int = 16, similarity: float = 0.8, tile: int = 512) -> DataFrame:
+def line_groups(docs: DataFrame, min_words: int = 5, radius: int = 20, similarity: float = 0.8, tile: int = 512) -> DataFrame:
     """(doc_key, doc_id, line_no, id, root, kept) for every line with a letter or digit.
 
     Equal normalised lines are one node, whatever their length and wherever they stand. Nodes
     of ``min_words`` or more words that share a SimHash block, and whose SimHashes as a whole
-    differ in at most ``radius`` bits, are compared, and linked where the cosine of their
-    words is COSINE or more and their edit similarity ``similarity`` or more in characters. What is compared doesn't depend on
-    the number of lines. Of each connected group the occurrence with the smallest (doc_id,
+    differ in at most ``radius`` bits (short ones in SHORT_RADIUS), are compared, and linked where their
+    edit similarity is ``similarity`` or more in characters. What is compared doesn't depend on the number of lines. Of each connected group the occurrence with the smallest (doc_id,
     document key, line number) is kept; a null doc_id comes first. ``id`` and ``fp`` together
     name a line, so two lines whose ids collide stay apart.
     """
@@ -434,7 +454,7 @@ def line_groups(docs: DataFrame, min_words: int = 5, radius: int = 16, similarit
     return lines.drop("blocks").where("id is not null").join(repeated, same, "left").select("doc_key", "doc_id", "line_no", "id", F.coalesce("root", "id").alias("root"), (F.col("group_first").isNull() | (F.col("group_first") == occurrence)).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 16, similarity: float = 0.8) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 20, similarity: float = 0.8) -> DataFrame:
     """``docs`` with extra columns __dropped and a ``text`` that keeps one occurrence of each group.
 
     Lines are what \\n separates. A document keeps its other lines as they were, in order; it

@@ -57,6 +57,45 @@ def test_recall_on_edited_lines(spark):
     assert sum(root[2 * i, 0] == root[2 * i + 1, 0] for i in range(total)) >= 0.9 * total
 
 
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_recall_by_length(spark, seed):
+    """As above, for lines of each length by itself."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choices("abcdefghilmnoprstu", k=rnd.choice([2, 3, 4, 5, 6, 7, 8, 9])))
+    rows, lengths = [], [5, 7, 10, 14, 20, 40, 80]
+    for n in lengths:
+        total = 0
+        while total < 150:
+            words = [word() for _ in range(n)]
+            rate, other = rnd.choice([0.03, 0.06, 0.1, 0.15, 0.2]), []
+            for w in words:
+                r = rnd.random() / rate
+                other += [w] if r >= 1 else [word()] if r < 0.6 else [] if r < 0.8 else [w, word()]
+            a, b = " ".join(words), " ".join(other)
+            if a != b and len(other) >= 5 and alike(a, b):
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+                total += 1
+    root = roots(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    for k, n in enumerate(lengths):
+        assert sum(root[i, 0] == root[i + 1, 0] for i in range(300 * k, 300 * (k + 1), 2)) >= 0.9 * 150, n
+
+
+def test_one_word_of_a_short_line_never_parts_it(spark):
+    """Whichever word is replaced, left out or put in: a link as long as the edit similarity allows it."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("abcdefghilmnoprstu", k=rnd.choice([4, 5, 6, 7, 8])))
+    rows = []
+    while len(rows) < 400:
+        words = [word() for _ in range(rnd.randint(5, 12))]
+        at, how = rnd.randrange(len(words)), rnd.choice("rdi")
+        other = words[:at] + ([word()] if how != "d" else []) + words[at + (how != "i") :]
+        a, b = " ".join(words), " ".join(other)
+        if a != b and len(other) >= 5 and alike(a, b):
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    root = roots(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(root[i, 0] == root[i + 1, 0] for i in range(0, 400, 2)) >= 0.98 * 200
+
+
 def test_short_lines_and_unspaced_scripts(spark):
     rows = [(1, "Read more\n你好世界这是一个很长的句子没有空格"), (2, "read  more!\n你好世界这是一个很长的句子也没有空格"), (3, "Read mote\n完全不同的另外一句话在这里出现了"), (4, None), (5, "")]
     root = roots(spark, spark.createDataFrame(rows, "doc_id long, text string"))
