@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)>", re.S)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ATTRIBUTE = re.compile(r"(class|id|role|aria-label|itemprop|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 HINT = re.compile(r"[a-z]+|\d+")
 # fixed values: element names of the HTML standard
@@ -23,7 +24,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OPAQUE = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select option".split())
 RAW = frozenset("script style textarea title iframe".split())  # hold text only, no tags
-END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in OPAQUE}
+END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in OPAQUE | INLINE | {"form"}}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("ul ol dl table div section article main body aside nav footer header form".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -62,7 +63,7 @@ def parse(source: str) -> Page:
     stack: list[tuple[str, int]] = []
     parts: list[str] = []
     linked = links = 0
-    opaque, depth = "", 0
+    opaque, depth, mute = "", 0, False  # mute: what an unclosed element would show, up to the next tag
     inside: Counter[str] = Counter()  # elements open within the opaque one
     next_end: dict[str, re.Match | None] = {}
     at = 0
@@ -73,13 +74,16 @@ def parse(source: str) -> Page:
             next_end[tag] = END[tag].search(source, at)
         return next_end[tag]
 
+    def unseen(attributes: str) -> bool:
+        return any(name.lower() == "hidden" or (name.lower() == "style" and UNSEEN.search(value)) for name, value in ATTRIBUTE.findall(attributes))
+
     def element(tag: str, attributes: str) -> None:
         own = [MAYBE.get(tag, len(TAGS)), AT["bias"]]
         if attributes and not attributes.isspace():
             words: set[str] = set()
             for name, value in ATTRIBUTE.findall(attributes):
                 name = name.lower()
-                if name == "hidden" or (name == "style" and "none" in value.lower()):
+                if name == "hidden" or (name == "style" and UNSEEN.search(value)):
                     own.append(AT["hidden"])
                 elif name != "style":
                     words.update(HINT.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
@@ -116,7 +120,7 @@ def parse(source: str) -> Page:
 
     def data(raw: str) -> None:
         nonlocal linked
-        if raw and not opaque:
+        if raw and not opaque and not mute:
             raw = html.unescape(raw) if "&" in raw else raw
             parts.append(raw)
             if links:
@@ -130,12 +134,17 @@ def parse(source: str) -> Page:
             continue
         closing = bool(m[1])
         empty = m[3].endswith("/")
+        mute = False
         if tag in RAW:
-            if not closing and not empty:
+            if not closing:
                 if end := end_of(tag):
                     at = end.end()
                 elif tag in ("script", "style"):  # code to the end of the page
                     at = len(source)
+                elif tag == "textarea" and any(t == "form" for t, _ in stack) and (end := end_of("form")):
+                    at = end.start()
+                else:
+                    mute = True
             continue
         if opaque:
             if tag == opaque:
@@ -153,11 +162,18 @@ def parse(source: str) -> Page:
                 inside[tag] = max(0, inside[tag] + (-1 if closing else not empty))
                 continue
         if tag in OPAQUE:
-            if not closing and not empty and end_of(tag):
-                opaque, depth = tag, 1
-                inside.clear()
+            if not closing and not empty:
+                if end_of(tag):
+                    opaque, depth = tag, 1
+                    inside.clear()
+                else:
+                    mute = True
             continue
         if tag in INLINE:
+            if not closing and not empty and m[3] and tag not in VOID and unseen(m[3]) and end_of(tag):
+                opaque, depth = tag, 1
+                inside.clear()
+                continue
             if tag == "a":
                 links = 0 if closing else 1
             continue
@@ -297,7 +313,7 @@ def labelled_pages(n: int = 300, seed: int = 11) -> Iterator[tuple[str, set[str]
         items = [f'<a href="/{words(1, 1)}">{words(1, 3)}</a>' for _ in range(k)]
         return "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>" if tag == "ul" else " ".join(items)
 
-    for _ in range(n):
+    for number in range(n):
         content: set[str] = set()
 
         def keep(tag: str, text: str, content: set[str] = content) -> str:
@@ -318,6 +334,12 @@ def labelled_pages(n: int = 300, seed: int = 11) -> Iterator[tuple[str, set[str]
             lambda: f"<ul{attr('comments', 'commentlist')}>{''.join('<li>%s</li>' % sentence(3, 40) for _ in range(rnd.randint(1, 5)))}</ul>",
             lambda: f"<div{attr('share', 'social', 'tags')}>{links(rnd.randint(2, 5), '')}</div>",
         ]
+        # drawn apart from the rest, so that the other parts of a page stay what they were without it
+        aside = random.Random(f"unseen {seed} {number}")
+        mark = aside.choice(("hidden", 'style="display:none"', 'style="display: none;"', 'hidden=""'))
+        lost = [" ".join("".join(aside.choices("abcdefghijklmnoprstuvwz", k=aside.randint(2, 9))) for _ in range(aside.randint(3, 40))).capitalize() + "." for _ in range(aside.randint(1, 3))]
+        tag = aside.choice(("div", "p", "section", "span", "li"))
+        unseen = f"<{tag} {mark}>{lost[0]}</{tag}>" if tag in ("p", "li", "span") else f"<{tag} {mark}>{''.join(f'<p>{x}</p>' for x in lost)}</{tag}>"
         foot = [
             lambda: f"<footer{attr('', 'footer')}>{rnd.choice(('&copy; %s', '<p>&copy; %s</p>', '<p>%s</p>', '%s')) % sentence(3, 30)}{links(rnd.randint(0, 4), '')}</footer>",
             lambda: f"<div{attr('footer', 'copyright', 'legal')}><p>{rnd.choice(('&copy; ', ''))}{sentence(3, 25)}</p></div>",
@@ -343,6 +365,11 @@ def labelled_pages(n: int = 300, seed: int = 11) -> Iterator[tuple[str, set[str]
                 body.append(keep("p", f"{words(2, 10)}. {words(1, 2)}"))
             if rnd.random() < 0.14:
                 body.append(rnd.choice(boiler[3:])())
+        if aside.random() < 0.4:
+            body.insert(aside.randint(0, len(body)), unseen)
+        if aside.random() < 0.4:
+            asked = "".join(f"<label>{' '.join(x.split()[:aside.randint(1, 3)])}</label><input name=q>" for x in lost)
+            body.insert(aside.randint(0, len(body)), f"<form{aside.choice(('', ' action=/q'))}>{asked}<select><option>{lost[0]}</select>{aside.choice(('', '<button>%s</button>' % lost[0].split()[0]))}</form>")
         inner = "".join(body)
         wrap = rnd.choice(("article", "article", "main", "div-seek", "div", "main-article", "section", "nested"))
         shell = {"article": f"<article{attr('', 'post')}>{inner}</article>", "main": f"<main>{inner}</main>", "div-seek": f"<div{attr('content', 'post', 'entry', 'article-body', 'main')}>{inner}</div>", "div": f"<div>{inner}</div>", "main-article": f"<main><article>{inner}</article></main>", "section": f"<section{attr('', 'content')}>{inner}</section>", "nested": f"<div{attr('', 'page', 'wrapper')}><div{attr('content', 'main', '')}><article>{inner}</article></div></div>"}[wrap]
