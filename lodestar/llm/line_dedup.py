@@ -28,7 +28,8 @@ LEVELS = ((0, 10, 4, 2), (8, 16, 4, 1), (12, 1 << 62, 9, 1), (36, 1 << 62, 24, 1
 ALL_BUT_ONE, ALL_BUT_TWO = (3, 13), (4, 7)
 LONG_WORD, FEW, IN_BLOCK = 4, 4, 2
 #: In lines under so many characters one word moves many bits of a SimHash
-SHORT_CHARS, SHORT_RADIUS = 80, 28
+SHORT_CHARS, SHORT_RADIUS = 80, 24
+GRAMS = 256
 LINE = T.StructType(
     [T.StructField("doc_key", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("chars", T.IntegerType()), T.StructField("blocks", T.ArrayType(T.LongType()))]
 )
@@ -112,6 +113,30 @@ def shared_prefix(a: str, b: str) -> int:
     return lo
 
 
+def gram_counts(texts: list[str]) -> np.ndarray:
+    """How often each of GRAMS classes of character pairs stands in each text, up to 255."""
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.flatnonzero(codes == ord("\n"))
+    row = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=-1))
+    inside = np.flatnonzero((codes[:-1] != ord("\n")) & (codes[1:] != ord("\n"))) if len(codes) > 1 else np.zeros(0, np.int64)
+    kind = (codes[inside] * P1 ^ codes[inside + 1] * P2) * P3 >> np.uint64(64 - GRAMS.bit_length() + 1)
+    return np.minimum(np.bincount(row[inside] * GRAMS + kind.astype(np.int64), minlength=len(texts) * GRAMS), 255).astype(np.uint8).reshape(len(texts), GRAMS)
+
+
+def within_reach(one: np.ndarray, two: np.ndarray, longer: np.ndarray, least: float) -> np.ndarray:
+    """Pairs of ``gram_counts`` rows whose texts may have the similarity.
+
+    One edit of a character changes at most four counts by one, so no similar pair is lost: classes
+    that coincide, and counts that are cut off, only bring rows closer.
+    """
+    most = 4 * np.floor((1 - least) * longer + 1e-9)
+    out = np.empty(len(one), bool)
+    for at in range(0, len(one), 4096):
+        part = slice(at, at + 4096)
+        out[part] = np.abs(one[part].astype(np.int16) - two[part]).sum(1) <= most[part]
+    return out
+
+
 def long_enough(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """Pairs of lengths that leave room for the similarity."""
     return np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
@@ -304,6 +329,31 @@ def near_pairs(fps: np.ndarray, chars: np.ndarray, bucket: np.ndarray, side: np.
         rows = rows[left[rows] >= step]
 
 
+def shared_keys(nodes: DataFrame, tile: int) -> DataFrame:
+    """(k, id): the keys of ``nodes`` that more than one of them has.
+
+    Most keys belong to one line. They go here, while a row is two numbers, so that only what can
+    meet is dealt with its fingerprint. Keys of more than ``tile`` lines are set apart before, and
+    never gather in one task.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_buckets(batches, "k"):
+            k = table.column("k").to_numpy()
+            same = np.append(k[1:] == k[:-1], False)
+            same[1:] |= same[:-1]
+            if same.any():
+                yield from table.filter(pa.array(same)).to_batches()
+
+    keys = nodes.select(F.explode("blocks").alias("k"), "id")
+    large = stage(keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select(F.col("k").alias("lk")), "line-large")
+    if large.count() <= 250_000:  # about 5 MB
+        large = F.broadcast(large)
+    common = F.col("k") == F.col("lk")
+    few = keys.join(large, common, "left_anti").repartition("k").sortWithinPartitions("k").mapInArrow(met, "k long, id long")
+    return stage(few.unionByName(keys.join(large, common, "left_semi")), "line-keys")
+
+
 def block_hits(nodes: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
     """(bucket, side, id, fp, chars, partner): the lines that share a block with one that may be similar.
 
@@ -322,7 +372,8 @@ def block_hits(nodes: DataFrame, radius: int, similarity: float, tile: int) -> D
                 named = pa.array(ids[partner], mask=partner < 0)
                 yield from table.append_column("partner", named).filter(pa.array(hit)).to_batches()
 
-    keyed = tiled(nodes.select("id", "fp", "chars", F.explode("blocks").alias("k")), ["fp", "id"], tile, "lines")
+    held = nodes.select("id", "fp", "chars").join(shared_keys(nodes, tile), "id")
+    keyed = tiled(held, ["fp", "id"], tile, "lines")
     schema = T.StructType([*keyed.schema.fields, T.StructField("partner", T.LongType())])
     return keyed.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, schema)
 
@@ -350,8 +401,10 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ok = [similar(x, y, similarity) for x, y in texts]
+            one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            longer = np.array([max(len(x), len(y)) for x, y in zip(one, two, strict=True)], np.int64)
+            near = within_reach(gram_counts(one), gram_counts(two), longer, similarity)
+            ok = [n and similar(x, y, similarity) for n, x, y in zip(near.tolist(), one, two, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     one, two = (texts.select(F.col("id").alias(f"i{c}"), F.col("norm").alias(f"n{c}")) for c in "ab")
@@ -386,6 +439,7 @@ def links_across(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
         for table in whole_buckets(batches, "bucket", 1 << 12):
             bucket, side, ids, fps, chars, part = (table.column(c).to_numpy() for c in ("bucket", "side", "id", "fp", "chars", "part"))
             norm = table.column("norm").to_pylist()
+            grams = gram_counts(norm)
             parent: dict[int, int] = {}
 
             def find(i: int) -> int:
@@ -398,6 +452,8 @@ def links_across(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
             for a, b in near_pairs(fps.view(np.uint64), chars, bucket, side, radius, similarity):
                 ok = part[a] != part[b]
                 a, b = a[ok], b[ok]
+                ok = within_reach(grams[a], grams[b], np.maximum(chars[a], chars[b]), similarity)
+                a, b = a[ok], b[ok]
                 for i, j in zip(a.tolist(), b.tolist(), strict=True):
                     p, q = find(int(part[i])), find(int(part[j]))
                     if p != q and similar(norm[i], norm[j], similarity):

@@ -124,3 +124,29 @@ def test_blocks_outlive_other_edits(words, least):
     assert sum(bool(own[i] & own[i + 1]) for i in range(0, len(own), 2)) >= least * 200
     strangers = collections.Counter(k for i in range(0, len(own), 2) for k in own[i])
     assert max(strangers.values()) == 1
+
+
+def test_pair_counts_never_refuse_a_similar_pair():
+    """Four times the edit distance bounds how far the counts of character pairs are apart."""
+    rnd = random.Random(1)
+    pairs = []
+    for _ in range(1500):
+        a = "".join(rnd.choices("abcde é語😀", k=rnd.randint(0, 60)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 8)):
+            at, how = rnd.randint(0, len(b)), rnd.random()
+            b[at : at + (how < 0.7)] = [rnd.choice("abcxyz語")] if how < 0.4 or how >= 0.7 else []
+        pairs.append((a, "".join(b)))
+    one, two = (line_dedup.gram_counts([p[i] for p in pairs]) for i in (0, 1))
+    apart = np.abs(one.astype(int) - two).sum(1)
+    assert all(d <= 4 * line_dedup.edit_distance(*p) for d, p in zip(apart.tolist(), pairs, strict=True))
+    near = line_dedup.within_reach(one, two, np.array([max(map(len, p)) for p in pairs]), 0.8)
+    assert all(n or not alike(*p) for n, p in zip(near.tolist(), pairs, strict=True))
+    assert not line_dedup.within_reach(line_dedup.gram_counts(["quite another line of text"]), line_dedup.gram_counts(["vowels and consonants mixed"]), np.array([27]), 0.8)[0]
+
+
+def test_keys_of_one_line_are_dropped_and_others_kept(spark):
+    rows = [(1, [10, 11]), (2, [11, 12]), (3, [13]), (4, None), *[(100 + i, [77, 1000 + i]) for i in range(40)]]
+    nodes = spark.createDataFrame(rows, "id long, blocks array<long>")
+    got = sorted(tuple(r) for r in line_dedup.shared_keys(nodes, 16).collect())
+    assert got == sorted([(11, 1), (11, 2), *[(77, 100 + i) for i in range(40)]])
