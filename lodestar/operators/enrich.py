@@ -5,31 +5,21 @@ The model is any callable from a list of prompts to a list of answers; tests use
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lodestar.operators.calls import Config, Model, pooled
+from lodestar.operators.folds import folded
 from lodestar.operators.incremental import content_hash
 
 #: fixed values: how much of a text a prompt quotes, how many functions share one
 SNIPPET, BATCH_SNIPPET, FILE_CHARS, BATCH = 2500, 1500, 2200, 3
 MARK = "=== SYMBOL: "
 
-Model = Callable[[list[str]], list[str]]
-
-
-@dataclass
-class Config:
-    endpoint: str = "http://localhost:11434"
-    model: str = ""
-    timeout_s: int = 60
-    temperature: float = 0.2
-    concurrency: int = 3
-
 
 def symbol_prompt(name: Column, snippet: Column) -> Column:
     return F.concat(F.lit("Summarise the symbol "), name, F.lit(":\n"), F.substring(snippet, 1, SNIPPET))
@@ -44,18 +34,19 @@ def micro_batches(functions: DataFrame) -> DataFrame:
     return grouped.select("file_path", "batch", F.col("own.name").alias("names"), text.alias("prompt"))
 
 
-def ask(prompts: DataFrame, model: Model) -> DataFrame:
-    """``prompts`` with a column answer; a failing call leaves null."""
+def ask(prompts: DataFrame, model: Model, config: Config = Config(), fallback: Model | None = None) -> DataFrame:
+    """``prompts`` with columns answer and error: ``config.concurrency`` calls of a task at a time, each with its deadline.
+
+    A call that fails or isn't back in time leaves a null answer and its error, and no other row is touched.
+    """
 
     def call(batches: Iterable) -> Iterator:  # noqa: ANN001
         for pdf in batches:
-            try:
-                out = model(list(pdf["prompt"])) if len(pdf) else []
-            except Exception:  # noqa: BLE001
-                out = [None] * len(pdf)
-            yield pdf.assign(answer=out)
+            out = pooled(model, list(pdf["prompt"]), config, fallback)
+            yield pdf.assign(answer=[a for a, _ in out], error=[e for _, e in out])
 
-    return prompts.mapInPandas(call, StructType([*prompts.schema.fields, StructField("answer", StringType())]))
+    fields = [f for f in prompts.schema.fields if f.name not in ("answer", "error")]
+    return prompts.select(*[f.name for f in fields]).mapInPandas(call, StructType([*fields, StructField("answer", StringType()), StructField("error", StringType())]))
 
 
 def split_answers(asked: DataFrame) -> DataFrame:
@@ -85,7 +76,17 @@ def summarise(files: DataFrame, cache: DataFrame, model: Model) -> dict[str, Dat
     asked = ask(new.select("file_path", "content_hash", F.concat(F.lit("Summarise the file "), "file_path", F.lit(":\n"), F.substring("content", 1, FILE_CHARS)).alias("prompt")), model)
     file_level = known.select("file_path", "content_hash", "summary").unionByName(asked.select("file_path", "content_hash", clean_markdown(F.col("answer")).alias("summary")))
     folder = F.when(F.contains(F.col("file_path"), F.lit("/")), F.regexp_replace("file_path", "/[^/]*$", "")).otherwise(F.lit("root"))
-    members = file_level.groupBy(folder.alias("folder")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("file_path", F.lit(": "), F.substring(F.coalesce("summary", F.lit("")), 1, 150)))), "\n").alias("prompt"))
-    folders = ask(members, model).select("folder", clean_markdown(F.col("answer")).alias("summary"))
-    whole = folders.groupBy().agg(F.array_join(F.array_sort(F.collect_list(F.concat("folder", F.lit(": "), F.substring(F.coalesce("summary", F.lit("")), 1, 200)))), "\n").alias("prompt"))
-    return {"files": file_level, "folders": folders, "project": ask(whole, model).select(clean_markdown(F.col("answer")).alias("summary"))}
+    told = file_level.select(folder.alias("key"), F.col("file_path").alias("ord"), F.concat("file_path", F.lit(": "), F.substring(F.coalesce("summary", F.lit("")), 1, 150)).alias("text"))
+    folders = folded(told, answers(model)).select(F.col("key").alias("folder"), F.col("text").alias("summary"))
+    above = folders.select(F.lit("project").alias("key"), F.col("folder").alias("ord"), F.concat("folder", F.lit(": "), F.substring(F.coalesce("summary", F.lit("")), 1, 200)).alias("text"))
+    return {"files": file_level, "folders": folders, "project": folded(above, answers(model)).select(F.col("text").alias("summary"))}
+
+
+def answers(model: Model, config: Config = Config()):  # noqa: ANN201
+    """The step of a fold that asks the model about every chunk."""
+
+    def step(chunks: DataFrame) -> DataFrame:
+        said = ask(chunks.withColumnRenamed("text", "prompt"), model, config)
+        return said.withColumn("text", clean_markdown(F.col("answer")))
+
+    return step

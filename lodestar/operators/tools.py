@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators import deadcode, graph, paths, search
+from lodestar.operators.calls import Config, Model, pooled
 
 #: fixed values of the protocol
 PROTOCOL, SERVER = "2024-11-05", "lodestar"
-PARSE_ERROR, METHOD_NOT_FOUND, INTERNAL_ERROR = -32700, -32601, -32603
+PARSE_ERROR, INVALID_REQUEST, METHOD_NOT_FOUND, INTERNAL_ERROR = -32700, -32600, -32601, -32603
 CHUNK = 3
+#: callers and callees that an answer lists; their totals are always told
+NEIGHBOURS = 200
 
 
 def tool(name: str, description: str, required: dict[str, str], optional: dict[str, str] | None = None) -> dict:
@@ -23,7 +26,7 @@ def tool(name: str, description: str, required: dict[str, str], optional: dict[s
 
 
 TOOLS = [
-    tool("get_symbol_context", "A symbol with its callers and callees", {"symbolId": "string"}),
+    tool("get_symbol_context", "A symbol with its callers and callees", {"symbolId": "string"}, {"limit": "number"}),
     tool("trace_call_path", "The shortest way from one symbol to another", {"fromSymbol": "string", "toSymbol": "string"}),
     tool("search_codebase_symbols", "Ranked symbols for a query", {"query": "string"}, {"limit": "number"}),
     tool("get_dead_code_report", "Symbols that nothing refers to", {}, {"limit": "number"}),
@@ -49,26 +52,13 @@ def batch_chunks(prompts: DataFrame, size: int = CHUNK) -> DataFrame:
     return prompts.withColumn("chunk", F.floor(F.col("index") / size))
 
 
-def run_batch(prompts: DataFrame, model: Callable[[list[str]], list[str]], size: int = CHUNK) -> DataFrame:
-    """(index, output, error): every chunk is one call; a failing prompt keeps its index and its error."""
+def run_batch(prompts: DataFrame, model: Model, size: int = CHUNK, config: Config = Config()) -> DataFrame:
+    """(index, output, error): ``size`` calls at a time; a prompt that fails or hangs keeps its index and its error."""
 
     def call(batches: Iterable) -> Iterator:  # noqa: ANN001
         for pdf in batches:
-            out, err = [], []
-            for lo in range(0, len(pdf), size):
-                part = list(pdf["prompt"][lo : lo + size])
-                try:
-                    out += model(part)
-                    err += [None] * len(part)
-                except Exception:  # noqa: BLE001  each prompt then stands alone
-                    for p in part:
-                        try:
-                            out += model([p])
-                            err.append(None)
-                        except Exception as e:  # noqa: BLE001
-                            out.append(None)
-                            err.append(str(e))
-            yield pdf.assign(output=out, error=err)[["index", "output", "error"]]
+            said = pooled(model, list(pdf["prompt"]), config.updated(concurrency=size))
+            yield pdf.assign(output=[a for a, _ in said], error=[e for _, e in said])[["index", "output", "error"]]
 
     return prompts.select("index", "prompt").mapInPandas(call, "index long, output string, error string")
 
@@ -80,7 +70,8 @@ class Server:
     nodes: DataFrame
     edges: DataFrame
     usages: DataFrame | None = None
-    model: Callable[[list[str]], list[str]] | None = None
+    model: Model | None = None
+    config: Config = Config()
 
     def execute(self, name: str, args: dict) -> dict:
         if name == "get_symbol_context":
@@ -88,8 +79,10 @@ class Server:
             own = self.nodes.where(F.col("id") == node).select("id", "name", "kind", "file_path", context_markdown().alias("markdown")).first()
             if own is None:
                 return {"error": f"Symbol not found: {node}"}
-            near = [r.asDict() for r in graph.ego_neighbors(self.nodes, self.edges, node).orderBy("direction", "edge_id").collect()]
-            return {"symbol": own.asDict(), "callers": [r for r in near if r["direction"] == "in"], "callees": [r for r in near if r["direction"] == "out"]}
+            near, most = graph.ego_neighbors(self.nodes, self.edges, node), int(args.get("limit") or NEIGHBOURS)
+            totals = {r["direction"]: r["count"] for r in near.groupBy("direction").count().collect()}
+            side = {d: [r.asDict() for r in near.where(F.col("direction") == d).orderBy("edge_id").limit(most).collect()] if d in totals else [] for d in ("in", "out")}
+            return {"symbol": own.asDict(), "callers": side["in"], "callees": side["out"], "totalCallers": totals.get("in", 0), "totalCallees": totals.get("out", 0)}
         if name == "trace_call_path":
             found = paths.find_path(self.nodes, self.edges, str(args.get("fromSymbol", "")), str(args.get("toSymbol", "")))
             row = found.first()
@@ -107,7 +100,7 @@ class Server:
             if self.model is None:
                 return {"error": "no model is attached"}
             prompts = [str(args.get("prompt", ""))] if name == "call_local_llm" else [str(p) for p in args.get("prompts", [])]
-            rows = run_batch(self.nodes.sparkSession.createDataFrame(list(enumerate(prompts)), "index long, prompt string"), self.model).orderBy("index").collect()
+            rows = run_batch(self.nodes.sparkSession.createDataFrame(list(enumerate(prompts)), "index long, prompt string"), self.model, config=self.config).orderBy("index").collect()
             return {"response": rows[0]["output"]} if name == "call_local_llm" else {"results": [r.asDict() for r in rows]}
         return {"error": f"Unknown tool: {name}"}
 
