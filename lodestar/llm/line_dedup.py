@@ -22,11 +22,11 @@ from lodestar.llm.words import P1, P2, P3, word_bounds, xxh64_words
 
 WORD = re.compile(r"[^\W_]+")
 CHARS = 1 << 20
-#: Pigeonhole keys by number of words: from, below, classes of words, classes to a key. Where ranges overlap a line has both kinds of keys.
-LEVELS = ((0, 10, 4, 2), (8, 16, 4, 1), (12, 1 << 62, 9, 1), (36, 1 << 62, 24, 1))
+#: Pigeonhole keys by number of words: from, below, classes of words, classes to a key, least words of a key. Where ranges overlap a line has both kinds of keys.
+LEVELS = ((0, 10, 4, 2, 2), (8, 16, 4, 1, 2), (12, 1 << 62, 9, 1, 2), (48, 1 << 62, 16, 1, 3))
 #: Lines of so many words, from and below, have keys that survive any one word, and any two, as well
 ALL_BUT_ONE, ALL_BUT_TWO = (3, 13), (4, 7)
-LONG_WORD, FEW, IN_BLOCK = 4, 4, 2
+LONG_WORD, FEW = 4, 4
 #: In lines under so many characters one word moves many bits of a SimHash
 SHORT_CHARS, SHORT_RADIUS = 80, 24
 GRAMS = 256
@@ -40,8 +40,11 @@ def normalise(line: str) -> str:
     return " ".join(WORD.findall(line.lower()))
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, bit-parallel: one machine-independent big integer holds a column."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance, bit-parallel: one machine-independent big integer holds a column.
+
+    With ``most`` it stops where the distance is sure to pass that, and gives some number above it.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -49,7 +52,7 @@ def edit_distance(a: str, b: str) -> int:
     masks: dict[str, int] = {}
     for i, x in enumerate(a):
         masks[x] = masks.get(x, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    full, top, left = (1 << len(a)) - 1, 1 << len(a) - 1, len(b)
     up, down, score = full, 0, len(a)
     for x in b:
         eq = masks.get(x, 0)
@@ -61,6 +64,9 @@ def edit_distance(a: str, b: str) -> int:
             score -= 1
         grow, shrink = (grow << 1 | 1) & full, shrink << 1 & full
         up, down = shrink | ~(d | grow) & full, grow & d
+        left -= 1
+        if most is not None and score - left > most:  # each further character takes off one at most
+            return score - left
     return score
 
 
@@ -76,7 +82,7 @@ def similar(a: str, b: str, least: float) -> bool:
     x, y = a[: len(a) - hi], b[: len(b) - hi]
     if max(len(x), len(y)) <= most or word_by_word(x.split(" "), y.split(" "), most) <= most:
         return True
-    return edit_distance(x, y) <= most
+    return edit_distance(x, y, most) <= most
 
 
 def word_by_word(a: list[str], b: list[str], most: int) -> int:
@@ -192,13 +198,13 @@ def block_keys(hashes: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray
     one class (in short lines of two), so an edit changes the blocks of the words it touches
     and leaves all others as they are: by the pigeonhole principle lines that differ in fewer
     classes than there are blocks share a block, bit for bit; short lines do where one word is
-    replaced by another. Blocks of fewer than IN_BLOCK words are left out, for one word alone
+    replaced by another. Blocks of one word (of long lines' many blocks, of two) are left out, for one word alone
     would bring unrelated lines together.
     """
     words = np.bincount(line, minlength=n)
     kind = (hashes ^ hashes >> np.uint64(29)) * P2 >> np.uint64(40)
     rows, keys = [], []
-    for level, (least, below, classes, together) in enumerate(LEVELS):
+    for level, (least, below, classes, together, held_words) in enumerate(LEVELS):
         own = ((words >= least) & (words < below))[line]
         chosen = list(combinations(range(classes), together))
         blocks = len(chosen)
@@ -208,7 +214,7 @@ def block_keys(hashes: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray
         slot = slot[order]
         starts = np.flatnonzero(np.diff(slot, prepend=-1))
         bits = majority_bits(np.repeat(hashes[own], member.shape[1])[order], starts)
-        held = np.diff(np.append(starts, len(slot))) >= IN_BLOCK
+        held = np.diff(np.append(starts, len(slot))) >= held_words
         slot, bits = slot[starts][held], bits[held]
         mixed = (bits ^ (np.uint64(level * 64) + (slot % blocks).astype(np.uint64)) * P1) * P2
         rows.append(slot // blocks)

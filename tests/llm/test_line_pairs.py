@@ -150,3 +150,12 @@ def test_keys_of_one_line_are_dropped_and_others_kept(spark):
     nodes = spark.createDataFrame(rows, "id long, blocks array<long>")
     got = sorted(tuple(r) for r in line_dedup.shared_keys(nodes, 16).collect())
     assert got == sorted([(11, 1), (11, 2), *[(77, 100 + i) for i in range(40)]])
+
+
+def test_bounded_edit_distance():
+    rnd = random.Random(2)
+    for _ in range(600):
+        a, b = ("".join(rnd.choices("abc d", k=rnd.randint(0, 40))) for _ in range(2))
+        exact, most = line_dedup.edit_distance(a, b), rnd.randint(0, 30)
+        bounded = line_dedup.edit_distance(a, b, most)
+        assert bounded == exact if exact <= most else most < bounded <= exact
