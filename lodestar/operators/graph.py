@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestar.sources.stages import stage
+
 
 def edge_id() -> Column:
     return F.concat("source", F.lit("->["), "kind", F.lit("]->"), "target")
@@ -77,13 +79,25 @@ def ego_neighbors(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
 
 
 def ego_ids(edges: DataFrame, node: str, depth: int = 1) -> DataFrame:
-    """(id, hops): the nodes within ``depth`` edges of ``node`` in either direction, with the least number of edges."""
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b")))
-    reached = frontier = edges.sparkSession.createDataFrame([(node, 0)], "id string, hops int")
-    for _ in range(depth):
-        frontier = frontier.join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id"), (F.col("hops") + 1).alias("hops")).distinct()
+    """(id, hops): the nodes within ``depth`` edges of ``node`` in either direction, with the least number of edges.
+
+    The first hop is a filter. For further ones the edges are staged once, both ways round, and each hop
+    joins only the nodes that the one before it reached first.
+    """
+    spark = edges.sparkSession
+    ends = edges.select("source", "target") if depth < 2 else stage(edges.select("source", "target").distinct(), "ego-edges")
+    reached = spark.createDataFrame([(node, 0)], "id string, hops int")
+    if depth < 1:
+        return reached
+    at = ends.where((F.col("source") == node) | (F.col("target") == node)).select(F.when(F.col("source") == node, F.col("target")).otherwise(F.col("source")).alias("id"))
+    frontier = at.where(F.col("id") != node).distinct().withColumn("hops", F.lit(1))
+    both = ends.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(ends.select(F.col("target").alias("a"), F.col("source").alias("b")))
+    for hop in range(2, depth + 1):
+        frontier = stage(frontier, f"ego-{hop - 1}")
         reached = reached.unionByName(frontier)
-    return reached.groupBy("id").agg(F.min("hops").alias("hops"))
+        met = frontier.join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
+        frontier = met.join(reached.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop))
+    return reached.unionByName(frontier)
 
 
 def ego_nodes(nodes: DataFrame, edges: DataFrame, node: str, depth: int = 1) -> DataFrame:
@@ -92,8 +106,9 @@ def ego_nodes(nodes: DataFrame, edges: DataFrame, node: str, depth: int = 1) ->
 
 def ego_edges(edges: DataFrame, node: str, depth: int = 1) -> DataFrame:
     """The edges whose ends both lie in the ego set."""
-    ids = ego_ids(edges, node, depth).select(F.col("id").alias("__id"))
-    return edges.join(ids, F.col("source") == F.col("__id"), "left_semi").join(ids, F.col("target") == F.col("__id"), "left_semi")
+    held = stage(edges, "ego-all")
+    ids = stage(ego_ids(held, node, depth), "ego-ids").select(F.col("id").alias("__id"))
+    return held.join(ids, F.col("source") == F.col("__id"), "left_semi").join(ids, F.col("target") == F.col("__id"), "left_semi")
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -63,25 +63,40 @@ def bfs(edges: DataFrame, start: str, max_depth: int = MAX_DEPTH, kinds: Sequenc
     return reached
 
 
-def cheapest(edges: DataFrame, start: str, weights: Mapping[str, float] | None = None, kinds: Sequence[str] | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(node, cost, hops, parent): least summed edge weight from ``start``, by relaxation rounds.
+def cheapest(edges: DataFrame, start: str, weights: Mapping[str, float] | None = None, kinds: Sequence[str] | None = None, max_depth: int = MAX_DEPTH, width: float = 8.0) -> DataFrame:
+    """(node, cost, hops, parent): least summed edge weight from ``start``, by delta-stepping.
 
-    Only nodes whose cost fell in the last round relax their edges in the next; ``max_depth``
-    bounds the edges of a path.
+    Costs are cut into buckets of ``width``. A round relaxes the nodes of the current bucket whose cost fell
+    since they were relaxed last, and writes the costs that fall as a delta; when none do, the next
+    bucket is opened. A node's cost is the least in its deltas, so nothing is rewritten. ``max_depth`` bounds
+    the edges of a path.
     """
     table = {**WEIGHTS, **(weights or {})}
     spark = edges.sparkSession
     price = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("kind")), F.lit(OTHER_WEIGHT))
     steps = stage(allowed(edges, kinds).groupBy("source", "target").agg(F.min(price).alias("w")), "cost-edges")
-    best = changed = stage(spark.createDataFrame([(start, 0.0, 0, None)], "node string, cost double, hops int, parent string"), "cost-0")
-    for r in range(1, max_depth + 1):
-        offers = changed.join(steps, F.col("node") == F.col("source")).groupBy("target").agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("parent"))).alias("o"))
-        now = best.select("node", F.col("cost").alias("old"))
-        changed = stage(offers.join(now, F.col("target") == F.col("node"), "left").where("old is null or o.cost < old - 1e-9").select(F.col("target").alias("node"), "o.cost", "o.hops", "o.parent"), f"cost-{r}")
-        if changed.isEmpty():
-            break
-        best = stage(best.join(changed.select("node"), "node", "left_anti").unionByName(changed), f"best-{r}")
-    return best
+    deltas = stage(spark.createDataFrame([(start, 0.0, 0, None, 0)], "node string, cost double, hops int, parent string, turn int"), "cost-0")
+    opened, end, last = 0.0, width, 0
+    while True:
+        best = deltas.groupBy("node").agg(F.min(F.struct("cost", "hops", "parent", "turn")).alias("b")).select("node", "b.*")
+        fresh = (F.col("cost") < end) & ((F.col("turn") == last) | (F.col("cost") >= opened)) & (F.col("hops") < max_depth)
+        front = best.where(fresh).select(F.col("node").alias("from"), F.col("cost").alias("so_far"), F.col("hops").alias("h"))
+        offers = front.join(steps, F.col("from") == F.col("source")).groupBy("target").agg(F.min(F.struct((F.col("so_far") + F.col("w")).alias("cost"), (F.col("h") + 1).alias("hops"), F.col("from").alias("parent"))).alias("o"))
+        lower = offers.join(best.select("node", F.col("cost").alias("old")), F.col("target") == F.col("node"), "left").where("old is null or o.cost < old - 1e-9")
+        delta = stage(lower.select(F.col("target").alias("node"), "o.cost", "o.hops", "o.parent", F.lit(last + 1).alias("turn")), f"cost-{last + 1}")
+        low = delta.agg(F.min("cost"), F.count(F.lit(1))).first()
+        if low[1]:
+            last += 1
+            deltas = deltas.unionByName(delta)
+            if low[0] < end:
+                opened = end
+                continue
+        # this bucket is settled; the next one begins with the lowest cost beyond it
+        rest = best.where(F.col("cost") >= end).agg(F.min("cost")).first()[0]
+        following = min(x for x in (rest, low[0] if low[1] else None, float("inf")) if x is not None)
+        if following == float("inf"):
+            return best.drop("turn")
+        opened, end, last = end, max(end, following) + width, last + (0 if low[1] else 1)
 
 
 def find_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, algorithm: str = "bfs", max_depth: int = MAX_DEPTH, kinds: Sequence[str] | None = None, weights: Mapping[str, float] | None = None, prefer_calls: bool = True) -> DataFrame:

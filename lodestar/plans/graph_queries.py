@@ -140,7 +140,12 @@ def ego_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ego_nodes(symbols(spark, sf_dir), edges(spark, sf_dir), focus(spark, sf_dir)).select("id", "name", "hops")
 
 
-@query(CTE + EGO + f"SELECT {EID} AS id FROM edges WHERE source IN (SELECT id FROM ids) AND target IN (SELECT id FROM ids)")
+@query(
+    CTE
+    + f""", em AS MATERIALIZED (SELECT {EID} AS eid, source, target FROM edges), fo AS MATERIALIZED (SELECT {FOCUS} AS f),
+ids AS MATERIALIZED (SELECT f AS id FROM fo UNION SELECT target FROM em, fo WHERE source = f UNION SELECT source FROM em, fo WHERE target = f)
+SELECT eid AS id FROM em WHERE source IN (SELECT id FROM ids) AND target IN (SELECT id FROM ids)"""
+)
 def ego_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ego_edges(edges(spark, sf_dir), focus(spark, sf_dir)).select("id")
 
