@@ -199,8 +199,13 @@ def block_keys(hashes: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray
     and leaves all others as they are: by the pigeonhole principle lines that differ in fewer
     classes than there are blocks share a block, bit for bit; short lines do where one word is
     replaced by another. Blocks of one word (of long lines' many blocks, of two) are left out, for one word alone
-    would bring unrelated lines together.
+    would bring unrelated lines together. A word counts once in a line: repeated, it would
+    outvote the others of its class and be one word alone again.
     """
+    order = np.lexsort((hashes, line))
+    hashes, line = hashes[order], line[order]
+    first = np.append(True, (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1]))[: len(line)]
+    hashes, line = hashes[first], line[first]
     words = np.bincount(line, minlength=n)
     kind = (hashes ^ hashes >> np.uint64(29)) * P2 >> np.uint64(40)
     rows, keys = [], []
