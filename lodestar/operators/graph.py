@@ -60,6 +60,11 @@ def delete_file(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFram
     return delete_nodes(nodes, edges, nodes.where(F.col("file_path") == path))
 
 
+def clear(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The empty graph of the same columns."""
+    return nodes.limit(0), edges.limit(0)
+
+
 def in_neighbors(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     ids = edges.where(F.col("target") == node).select(F.col("source").alias("id")).distinct()
     return nodes.join(ids, "id", "left_semi")

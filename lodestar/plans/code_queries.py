@@ -125,6 +125,12 @@ def call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.select("caller_id", "callee_name", "line", "col")
 
 
+@query(PYTHON_SQL + "SELECT f AS file_path, 1 AS step, (max(z) + 2)::BIGINT AS line, 'run' AS callee_name, 'run(C' || c || ')' AS call_snippet FROM p GROUP BY f, c")
+def module_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered module-level calls of the written files."""
+    return extract.python_tables(python_files(spark, sf_dir))["pipeline_steps"].select("file_path", "step", "line", "callee_name", "call_snippet")
+
+
 def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declarations over several lines: imports, a class with methods, an arrow function, object methods, new a.B()."""
     k = F.col("c_custkey")

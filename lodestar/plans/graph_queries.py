@@ -76,6 +76,14 @@ def edges_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.valid_edges(edges(spark, sf_dir), symbols(spark, sf_dir).where("pk % 4 <> 1")).select("id")
 
 
+@query(CTE + "SELECT id FROM symbols WHERE kind = 'class'")
+def graph_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph that is cleared and then gets its classes again."""
+    n = symbols(spark, sf_dir)
+    none, _ = graph.clear(n, edges(spark, sf_dir))
+    return graph.upsert(none, n.where("kind = 'class'"), "id").select("id")
+
+
 FIRST_FILE = "(SELECT min(file_path) FROM symbols WHERE kind = 'function')"
 
 

@@ -7,7 +7,7 @@ from lodestar.plans.catalog import ORACLES, QUERIES
 from lodestar.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = "all_edges edges_valid file_replace ego_neighbors ego_edges graph_stats best_edge bfs_reachable dijkstra_cost dead_code_details whitelist_reason tree_rollup tree_filter macro_edges macro_samples resolve_all edges_calls search_multi_kw search_topn diff_status cache_merge flow_upsert debounce_last enclosing_symbol pipeline_steps call_sites_regex".split()
+CHOSEN = "all_edges edges_valid file_replace ego_neighbors ego_edges graph_stats best_edge bfs_reachable dijkstra_cost dead_code_details whitelist_reason tree_rollup tree_filter macro_edges macro_samples resolve_all edges_calls search_multi_kw search_topn diff_status cache_merge flow_upsert debounce_last enclosing_symbol pipeline_steps call_sites_regex ego_2hop graph_cleared symbol_ranges cursor_symbols symbol_excerpts symbol_docs symbol_signatures import_rows call_rows module_steps script_symbols script_bases script_calls script_modules flow_store store_cleared summary_store job_progress scope_picker folder_members folded_report".split()
 
 
 @pytest.fixture(scope="module")
