@@ -23,12 +23,15 @@ class Filter:
 
 
 def parse_filter(query: str) -> Filter:
-    """in:, out: and kind: words (the last holds); the rest is one phrase."""
+    """in:, out: and kind: words (the last holds, an empty one takes the filter back); the rest is one phrase.
+
+    Their names are lower case, as observed: "IN:float" is part of the phrase.
+    """
     out, rest = Filter(), []
     for word in query.split():
-        name, _, value = word.partition(":")
-        where = {"in": "in_type", "out": "out_type", "kind": "kind"}.get(name.lower())
-        if where and value:
+        name, colon, value = word.partition(":")
+        where = {"in": "in_type", "out": "out_type", "kind": "kind"}.get(name)
+        if where and colon:
             setattr(out, where, value.lower())
         else:
             rest.append(word)

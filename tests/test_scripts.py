@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators import enrich, extract, graph
+from lodestar.operators import enrich, extract, graph, search
 from lodestar.streaming.debounce import debounced_stream, last_of_burst, suppressed
 
 SERVICE = """import { Db, Log as L } from './db';
@@ -76,6 +76,12 @@ def test_repeated_ids_keep_the_last(spark):
     assert {(r["id"], r["v"], r["sym_ord"]) for r in graph.latest(df).collect()} == {("x", "b", 1), ("y", "c", 3)}
 
 
+def test_search_filters():
+    f = search.parse_filter("in:Float big  out:dict kind:class in: IN:x orders")
+    assert (f.in_type, f.out_type, f.kind, f.keywords) == ("", "dict", "class", ["big IN:x orders"])
+    assert search.parse_filter("in").keywords == ["in"] and search.parse_filter("kind:").keywords == []
+
+
 def test_debounce(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     rows = [("u", t0 + dt.timedelta(milliseconds=ms), i) for i, ms in enumerate((0, 100, 200, 900, 1000, 5000))]
