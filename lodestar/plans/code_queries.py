@@ -13,9 +13,6 @@ from lodestar.operators import extract, intervals, resolve
 from lodestar.plans.registry import query
 from lodestar.sources.stages import stage
 
-KEY = F.col("o_orderkey")
-
-
 def text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -27,26 +24,27 @@ def repeated(n: Column, line: str) -> Column:
 
 def written(spark: SparkSession, sf_dir: str, path: Column, head: Column, method: Column, tail: Column) -> DataFrame:
     """(file_path, content): per customer a head, a text for each order by its key, and a tail."""
+    key = F.col("o_orderkey")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("text", method)
-    body = orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(KEY, "text"))), lambda x: x["text"]), "\n").alias("body"))
+    body = orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "text"))), lambda x: x["text"]), "\n").alias("body"))
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").join(body, F.col("c_custkey") == F.col("o_custkey"))
     return customers.select(path.alias("file_path"), F.concat_ws("\n", head, "body", tail).alias("content"))
 
 
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments over a class, decorated methods with a signature over three lines, one to three lines of body, a call."""
-    k = F.col("c_custkey")
+    k, key = F.col("c_custkey"), F.col("o_orderkey")
     head = F.concat_ws("\n", text("from pkg.n", F.col("c_nationkey"), " import base as b", k, ", other"), F.lit("import os.path as p, sys"), F.lit(""), text("# customer ", k), text("# in ", F.col("c_mktsegment")), text("class C", k, "(Base, mixins.Loud):"), F.lit('    """Orders of one customer."""'), F.lit(""))
     method = F.concat_ws(
         "\n",
-        text("    # order ", KEY),
-        F.when(KEY % 4 == 0, F.lit("    @staticmethod")).when(KEY % 4 == 1, F.lit("    @classmethod")).otherwise(F.lit("    @step(1)")),
-        F.when(KEY % 4 == 2, text("    async def o", KEY, "(")).otherwise(text("    def o", KEY, "(")),
-        text("        self, total: Dict[str, int] = {'a': ", F.col("o_custkey"), "}, *, last=", KEY % 7),
-        F.when(KEY % 2 == 0, F.lit("    ) -> Optional[bool]:")).otherwise(F.lit("    ):")),
-        F.when(KEY % 3 == 0, F.lit('        """Take it.\n\n        Args:\n            total (dict): what\n                it costs\n        Returns:\n            a sum\n        """')),
-        repeated((KEY % 3 + 1).cast("int"), "        load_"),
-        F.when(KEY % 5 == 0, F.lit("        return None")).when(KEY % 5 == 1, F.lit("        return 'x'")).when(KEY % 5 == 2, F.lit("        if total:\n            return 1\n        return None")).when(KEY % 5 == 3, F.lit("        return total / 2")).otherwise(F.lit("        return total")),
+        text("    # order ", key),
+        F.when(key % 4 == 0, F.lit("    @staticmethod")).when(key % 4 == 1, F.lit("    @classmethod")).otherwise(F.lit("    @step(1)")),
+        F.when(key % 4 == 2, text("    async def o", key, "(")).otherwise(text("    def o", key, "(")),
+        text("        self, total: Dict[str, int] = {'a': ", F.col("o_custkey"), "}, *, last=", key % 7),
+        F.when(key % 2 == 0, F.lit("    ) -> Optional[bool]:")).otherwise(F.lit("    ):")),
+        F.when(key % 3 == 0, F.lit('        """Take it.\n\n        Args:\n            total (dict): what\n                it costs\n        Returns:\n            a sum\n        """')),
+        repeated((key % 3 + 1).cast("int"), "        load_"),
+        F.when(key % 5 == 0, F.lit("        return None")).when(key % 5 == 1, F.lit("        return 'x'")).when(key % 5 == 2, F.lit("        if total:\n            return 1\n        return None")).when(key % 5 == 3, F.lit("        return total / 2")).otherwise(F.lit("        return total")),
         F.lit(""),
     )
     return written(spark, sf_dir, text("src/c", k, ".py"), head, method, text("run(C", k, ")"))
@@ -81,7 +79,8 @@ def symbol_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PYTHON_SQL + ", cu AS (SELECT DISTINCT 'src/c' || o_custkey || '.py' AS f, o_orderkey % 97 + 1 AS line FROM orders), h AS (SELECT cu.f, cu.line, s.id, row_number() OVER (PARTITION BY cu.f, cu.line ORDER BY s.z - s.a, s.kind = 'class', s.a DESC, s.id) AS r FROM cu JOIN s ON s.f = cu.f AND cu.line BETWEEN s.a AND s.z) SELECT f AS file_path, line::INTEGER AS line, id FROM h WHERE r = 1")
 def cursor_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The innermost extracted symbol at a cursor for every order."""
-    cursors = spark.read.parquet(f"{sf_dir}/orders.parquet").select(text("src/c", F.col("o_custkey"), ".py").alias("file_path"), (KEY % 97 + 1).cast("int").alias("line"))
+    key = F.col("o_orderkey")
+    cursors = spark.read.parquet(f"{sf_dir}/orders.parquet").select(text("src/c", F.col("o_custkey"), ".py").alias("file_path"), (key % 97 + 1).cast("int").alias("line"))
     return intervals.innermost(cursors, spans(python_symbols(spark, sf_dir)[1]))
 
 
@@ -133,7 +132,7 @@ def module_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declarations over several lines: imports, a class with methods, an arrow function, object methods, new a.B()."""
-    k = F.col("c_custkey")
+    k, key = F.col("c_custkey"), F.col("o_orderkey")
     head = F.concat_ws(
         "\n",
         text("import { Base, type Shape as S", k, " } from '../lib/n", F.col("c_nationkey"), "';"),
@@ -150,12 +149,12 @@ def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     method = F.concat_ws(
         "\n",
-        text("  /** order ", KEY, " */"),
-        F.when(KEY % 3 == 0, text("  static async o", KEY, "(")).otherwise(text("  private o", KEY, "<K>(")),
-        text("    total: Map<string, number[]> = new all.Map(", KEY, "), // was ) {"),
+        text("  /** order ", key, " */"),
+        F.when(key % 3 == 0, text("  static async o", key, "(")).otherwise(text("  private o", key, "<K>(")),
+        text("    total: Map<string, number[]> = new all.Map(", key, "), // was ) {"),
         F.lit("    ...rest: string[]"),
-        F.when(KEY % 2 == 0, F.lit("  ): Promise<boolean> {")).otherwise(F.lit("  ) {")),
-        text("    const t = `a ${this.pick({ a: `${deep(", KEY, ")}` })} not(this)`;"),
+        F.when(key % 2 == 0, F.lit("  ): Promise<boolean> {")).otherwise(F.lit("  ) {")),
+        text("    const t = `a ${this.pick({ a: `${deep(", key, ")}` })} not(this)`;"),
         F.lit("    return t.replace(/[/(]call(/g, '}') || new all.Box(total);"),
         F.lit("  }"),
         F.lit(""),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.folds import LIMIT, PIECE, chunked
+
 
 def source_lines(content: Column, start: Column, end: Column) -> Column:
     """Lines ``start`` to ``end`` of a text, counted from 1."""
@@ -12,11 +14,17 @@ def source_lines(content: Column, start: Column, end: Column) -> Column:
 
 
 def sections(symbols: DataFrame, module: Column) -> DataFrame:
-    """(module, body): one Markdown list per module."""
+    """(module, body): one Markdown list per module, which must fit a row; ``section_parts`` has no such bound."""
     line = F.concat(F.lit("- "), "name", F.lit(" ("), "kind", F.lit(")"))
     return symbols.groupBy(module.alias("module")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
 
 
+def section_parts(symbols: DataFrame, module: Column, limit: int = LIMIT, piece: int = PIECE) -> DataFrame:
+    """(key, chunk, text, n): the lines of ``sections`` in rows of at most ``limit`` characters, for modules of any size."""
+    line = F.concat(F.lit("- "), "name", F.lit(" ("), "kind", F.lit(")"))
+    return chunked(symbols.select(module.alias("key"), line.alias("ord"), line.alias("text")), limit, piece, "report")
+
+
 def write_report(symbols: DataFrame, files: DataFrame, project: str, path: str) -> None:
     """A Markdown report: project, modules, files (entries marked) and their symbols, as text files in order."""
     entry = F.when(F.col("is_script"), F.lit(" (entry)")).otherwise(F.lit(""))

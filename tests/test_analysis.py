@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import batch, calls, enrich, folds, preorder, ranges, rollup, tools
+from lodestar.sources import reports
 from lodestar.sources.store import SummaryStore
 
 
@@ -137,6 +138,13 @@ def test_folds_of_a_wide_folder(spark):
         folds.chunked(both, 100, 80)
 
 
+def test_report_of_a_wide_module(spark):
+    symbols = spark.range(3000).selectExpr("concat('s', lpad(id, 5, '0')) name", "'function' kind", "'m' module")
+    parts = reports.section_parts(symbols, F.col("module"), 400, 100).orderBy("chunk").collect()
+    assert max(len(r["text"]) for r in parts) <= 400
+    assert "\n".join(r["text"] for r in parts) == reports.sections(symbols, F.col("module")).first()["body"]
+
+
 def test_tree_numbers(spark):
     paths = ["b/x.py", "a/z/deep.py", "a/y.py", "a.py", "b-c/q.py", "a/z.py", "b/x/in.py"]
     symbols = spark.createDataFrame([(f"{p}#f", "f", "function", p, None, False) for p in paths], "id string, name string, kind string, file_path string, parent_class_id string, is_dead boolean")
