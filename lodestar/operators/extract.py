@@ -1,8 +1,8 @@
 """Source text to symbols, imports and call sites, as relational steps over lines and statements.
 
-A file is split into lines, lines are gathered to statements by running bracket depth, and
-blocks are found by one pass over their indents (``blocks``). Python code is used only for that
-pass, to blank out strings and comments, and to read parameter lists and docstrings.
+One pass over a file gathers its lines to statements by running bracket depth and finds blocks by
+their indents (``blocks``). Python code is used only for that pass, to blank out strings and
+comments, and to read parameter lists and docstrings.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from lodestar.functions import script
-from lodestar.functions.text import docstring, export_flag, literal_type, masked_python, method_kind, normalize_path, parameters, source_order
+from lodestar.functions.text import docstring, export_flag, literal_type, method_kind, normalize_path, parameters, source_order
 from lodestar.operators import blocks
 from lodestar.sources.stages import stage
 
@@ -32,48 +32,9 @@ def language_of(path: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), ext)
 
 
-def lines_of(files: DataFrame, mask) -> DataFrame:  # noqa: ANN001
-    """(file_path, line, raw, code): 1-based lines with strings and comments blanked in code."""
-    text = F.regexp_replace(F.coalesce("content", F.lit("")), "\r\n?", "\n")
-    both = files.select(normalize_path(F.col("file_path")).alias("file_path"), text.alias("t")).withColumn("m", mask("t"))
-    return both.select("file_path", F.posexplode(F.arrays_zip(F.split("t", "\n").alias("raw"), F.split("m", "\n").alias("code"))).alias("n", "x")).select("file_path", (F.col("n") + 1).alias("line"), "x.raw", "x.code")
-
-
-def logical_lines(files: DataFrame) -> DataFrame:
-    """(file_path, stmt, first, last, indent, code, raw, width): statements of Python files, lone comments and blank lines."""
-    per_file = W.partitionBy("file_path").orderBy("line")
-    before = per_file.rowsBetween(W.unboundedPreceding, -1)
-    x = lines_of(files, masked_python)
-    quotes = F.regexp_count("raw", F.lit(r"\"\"\"|'''"))
-    depth = F.regexp_count("code", F.lit(r"[(\[{]")) - F.regexp_count("code", F.lit(r"[)\]}]"))
-    inside = F.pmod(F.coalesce(F.sum(quotes).over(before), F.lit(0)), F.lit(2)) == 1
-    goes_on = inside | (F.coalesce(F.sum(depth).over(before), F.lit(0)) > 0) | F.coalesce(F.lag("code").over(per_file).rlike(r"\\\s*$"), F.lit(False))
-    numbered = x.withColumn("own", (~goes_on).cast("int")).withColumn("stmt", F.sum("own").over(per_file))
-    ordered = F.array_sort(F.collect_list(F.struct("line", "code", "raw")))
-    grouped = numbered.groupBy("file_path", "stmt").agg(ordered.alias("l"))
-    joined = grouped.select("file_path", "stmt", F.get("l.line", F.lit(0)).alias("first"), F.element_at("l.line", -1).alias("last"), F.array_join("l.code", "\n").alias("code"), F.array_join("l.raw", "\n").alias("raw"), F.length(F.element_at("l.raw", -1)).alias("width"))
-    return joined.withColumn("indent", F.length(F.regexp_extract("code", r"^([ \t]*)", 1)))
-
-
-DEF = r"^\s*(async\s+)?def\s+(\w+)"
-CLASS = r"^\s*class\s+(\w+)"
-
-
 def python_places(files: DataFrame) -> DataFrame:
-    """Logical lines with what they are and where they stand in their file's blocks (blocks.PLACE)."""
-    code = F.col("code")
-    bare = F.trim(F.translate(code, "\n\t", "  ")) == ""
-    what = (
-        F.when(bare & F.trim(F.translate("raw", "\t", " ")).startswith("#"), F.lit(blocks.COMMENT))
-        .when(bare & (F.trim(F.translate("raw", "\t", " ")) == ""), F.lit(blocks.BLANK))
-        .when(code.rlike(r"^\s*@"), F.lit(blocks.DECORATOR))
-        .when(code.rlike(CLASS), F.lit(blocks.CLASS))
-        .when(code.rlike(DEF), F.lit(blocks.DEF))
-        .otherwise(F.lit(blocks.OTHER))
-    )
-    name = F.when(code.rlike(CLASS), F.regexp_extract(code, CLASS, 1)).when(code.rlike(DEF), F.regexp_extract(code, DEF, 2))
-    lines = stage(logical_lines(files).withColumn("what", what).withColumn("name", name), "extract-lines")
-    return stage(lines.join(blocks.place(lines), ["file_path", "stmt"]), "extract-places")
+    """Statements with what they are and where they stand in their file's blocks (blocks.STATEMENT)."""
+    return blocks.read(files)
 
 
 def python_tables(files: DataFrame) -> dict[str, DataFrame]:
@@ -82,8 +43,17 @@ def python_tables(files: DataFrame) -> dict[str, DataFrame]:
     A symbol reaches from its first decorator to the last line of its block. Comment lines right above
     it (or above its decorators) stand in for a missing docstring.
     """
-    lines = python_places(files)
-    st = lines.where(~F.col("what").isin(blocks.COMMENT, blocks.BLANK))
+    lines = stage(python_places(files), "extract-places")
+    symbols = stage(python_symbols(lines), "extract-symbols")
+    bases = symbols.where("bases_text <> ''").select(F.col("id").alias("class_id"), F.posexplode(F.split("bases_text", r"\s*,\s*")).alias("base_ord", "b")).select("class_id", "base_ord", F.trim("b").alias("base"))
+    params = symbols.where("kind <> 'class'").select("id", F.explode("parameters").alias("p")).select("id", F.col("p.name").alias("param"), "p.type_hint")
+    calls = stage(python_calls(lines), "extract-calls")
+    return {"symbols": symbols.drop("bases_text"), "bases": bases, "params": params, "imports": python_imports(lines), "call_sites": calls.drop("call_snippet"), "pipeline_steps": python_steps(calls)}
+
+
+def python_symbols(lines: DataFrame) -> DataFrame:
+    """Symbols of the statements ``lines``, a stage table, for it is read for each of their parts; with bases_text."""
+    st = lines.where(F.col("what") != blocks.COMMENT)
     is_class = F.col("what") == blocks.CLASS
     owned = st.where(is_class | (F.col("what") == blocks.DEF)).where("body_of is null and not (what = 'class' and owner is not null)").select("file_path", "stmt", "first", "indent", "code", "raw", is_class.alias("is_class"), F.col("code").rlike(r"^\s*async\b").alias("is_async"), "name", "owner", "end_line", "end_column")
     decos = st.where(F.col("what") == blocks.DECORATOR).where("head is not null")
@@ -102,7 +72,7 @@ def python_tables(files: DataFrame) -> dict[str, DataFrame]:
     joined = owned.join(held, ["file_path", "stmt"], "left").join(exports, "file_path", "left").join(doc, ["file_path", "stmt"], "left").join(own_note, ["file_path", "stmt"], "left").join(top_note, ["file_path", "top"], "left").join(inferred.select("file_path", "stmt", union.alias("inferred")), ["file_path", "stmt"], "left")
     decorators = F.coalesce(F.col("ds.d"), F.array().cast("array<string>"))
     one_line = F.regexp_replace(F.regexp_replace("raw", r"(?m)\s+#[^\"'\n]*$", ""), r"(:)\s*[^\s:][^:\n]*$", "$1")
-    named = joined.select(
+    return joined.select(
         F.concat("file_path", F.lit("#"), F.when(F.col("owner").isNotNull(), F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))).alias("id"),
         "name",
         F.when(F.col("is_class"), F.lit("class")).when(F.col("owner").isNotNull(), method_kind(decorators, F.col("is_async"))).when(F.col("is_async"), F.lit("async_function")).otherwise(F.lit("function")).alias("kind"),
@@ -111,7 +81,6 @@ def python_tables(files: DataFrame) -> dict[str, DataFrame]:
         (F.col("indent") + 1).alias("start_column"),
         "end_line",
         "end_column",
-        "stmt",
         decorators.alias("decorators"),
         docstring("doc", F.coalesce("top_note", "own_note")).alias("docstring"),
         F.when(F.col("owner").isNotNull(), F.lit(False)).otherwise(export_flag(F.col("name"), F.col("file_path"), F.col("exported"))).alias("is_exported"),
@@ -120,10 +89,6 @@ def python_tables(files: DataFrame) -> dict[str, DataFrame]:
         F.when(~F.col("is_class"), F.coalesce(F.nullif(F.trim(F.regexp_extract(one_line, sig, 2)), F.lit("")), "inferred")).alias("return_type"),
         F.when(F.col("is_class"), F.regexp_extract("raw", r"(?s)^\s*class\s+\w+\s*\((.*?)\)\s*:", 1)).alias("bases_text"),
     ).withColumn("sym_ord", F.col("start_line").cast("long"))
-    symbols = stage(named, "extract-symbols")
-    bases = symbols.where("bases_text <> ''").select(F.col("id").alias("class_id"), F.posexplode(F.split("bases_text", r"\s*,\s*")).alias("base_ord", "b")).select("class_id", "base_ord", F.trim("b").alias("base"))
-    params = symbols.where("kind <> 'class'").select("id", F.explode("parameters").alias("p")).select("id", F.col("p.name").alias("param"), "p.type_hint")
-    return {"symbols": symbols.drop("bases_text", "stmt"), "bases": bases, "params": params, "imports": python_imports(st), **python_calls(st, symbols)}
 
 
 def python_imports(st: DataFrame) -> DataFrame:
@@ -158,19 +123,20 @@ def call_chain(code: Column, keywords: list[str]) -> Column:
     return F.filter(found, lambda x: x["callee"].isNotNull() & (x["callee"] != "") & ~x["callee"].isin(*keywords))
 
 
-def python_calls(st: DataFrame, symbols: DataFrame) -> dict[str, DataFrame]:
-    """call_sites and pipeline_steps: calls in function bodies and in module statements."""
-    line = F.posexplode(F.split("code", "\n")).alias("k", "text")
-    body = symbols.where("kind <> 'class'").select("file_path", F.col("stmt").alias("body_of"), F.col("id").alias("caller_id"))
-    inner = st.join(body, ["file_path", "body_of"]).select("file_path", "caller_id", "first", line)
-    loose = st.where("loose").where(~F.col("code").rlike(r"^\s*(from\s|import\s)"))
-    outer = loose.select("file_path", F.concat("file_path", F.lit("#<module>")).alias("caller_id"), "first", line)
-    spread = inner.unionByName(outer).select("file_path", "caller_id", (F.col("first") + F.col("k")).cast("long").alias("line"), F.col("text"), F.explode(call_chain(F.col("text"), KEYWORDS)).alias("c"))
+def python_calls(lines: DataFrame) -> DataFrame:
+    """(file_path, caller_id, line, col, callee_name, call_snippet, call_ord): calls in function bodies and in module statements."""
+    called = lines.where(F.col("caller").isNotNull() | F.col("loose") & ~F.col("code").rlike(r"^\s*(from\s|import\s)")).where(F.contains("code", F.lit("(")))
+    caller = F.concat("file_path", F.lit("#"), F.coalesce("caller", F.lit("<module>")))
+    split = called.select("file_path", caller.alias("caller_id"), "first", F.posexplode(F.split("code", "\n")).alias("k", "text"))
+    spread = split.select("file_path", "caller_id", (F.col("first") + F.col("k")).cast("long").alias("line"), "text", F.explode(call_chain(F.col("text"), KEYWORDS)).alias("c"))
     order = source_order(F.col("line"), F.col("col"))
-    calls = stage(spread.select("file_path", "caller_id", "line", F.col("c.column").cast("long").alias("col"), F.col("c.callee").alias("callee_name"), F.substring(F.trim("text"), 1, 60).alias("call_snippet")).withColumn("call_ord", order), "extract-calls")
+    return spread.select("file_path", "caller_id", "line", F.col("c.column").cast("long").alias("col"), F.col("c.callee").alias("callee_name"), F.substring(F.trim("text"), 1, 60).alias("call_snippet")).withColumn("call_ord", order)
+
+
+def python_steps(calls: DataFrame) -> DataFrame:
+    """pipeline_steps: the module-level calls of each file, numbered."""
     step = F.row_number().over(W.partitionBy("file_path").orderBy("line", "col"))
-    pipeline = calls.where("caller_id like '%#<module>'").withColumn("step", step).select("file_path", "step", "line", "callee_name", "call_snippet", "call_ord")
-    return {"call_sites": calls.drop("call_snippet"), "pipeline_steps": pipeline}
+    return calls.where("caller_id like '%#<module>'").withColumn("step", step).select("file_path", "step", "line", "callee_name", "call_snippet", "call_ord")
 
 
 PARAMETERS = pa.list_(pa.struct([(c, pa.string()) for c in ("name", "type_hint", "default_value", "kind")]))
@@ -190,11 +156,19 @@ def script_rows(files: DataFrame) -> DataFrame:
     """SCRIPT_ROW of TypeScript and JavaScript files: what one pass over a file's tokens finds."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in held], t) for n, t in SCRIPT_ROW.items()], names=list(SCRIPT_ROW))
+            held.clear()
+            return batch
+
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = script.rows_of(content.as_py())
-                columns = [pa.array([path] * len(rows) if n == "file_path" else [r.get(n) for r in rows], t) for n, t in SCRIPT_ROW.items()]
-                yield pa.RecordBatch.from_arrays(columns, names=list(SCRIPT_ROW))
+                held += [{**r, "file_path": path} for r in script.rows_of(content.as_py())]
+                if len(held) >= blocks.BATCH:
+                    yield out()
+        yield out()
 
     ddl = ", ".join(f"{n} {from_arrow_type(t).simpleString()}" for n, t in SCRIPT_ROW.items())
     return files.select(normalize_path(F.col("file_path")).alias("file_path"), "content").mapInArrow(task, ddl)

@@ -171,3 +171,14 @@ def test_engine_finds_the_symbol_at_a_cursor(spark, tmp_path):
     assert {r["id"]: r["excerpt"] for r in engine.excerpts().collect()}["proj/a.py#late"] == "    def late():\n        # comment inside\n        pass"
     assert engine.search("adds").first()["id"] == "proj/web/util.ts#add"
     assert engine.edges.where("source = 'proj/web/index.ts#two' and target = 'proj/web/util.ts#add' and kind = 'calls'").count() == 1
+
+
+def test_places_are_found_without_a_shuffle(spark):
+    """Every file is read by itself: what many short files cost must be their statements, not a sort or a frame for each."""
+    files = spark.range(2000).selectExpr("concat('f', id, '.py') as file_path", r"'# n\nclass A:\n    def m(self):\n        go(\n            1)\n\n# end' as content")
+    lines = extract.python_places(files)
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    got = extract.python_calls(lines).select("caller_id", "line", "col", "callee_name")
+    assert got.count() == 2000 and got.where("caller_id like '%#A.m' and line = 4 and col = 9 and callee_name = 'go'").count() == 2000
+    one = [r["stmt"] for r in lines.where("file_path = 'f7.py'").collect()]
+    assert one == [1, 2, 3, 4]
