@@ -1,15 +1,16 @@
 """Analysis of a project by a model as a job that can be stopped, resumed and watched.
 
-Every item (a file, a symbol, a folder, the project) is a row of a store with its state. A round asks
-the model about some pending items in one Spark job and commits their answers; whatever ends the
-job, committed answers stay, so an item is asked again only if its round was broken off.
+Every item (a file, a symbol, a folder, the project) is a row of a store with its state. A level's
+pending items are dealt into rounds once; a round asks the model about its items in one Spark job and
+commits their answers, reading no others. Whatever ends the job, committed answers stay, so an
+item is asked again only if its round was broken off.
 """
 
 from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from lodestar.operators import enrich, folds, intervals
 from lodestar.operators.calls import Config, Model
 from lodestar.operators.incremental import content_hash
-from lodestar.sources.stages import stage
+from lodestar.operators.ranges import prefix_sums
+from lodestar.sources.stages import shared_dir, stage
 from lodestar.sources.store import Clock, KeyedStore, SummaryStore
 
 LEVELS = ("file", "symbol", "folder", "project")
@@ -38,6 +40,8 @@ class AnalysisJob:
         self.model, self.config, self.fallback, self.round_items = model, config, fallback, round_items
         self.items = KeyedStore(spark, path, ITEM, ["level", "item"], clock)
         self.tag = f"analysis-{uuid.uuid4().hex}"
+        #: rounds that the running level still has
+        self.left = 0
         self.stop, self.idle = threading.Event(), threading.Event()
         self.idle.set()
 
@@ -80,7 +84,9 @@ class AnalysisJob:
         self.idle.clear()
         try:
             for level in ("file", "symbol"):
-                while not self.stop.is_set() and self.round(level):
+                for some in self.dealt(level):
+                    if self.stop.is_set() or not self.round(some, level):
+                        break
                     on_round()
             for level in ("folder", "project"):
                 if not self.stop.is_set():
@@ -107,22 +113,31 @@ class AnalysisJob:
             context.removeJobTag(self.tag)
             context.setInterruptOnCancel(False)
 
-    def round(self, level: str) -> bool:
-        """Ask about some pending items of a level; false when there are none or the round was broken off."""
+    def dealt(self, level: str) -> Iterator[DataFrame]:
+        """The pending items of a level by rounds of ``round_items``; the store is read once for all of them."""
+        if self.stop.is_set():
+            return
         pending = self.items.load().where((F.col("level") == level) & (F.col("state") == PENDING)).drop("updated_at", "answer", "error", "state")
-        some = stage(pending.limit(self.round_items), "analysis-round")
-        if some.isEmpty():
-            return False
+        placed = prefix_sums(pending, ["item"], F.lit(1), "before", "analysis-rounds").withColumn("round", F.floor(F.col("before") / self.round_items)).drop("before")
+        path = f"{shared_dir(self.spark)}/stages/analysis-rounds-{uuid.uuid4().hex}"
+        placed.repartition("round").write.partitionBy("round").parquet(path)
+        last = placed.agg(F.max("round")).first()[0]
+        rounds = 0 if last is None else last + 1
+        for k in range(rounds):
+            self.left = rounds - k - 1
+            yield self.spark.read.schema(pending.schema).parquet(f"{path}/round={k}")
+
+    def round(self, some: DataFrame, level: str) -> bool:
+        """Ask about some items of a level; false when that was broken off."""
         said = self.tagged(lambda: stage(enrich.ask(some.repartition("item"), self.model, self.config, self.fallback), "analysis-answers"))
         if said is None:
             return False
-        self.settle(said.withColumn("answer", enrich.clean_markdown(F.col("answer"))))
+        self.settle(said.withColumn("answer", enrich.clean_markdown(F.col("answer"))), level)
         return True
 
-    def settle(self, said: DataFrame) -> None:
+    def settle(self, said: DataFrame, level: str) -> None:
         """Commit answers as summaries first and as done items then, so that a break between the two asks again at worst."""
         good = said.where("answer is not null")
-        level = said.select("level").first()[0]
         self.summaries.put(level, good.select("path", "symbol", "content_hash", F.col("answer").alias("summary")))
         self.items.upsert(said.withColumn("state", F.when(F.col("answer").isNull(), F.lit(FAILED)).otherwise(F.lit(DONE))))
 
@@ -138,7 +153,7 @@ class AnalysisJob:
         if found is None:
             return
         none = F.lit(None).cast("string")
-        self.settle(found.select(F.lit(level).alias("level"), F.col("key").alias("item"), F.col("key").alias("path"), none.alias("symbol"), none.alias("content_hash"), none.alias("prompt"), F.col("text").alias("answer"), none.alias("error")))
+        self.settle(found.select(F.lit(level).alias("level"), F.col("key").alias("item"), F.col("key").alias("path"), none.alias("symbol"), none.alias("content_hash"), none.alias("prompt"), F.col("text").alias("answer"), none.alias("error")), level)
 
     def progress(self) -> DataFrame:
         """(level, total, done, failed, percent) of files and symbols, and of both together; 0 of 0 is 0 %."""

@@ -86,7 +86,7 @@ SELECT 'stopped' AS state, 'file' AS level, files AS total, files AS done, 100 A
 UNION ALL SELECT 'resumed', 'file', files, files, 100 FROM n UNION ALL SELECT 'resumed', 'symbol', symbols, symbols, 100 FROM n UNION ALL SELECT 'resumed', 'all', files + symbols, files + symbols, 100 FROM n"""
 )
 def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An analysis of the written files, stopped after its first round of files and taken up again by another job."""
+    """An analysis of the written files, stopped after its last round of files and taken up again by another job."""
     files, found = code_queries.python_symbols(spark, sf_dir)
     found = stage(found.select("id", "name", "kind", "file_path", "start_line", "end_line"), "job-symbols")
     path, clock = fresh(spark, "job"), ticking()
@@ -94,7 +94,7 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = lambda: batch.AnalysisJob(spark, path, files, found, summaries, lambda prompts: [p[:40] for p in prompts], round_items=20_000, clock=clock)
     first = job()
     first.plan()
-    first.run(first.cancel)
+    first.run(lambda: first.left or first.cancel())
     columns = ["level", "total", "done", "percent"]
     stopped = stage(first.progress().select(F.lit("stopped").alias("state"), *columns), "job-stopped")
     second = job()

@@ -93,7 +93,7 @@ class KeyedStore:
         return name
 
     def take_over(self) -> None:
-        if not self.manifest() and (older := self.legacy()) is not None:
+        if (older := self.legacy()) is not None and not self.manifest():
             epoch = datetime.fromtimestamp(0, UTC)
             self.commit(older.select(*self.fields.names, F.lit(epoch).alias("updated_at"), F.lit(False).alias("__gone")), epoch)
 

@@ -206,6 +206,18 @@ def test_job_cancelled_halfway_and_resumed_asks_nothing_twice(project):
     assert state(third)["all"] == (0, 0, 0, 0) and len(asked()) == before
 
 
+def test_rounds_of_a_level_read_the_store_once(project, monkeypatch):
+    make, _, asked, _ = project
+    job = make()
+    job.plan()
+    loads, load = [], job.items.load
+    monkeypatch.setattr(job.items, "load", lambda: loads.append(1) or load())
+    # three rounds of files, and none of symbols
+    assert not job.run(lambda: job.left or job.cancel())
+    assert len(loads) == 1 and len(asked()) == 12
+    assert state(job) == {"file": (12, 12, 0, 100), "symbol": (12, 0, 0, 0), "all": (24, 12, 0, 50)}
+
+
 def test_job_broken_off_at_once(project):
     make, _, asked, _ = project
 
