@@ -1,6 +1,6 @@
 """Near-duplicate documents by the exact Jaccard similarity of their word shingles (pipeline stage near_dedup).
 
-MinHash bands only propose candidates; every link is verified on the whole shingle sets.
+Operator 4's fingerprints and MinHash bands propose candidates; every link is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm.components import connected_components
-from lodestar.llm.hamming import LINK, tiled, whole_buckets
-from lodestar.llm.simhash_dedup import shingle_hashes
+from lodestar.llm.hamming import LINK, hamming_links, tiled, whole_buckets
+from lodestar.llm.simhash_dedup import fingerprints, shingle_hashes
 from lodestar.llm.staging import stage
 from lodestar.llm.words import P1, P2, P3
 
 #: A pair at Jaccard 0.8 shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, 3e-8.
 BANDS, ROWS = 24, 3
 DRAWN = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-SIGNATURE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("s", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+SIGNATURE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("s", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -58,20 +58,29 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, s, n, keys) per row: a hash and the size of its shingle set, and its band keys."""
+    """(doc_id, s, n, fp, keys) per row: a hash and the size of its shingle set, its fingerprint as operator 4 has it, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                sets = [shingle_set(x, words) for x in part.column(1).to_pylist()]
+                texts = part.column(1).to_pylist()
+                sets = [shingle_set(x, words) for x in texts]
+                fps = fingerprints(texts, words, 42).view(np.int64)
                 s = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
                 keys = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array(np.array([len(x) for x in sets], np.int32)), keys], names=SIGNATURE.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array(np.array([len(x) for x in sets], np.int32)), pa.array(fps), keys], names=SIGNATURE.names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNATURE)
 
 
+def fingerprint_pairs(nodes: DataFrame, radius: int = 4) -> DataFrame:
+    """Candidate pairs (a, b) of nodes(id, fp): what operator 4 links, equal fingerprints with the smallest id of theirs."""
+    firsts = stage(nodes.groupBy("fp").agg(F.min("id").alias("id")), "jaccard-prints")
+    equal = nodes.join(firsts.select(F.col("fp").alias("f"), F.col("id").alias("a")), F.col("fp") == F.col("f")).select("a", F.col("id").alias("b"))
+    return equal.where("a <> b").unionByName(hamming_links(firsts, firsts.count(), radius).select("a", "b"))
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(id, hashes): the shingle sets of ``wanted(doc_id, s)``, read again from one row each."""
 
@@ -139,19 +148,22 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile:
     """(doc_id, root): each doc_id and shingle set with the smallest doc_id of its near-duplicate group.
 
     Two texts are linked where their sets of ``words``-word shingles have a Jaccard similarity of
-    ``similarity`` or more. First each candidate is verified against the smallest member of its
-    bands, which joins most of a group of any size with as many links as it has members; then
+    ``similarity`` or more. First the pairs that operator 4 links are verified, and each candidate against the
+    smallest member of its bands, which joins most of a group of any size with as many links as it has members; then
     all members of a band that this left in different groups are compared. Bands with the same
     members are compared once.
     """
     rows = stage(signatures(docs, words).where("doc_id is not null"), "jaccard-rows")
-    nodes = stage(rows.groupBy(F.col("s").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "jaccard-nodes")
+    nodes = stage(rows.groupBy(F.col("s").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "jaccard-nodes")
     keyed = nodes.select("id", "doc_id", "n", F.explode("keys").alias("k"))
     met = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("hub"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).where("c > 1")
     bands = stage(met.groupBy("c", "hub", "members").agg(F.min("k").alias("bk")).select("bk", "hub"), "jaccard-bands")
     shared = stage(keyed.join(bands, F.col("k") == F.col("bk")).select("id", "doc_id", "n", "k", "hub"), "jaccard-shared")
-    sets = stage(sets_of(docs, shared.select("doc_id", F.col("id").alias("s")).distinct(), words), "jaccard-sets")
-    stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    close = stage(fingerprint_pairs(nodes.select("id", "fp")).distinct(), "jaccard-close")
+    met_by_print = close.select(F.explode(F.array("a", "b")).alias("i")).distinct().join(nodes, F.col("i") == F.col("id")).select("doc_id", F.col("id").alias("s"))
+    wanted = shared.select("doc_id", F.col("id").alias("s")).unionByName(met_by_print).distinct()
+    sets = stage(sets_of(docs, wanted, words), "jaccard-sets")
+    stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(close).distinct()
     found = stage(agreeing(stars, sets, similarity), "jaccard-stars")
     parts = connected_components(found, "jaccard-parts")
     placed = stage(shared.join(parts, F.col("id") == F.col("node"), "left").select("id", "k", F.coalesce("root", "id").alias("part")), "jaccard-placed")

@@ -55,3 +55,15 @@ def test_small_tiles_and_odd_rows(spark):
     odd = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c"), (3, "x"), (3, "y")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0) for r in jaccard_dedup.keep_one(odd).collect()) == [0, 1, 3]
     assert jaccard_dedup.keep_one(odd.limit(0)).count() == 0
+
+
+def test_operator_4_proposes_pairs(spark, monkeypatch):
+    """Pairs within four bits are candidates whatever bands they share, and equal fingerprints with them."""
+    nodes = spark.createDataFrame([(1, 0), (2, 0b1111), (3, 0b11111 << 40), (4, 0), (5, -1)], "id long, fp long")
+    assert {frozenset(r) for r in jaccard_dedup.fingerprint_pairs(nodes).collect()} == {frozenset(p) for p in ((1, 2), (1, 4))}
+    asked = []
+    whole = jaccard_dedup.fingerprint_pairs
+    monkeypatch.setattr(jaccard_dedup, "fingerprint_pairs", lambda n: asked.append(n.columns) or whole(n))
+    rows = copies()
+    assert sorted({r["root"] for r in jaccard_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}) == plain_kept(rows)
+    assert asked == [["id", "fp"]]
