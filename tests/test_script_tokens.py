@@ -147,3 +147,12 @@ def test_relative_modules(spark):
     imports = spark.createDataFrame(rows, "imp_ord int, file_path string, module_name string")
     got = {r["imp_ord"]: r["path"] for r in resolve.resolve_script(imports, spark.createDataFrame(files, "file_path string")).collect()}
     assert got == {**{i: p for i, p in enumerate(wanted.values()) if p}, 99: "web/z.tsx"}
+
+
+def test_tokens_stand_in_columns():
+    """No object for each token: texts, starts and ends by columns, over comments, patterns, divisions and code in templates."""
+    text = "a /* x */ = /[/]b/g.test(`c${d / 2}` + e) // f\n  \n"
+    tokens, notes, _ = tokenise(text)
+    assert tokens.texts == ["a", "=", "/[/]b/g", ".", "test", "(", "`", "${", "d", "/", "2", "}", "`", "+", "e", ")"]
+    assert [text[a:b] for a, b in zip(tokens.starts, tokens.ends, strict=True)] == ["a", "=", "/[/]b/g", ".", "test", "(", "`c${", "", "d", "/", "2", "}", "`", "+", "e", ")"]
+    assert [text[a:b] for a, b in notes.values()] == ["/* x */", "// f"]
