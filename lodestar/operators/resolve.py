@@ -15,6 +15,7 @@ from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.sources.stages import stage
@@ -135,9 +136,12 @@ def scope_local(symbols: DataFrame) -> DataFrame:
 
 def scope_wildcard(imports: DataFrame, resolved: DataFrame, symbols: DataFrame) -> DataFrame:
     """Exported names of a wildcard import; earlier imports win."""
-    own = imports.where("is_wildcard").join(resolved, "imp_ord").select("file_path", "imp_ord", "path")
-    exported = symbols.where("is_exported").select(F.col("file_path").alias("__p"), "name", "id", "sym_ord")
-    return own.join(exported, F.col("path") == F.col("__p")).groupBy("file_path", "name").agg(F.min(F.struct("imp_ord", "sym_ord", "id")).alias("m")).select("file_path", "name", F.lit("symbol").alias("kind"), F.col("m.id").alias("target_id"), F.lit(None).cast("string").alias("target_file"), F.col("m.imp_ord").alias("ord"))
+    own = imports.where("is_wildcard").join(resolved, "imp_ord").groupBy("file_path", "path").agg(F.min("imp_ord").alias("imp_ord"))
+    exported = symbols.where("is_exported").groupBy(F.col("file_path").alias("__p"), "name").agg(F.min(F.struct("sym_ord", "id")).alias("s"))
+    # many imports offer one name, so the first is sought among numbers alone; what it offers is joined to the few that are left
+    first = own.join(exported.select("__p", "name"), F.col("path") == F.col("__p")).groupBy("file_path", "name").agg(F.min("imp_ord").alias("imp_ord"))
+    met = first.join(own, ["file_path", "imp_ord"]).join(exported.withColumnRenamed("__p", "path"), ["path", "name"])
+    return met.groupBy("file_path", "name").agg(F.min(F.struct("imp_ord", "s")).alias("m")).select("file_path", "name", F.lit("symbol").alias("kind"), F.col("m.s.id").alias("target_id"), F.lit(None).cast("string").alias("target_file"), F.col("m.imp_ord").alias("ord"))
 
 
 def scope_from_import(imports: DataFrame, resolved: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -163,7 +167,7 @@ def scopes(imports: DataFrame, files: DataFrame, symbols: DataFrame, resolve_ts_
     The last import of a name holds, then a local class, then a wildcard. ``ord`` is the place
     at which the name first came up: local classes, then imports.
     """
-    resolved = resolve_imports(imports, files, resolve_ts_paths)
+    resolved = stage(resolve_imports(imports, files, resolve_ts_paths), "resolve-imports")
     layers = [(0, 1, scope_wildcard(imports, resolved, symbols)), (1, 0, scope_local(symbols)), (2, 1, scope_module_import(imports, resolved)), (2, 1, scope_from_import(imports, resolved, symbols))]
     both = reduce(DataFrame.unionByName, [x.select(*SCOPE).withColumn("layer", F.lit(l)).withColumn("place", F.struct(F.lit(p).alias("late"), "ord")) for l, p, x in layers])
     item = F.max_by(F.struct("kind", "target_id", "target_file"), F.struct("layer", "ord"))
@@ -197,10 +201,13 @@ def ancestors(links: DataFrame) -> DataFrame:
 
 def method_table(symbols: DataFrame, closure: DataFrame) -> DataFrame:
     """(class_id, name, id): what each class answers to, its own methods before inherited ones."""
-    own = symbols.where("parent_class_id is not null").select(F.col("parent_class_id").alias("owner"), "name", "id", "sym_ord")
-    mine = own.select(F.col("owner").alias("class_id"), "name", "id", F.lit(0).alias("depth"), F.lit("").alias("ord"), "sym_ord")
-    theirs = closure.join(own, F.col("ancestor_id") == F.col("owner")).select("class_id", "name", "id", "depth", "ord", "sym_ord")
-    return mine.unionByName(theirs).groupBy("class_id", "name").agg(F.min_by("id", F.struct("depth", "ord", "sym_ord")).alias("id"))
+    own = symbols.where("parent_class_id is not null").groupBy(F.col("parent_class_id").alias("owner"), "name").agg(F.min_by("id", "sym_ord").alias("id"))
+    own = stage(own, "method-owners")
+    # ancestors get numbers, so that the first with a name is a minimum of numbers; 0 is the class itself
+    turns = closure.select("class_id", F.col("ancestor_id").alias("owner"), F.row_number().over(W.partitionBy("class_id").orderBy("depth", "ord")).alias("turn"))
+    turns = stage(turns.unionByName(own.select(F.col("owner").alias("class_id"), "owner", F.lit(0).alias("turn")).distinct()), "method-turns")
+    first = turns.join(own.select("owner", "name"), "owner").groupBy("class_id", "name").agg(F.min("turn").alias("turn"))
+    return first.join(turns, ["class_id", "turn"]).join(own, ["owner", "name"]).select("class_id", "name", "id")
 
 
 def split_calls(call_sites: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -263,8 +270,15 @@ def rule_instance(calls: DataFrame, hints: DataFrame, created: DataFrame, symbol
 def rule_scope_class(calls: DataFrame, scope: DataFrame, symbols: DataFrame, methods: DataFrame) -> DataFrame:
     """The first class in scope that has the method. Joined on (file, method), so a file's classes that lack it cost nothing."""
     classes = symbols.where("kind = 'class'").select(F.col("id").alias("target_id")).distinct()
-    offers = scope.where("kind = 'symbol'").join(classes, "target_id", "left_semi").select("file_path", F.col("target_id").alias("class_id"), "ord").join(methods.select("class_id", F.col("name").alias("method"), F.col("id").alias("t")), "class_id").groupBy("file_path", "method").agg(F.min_by("t", F.struct("ord", "class_id")).alias("target_id"))
-    return pick(calls.where("branch = 'dotted'").join(offers, ["file_path", "method"]), 5)
+    own = calls.where("branch = 'dotted'")
+    asked = own.select(F.col("method").alias("name")).distinct()
+    answers = methods.join(asked, "name", "left_semi").select("class_id", F.col("name").alias("method"), F.col("id").alias("t"))
+    # classes of a file get numbers, so that the first with a method is a minimum of numbers, taken before anything is exchanged
+    seen = scope.where("kind = 'symbol'").join(classes, "target_id", "left_semi").groupBy("file_path", F.col("target_id").alias("class_id")).agg(F.min("ord").alias("ord"))
+    seen = stage(seen.withColumn("turn", F.row_number().over(W.partitionBy("file_path").orderBy("ord", "class_id"))).drop("ord"), "resolve-turns")
+    first = seen.join(answers.select("class_id", "method"), "class_id").groupBy("file_path", "method").agg(F.min("turn").alias("turn"))
+    offers = first.join(seen, ["file_path", "turn"]).join(answers, ["class_id", "method"]).select("file_path", "method", F.col("t").alias("target_id"))
+    return pick(own.join(offers, ["file_path", "method"]), 5)
 
 
 def rule_unique_method(calls: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import resolve as R
 from lodestar.plans.canonical import CTE
 from lodestar.plans.registry import query
-from lodestar.sources.stages import stage
+from lodestar.sources.stages import exchanged, stage
 from lodestar.sources.tables import register
 
 #: Classes keep their names; methods share 23 names and functions about 700, so that rules by uniqueness, file and class all have work.
@@ -41,7 +41,8 @@ class Inputs:
 
     def once(self, name: str, make) -> DataFrame:  # noqa: ANN001
         if name not in self.made:
-            self.made[name] = stage(make(), f"resolver-{name}")
+            with exchanged(self.spark):
+                self.made[name] = stage(make(), f"resolver-{name}")
         return self.made[name]
 
     def table(self, name: str) -> DataFrame:
@@ -54,11 +55,17 @@ class Inputs:
     params = property(lambda self: self.table("rpar"))
     calls = property(lambda self: self.table("rcall").drop("parent_class_id"))
 
+    def resolved(self) -> DataFrame:
+        return self.once("resolved", lambda: R.resolve_imports(self.imports, self.files))
+
     def scope(self) -> DataFrame:
         return self.once("scope", lambda: R.scopes(self.imports, self.files, self.symbols))
 
+    def links(self) -> DataFrame:
+        return self.once("links", lambda: R.base_links(self.bases, self.symbols, self.scope()))
+
     def closure(self) -> DataFrame:
-        return self.once("closure", lambda: R.ancestors(R.base_links(self.bases, self.symbols, self.scope())))
+        return self.once("closure", lambda: R.ancestors(self.links()))
 
     def methods(self) -> DataFrame:
         return self.once("methods", lambda: R.method_table(self.symbols, self.closure()))
@@ -113,7 +120,8 @@ def rule(name: str, table: str, run) -> None:  # noqa: ANN001
     """Register one resolution rule: (call_ord, target_id) in both engines."""
 
     def go(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run(Inputs(spark, sf_dir)).select("call_ord", "target_id")
+        i = Inputs(spark, sf_dir)
+        return i.once(name, lambda: run(i).select("call_ord", "target_id"))
 
     go.__name__ = name
     query(SQL + f"SELECT call_ord, target_id FROM {table}")(go)
@@ -156,19 +164,19 @@ def scope_local(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL + "SELECT file_path, name, target_id FROM swil")
 def scope_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)
-    return R.scope_wildcard(i.imports, R.resolve_imports(i.imports, i.files), i.symbols).select("file_path", "name", "target_id")
+    return i.once("wildcard", lambda: R.scope_wildcard(i.imports, i.resolved(), i.symbols).select("file_path", "name", "target_id"))
 
 
 @query(SQL + "SELECT file_path, name, m.k AS kind, m.t AS target_id, m.f AS target_file FROM sfro")
 def scope_from_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)
-    return R.scope_from_import(i.imports, R.resolve_imports(i.imports, i.files), i.symbols).select("file_path", "name", "kind", "target_id", "target_file")
+    return i.once("from", lambda: R.scope_from_import(i.imports, i.resolved(), i.symbols).select("file_path", "name", "kind", "target_id", "target_file"))
 
 
 @query(SQL + "SELECT file_path, name, target_file FROM smod")
 def scope_module_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)
-    return R.scope_module_import(i.imports, R.resolve_imports(i.imports, i.files)).select("file_path", "name", "target_file")
+    return i.once("module", lambda: R.scope_module_import(i.imports, i.resolved()).select("file_path", "name", "target_file"))
 
 
 @query(SQL + "SELECT class_id, ancestor_id, min(depth)::INTEGER AS depth FROM anc GROUP BY class_id, ancestor_id")
@@ -224,7 +232,7 @@ def edges_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL + "SELECT class_id AS source, parent_id AS target FROM lnk")
 def edges_inherits(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)
-    return R.inherits_edges(R.base_links(i.bases, i.symbols, i.scope())).select("source", "target")
+    return R.inherits_edges(i.links()).select("source", "target")
 
 
 CALLS = "SELECT caller_id AS source, target_id AS target, CASE WHEN s.kind = 'class' THEN 'instantiates' ELSE 'calls' END AS kind, min(c.call_ord) AS edge_ord FROM rall JOIN rcall c USING (call_ord) JOIN rsym s ON s.id = target_id GROUP BY 1, 2, 3"
@@ -233,7 +241,7 @@ CALLS = "SELECT caller_id AS source, target_id AS target, CASE WHEN s.kind = 'cl
 @query(SQL + CALLS)
 def edges_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)
-    return R.call_edges(i.calls, _all(i), i.symbols).select("source", "target", "kind", "edge_ord")
+    return i.once("edges", lambda: R.call_edges(i.calls, _all(i), i.symbols).select("source", "target", "kind", "edge_ord"))
 
 
 @query(INPUTS + "SELECT DISTINCT source, target FROM calls_raw")
@@ -247,7 +255,7 @@ def edges_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL + "SELECT target_id, caller_id AS caller_symbol_id, line FROM rall JOIN rcall USING (call_ord)")
 def usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)
-    return R.usage_rows(i.calls, _all(i)).select("target_id", "caller_symbol_id", "line")
+    return i.once("usages", lambda: R.usage_rows(i.calls, _all(i)).select("target_id", "caller_symbol_id", "line"))
 
 
 @query(SQL + "SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY c.line)::INTEGER AS step, target_id FROM rcall c LEFT JOIN rall USING (call_ord) WHERE c.line % 50 = 0")
@@ -257,7 +265,7 @@ def pipeline_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     i = Inputs(spark, sf_dir)
     own = i.calls.where("line % 50 = 0").withColumn("step", F.row_number().over(W.partitionBy("file_path").orderBy("line")))
-    return own.join(_all(i), "call_ord", "left").select("file_path", "step", "target_id")
+    return i.once("steps", lambda: own.join(_all(i), "call_ord", "left").select("file_path", "step", "target_id"))
 
 
 @query(INPUTS + "SELECT DISTINCT file_path FROM rcall WHERE line % 50 = 0")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,27 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
+#: how tables are joined that grow with the input: a small file may hold very many rows, and a broadcast passes all of
+#: them through the driver, so only what an exchange has shown to be small is broadcast
+EXCHANGES = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "1m"}
+
+
+@contextmanager
+def exchanged(spark: SparkSession) -> Iterator[None]:
+    """Joins of stage tables made inside meet by exchanges."""
+    before = {k: spark.conf.get(k, None) for k in EXCHANGES}
+    for k, v in EXCHANGES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
