@@ -47,9 +47,12 @@ def innermost(points: DataFrame, spans: DataFrame, on: str = "file_path") -> Dat
     """(on, line, id): the shortest span(on, start, end, id, kind) around each distinct point.
 
     Of equally long ones a function or method goes before a class, then the later start, then the smaller id.
+    Of spans from one line to the same other line only the one that goes first is compared with points.
     """
-    met = containing(points.select(on, "line").distinct(), spans.select(on, "start", "end", "id", "kind"), on)
-    order = F.struct((F.col("end") - F.col("start")).alias("length"), (F.col("kind") == "class").cast("int").alias("late"), (-F.col("start")).alias("back"), "id")
+    late = (F.col("kind") == "class").cast("int")
+    own = spans.groupBy(on, "start", "end").agg(F.min(F.struct(late.alias("late"), "id")).alias("s")).select(on, "start", "end", "s.late", "s.id")
+    met = containing(points.select(on, "line").distinct(), own, on)
+    order = F.struct((F.col("end") - F.col("start")).alias("length"), "late", (-F.col("start")).alias("back"), "id")
     return met.groupBy(on, "line").agg(F.min(order).alias("m")).select(on, "line", "m.id")
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.operators import incremental, search, tools
+from lodestar.operators import incremental, intervals, search, tools
 from lodestar.plans import graph_queries
 from lodestar.plans.canonical import CTE, edges, symbols
 from lodestar.plans.registry import query
+from lodestar.sources.stages import exchanged, stage
 from lodestar.streaming.debounce import last_of_burst
 
 
@@ -213,11 +214,10 @@ m AS (SELECT c.file_path, c.line, r.id, row_number() OVER (PARTITION BY c.file_p
 SELECT file_path, line, id FROM m WHERE k = 1"""
 )
 def enclosing_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The innermost symbol at a cursor line: equality on the file, a range on the line, then the shortest."""
-    n = symbols(spark, sf_dir)
-    is_class = F.col("kind") == "class"
-    spans = n.select("id", "kind", F.col("file_path").alias("f"), F.when(is_class, F.lit(0)).otherwise(F.col("pk") * 10).alias("a"), F.when(is_class, F.lit(1000000000)).otherwise(F.col("pk") * 10 + 30).alias("b"))
-    cursors = n.where("pk % 3 = 0 and pk >= 0").select("file_path", (F.col("pk") * 10 + 12).alias("line"))
-    met = cursors.join(spans, (F.col("file_path") == F.col("f")) & F.col("line").between(F.col("a"), F.col("b")))
-    best = F.min(F.struct((F.col("b") - F.col("a")).alias("span"), is_class.cast("int").alias("c"), (-F.col("a")).alias("late"), "id"))
-    return met.groupBy("file_path", "line").agg(best.alias("m")).select("file_path", "line", "m.id")
+    """The innermost symbol at a cursor line: equality on cells of the file, then the shortest."""
+    with exchanged(spark):
+        n = stage(symbols(spark, sf_dir), "enclosing-symbols")
+        is_class = F.col("kind") == "class"
+        spans = n.select("id", "kind", "file_path", F.when(is_class, F.lit(0)).otherwise(F.col("pk") * 10).alias("start"), F.when(is_class, F.lit(1000000000)).otherwise(F.col("pk") * 10 + 30).alias("end"))
+        cursors = n.where("pk % 3 = 0 and pk >= 0").select("file_path", (F.col("pk") * 10 + 12).alias("line"))
+        return stage(intervals.innermost(cursors, spans), "enclosing")

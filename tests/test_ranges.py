@@ -5,6 +5,7 @@ import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.operators import blocks, extract, intervals
 
@@ -182,3 +183,15 @@ def test_places_are_found_without_a_shuffle(spark):
     assert got.count() == 2000 and got.where("caller_id like '%#A.m' and line = 4 and col = 9 and callee_name = 'go'").count() == 2000
     one = [r["stmt"] for r in lines.where("file_path = 'f7.py'").collect()]
     assert one == [1, 2, 3, 4]
+
+
+def test_spans_that_reach_alike_are_compared_once(spark):
+    """20,000 classes over a whole file and as many cursors in it: one span for each cursor, not 400 million pairs."""
+    n = 20_000
+    i = F.col("id")
+    wide = spark.range(n).select(F.lit("a.py").alias("file_path"), F.lit(0).cast("long").alias("start"), F.lit(10**9).cast("long").alias("end"), F.format_string("C%05d", i).alias("id"), F.lit("class").alias("kind"))
+    short = spark.createDataFrame([("a.py", 5, 7, "f", "function"), ("a.py", 5, 7, "D", "class"), ("a.py", 6, 6, "E", "class")], wide.schema)
+    began = time.perf_counter()
+    got = {r["line"]: r["id"] for r in intervals.innermost(spark.range(n).select(F.lit("a.py").alias("file_path"), i.alias("line")), wide.unionByName(short)).collect()}
+    assert time.perf_counter() - began < 30
+    assert got == {**dict.fromkeys(range(n), "C00000"), 5: "f", 6: "E", 7: "f"}
