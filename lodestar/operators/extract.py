@@ -96,9 +96,11 @@ def python_imports(st: DataFrame) -> DataFrame:
     flat = F.regexp_replace(F.regexp_replace("code", r"\s+", " "), r"[;\\].*$|\\", "")
     own = st.where(F.col("code").rlike(r"^\s*(from|import)\s")).select("file_path", "stmt", F.trim(flat).alias("t"))
     frm = r"^from (\.*) ?([\w.]*) import \(? ?(.*?),? ?\)?$"
-    a = own.where(F.col("t").rlike(frm)).select("file_path", "stmt", F.length(F.regexp_extract("t", frm, 1)).alias("level"), F.regexp_extract("t", frm, 2).alias("module_name"), F.posexplode(F.split(F.regexp_extract("t", frm, 3), r"\s*,\s*")).alias("k", "item"))
-    b = own.where(F.col("t").rlike(r"^import ")).select("file_path", "stmt", F.lit(0).alias("level"), F.lit(None).cast("string").alias("module_name"), F.posexplode(F.split(F.regexp_replace("t", "^import ", ""), r"\s*,\s*")).alias("k", "item"))
-    both = a.unionByName(b).withColumn("thing", F.regexp_extract("item", r"^([\w.*]+)", 1)).withColumn("alias", F.nullif(F.regexp_extract("item", r" as (\w+)", 1), F.lit("")))
+    # both forms in one branch, or the files were read for each
+    is_from, is_import = F.col("t").rlike(frm), F.col("t").rlike(r"^import ")
+    items = F.when(is_from, F.regexp_extract("t", frm, 3)).otherwise(F.regexp_replace("t", "^import ", ""))
+    both = own.where(is_from | is_import).select("file_path", "stmt", F.when(is_from, F.length(F.regexp_extract("t", frm, 1))).otherwise(F.lit(0)).alias("level"), F.when(is_from, F.regexp_extract("t", frm, 2)).alias("module_name"), F.posexplode(F.split(items, r"\s*,\s*")).alias("k", "item"))
+    both = both.withColumn("thing", F.regexp_extract("item", r"^([\w.*]+)", 1)).withColumn("alias", F.nullif(F.regexp_extract("item", r" as (\w+)", 1), F.lit("")))
     plain = F.col("module_name").isNull()
     order = source_order(F.col("stmt"), F.col("k"))
     return both.where("thing <> ''").select("file_path", F.when(plain, F.col("thing")).otherwise(F.col("module_name")).alias("module_name"), F.when(~plain & (F.col("thing") != "*"), F.col("thing")).alias("imported_symbol"), "alias", (F.col("thing") == "*").alias("is_wildcard"), "level", order.alias("imp_ord"))

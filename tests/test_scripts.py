@@ -109,3 +109,14 @@ def test_enrichment(spark):
     out = enrich.summarise(files, cache, lambda prompts: [f"```\n{len(p)}\n```" for p in prompts])
     assert {r["file_path"]: r["summary"] for r in out["files"].collect()}["b.py"] == "known"
     assert out["folders"].count() == 2 and out["project"].count() == 1
+
+
+def test_imports_read_files_once(spark):
+    """Both forms of import come from one pass over the files."""
+    from lodestar.operators import extract
+
+    files = spark.createDataFrame([("p/a.py", "import os.path as p, sys\nfrom ..b import (c as d,\n  e)\nfrom . import *\nx = 1\n")], "file_path string, content string")
+    found = extract.python_imports(extract.python_places(files))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = sorted(tuple(r) for r in found.select("module_name", "imported_symbol", "alias", "is_wildcard", "level").fillna("-").collect())
+    assert got == [("", "-", "-", True, 1), ("b", "c", "d", False, 2), ("b", "e", "-", False, 2), ("os.path", "-", "p", False, 0), ("sys", "-", "-", False, 0)]
