@@ -51,6 +51,18 @@ def python_tables(files: DataFrame) -> dict[str, DataFrame]:
     return {"symbols": symbols.drop("bases_text"), "bases": bases, "params": params, "imports": python_imports(lines), "call_sites": calls.drop("call_snippet"), "pipeline_steps": python_steps(calls)}
 
 
+#: the columns that python_symbols reads
+OF_SYMBOLS = ["file_path", "stmt", "first", "indent", "code", "raw", "what", "name", "owner", "body_of", "inner", "head", "doc_of", "comment_of", "end_line", "end_column"]
+
+
+def symbol_places(lines: DataFrame) -> DataFrame:
+    """Those statements that python_symbols looks at: heads, decorators, comments over them, docstrings, returns and __all__."""
+    named = F.col("what").isin(blocks.CLASS, blocks.DEF, blocks.DECORATOR)
+    told = F.col("comment_of").isNotNull() | F.col("doc_of").isNotNull()
+    kept = named | told | F.contains("code", F.lit("return")) | F.startswith("raw", F.lit("__all__"))
+    return lines.where(kept).select(*OF_SYMBOLS)
+
+
 def python_symbols(lines: DataFrame) -> DataFrame:
     """Symbols of the statements ``lines``, a stage table, for it is read for each of their parts; with bases_text."""
     st = lines.where(F.col("what") != blocks.COMMENT)

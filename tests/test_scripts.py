@@ -120,3 +120,16 @@ def test_imports_read_files_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     got = sorted(tuple(r) for r in found.select("module_name", "imported_symbol", "alias", "is_wildcard", "level").fillna("-").collect())
     assert got == [("", "-", "-", True, 1), ("b", "c", "d", False, 2), ("b", "e", "-", False, 2), ("os.path", "-", "p", False, 0), ("sys", "-", "-", False, 0)]
+
+
+def test_symbols_need_their_own_statements_only(spark):
+    """Statements without a part in a symbol aren't put down for it, and the symbols stay as they are."""
+    from lodestar.operators import extract
+    from lodestar.sources.stages import stage
+
+    text = "__all__ = ['f']\n# about f\n@a\n@b(\n  1)\ndef f(x: int,\n      y=2):\n    \"\"\"Doc.\"\"\"\n    z = x\n    load(z)\n    if z:\n        return 1\n    return None\n\nclass C(B):\n    k = 1\n    # on m\n    async def m(self):\n        # inside\n        await self.n()\n        return 'x'\nrun(C)\n"
+    places = stage(extract.python_places(spark.createDataFrame([("p/a.py", text)], "file_path string, content string")), "all-places")
+    few = stage(extract.symbol_places(places), "few-places")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(extract.python_symbols(few)) == rows(extract.python_symbols(places))
+    assert few.where("raw like '%load(%' or raw like '%run(%' or raw like '%z = x%'").isEmpty()
