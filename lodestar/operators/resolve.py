@@ -206,7 +206,10 @@ def method_table(symbols: DataFrame, closure: DataFrame) -> DataFrame:
     # ancestors get numbers, so that the first with a name is a minimum of numbers; 0 is the class itself
     turns = closure.select("class_id", F.col("ancestor_id").alias("owner"), F.row_number().over(W.partitionBy("class_id").orderBy("depth", "ord")).alias("turn"))
     turns = stage(turns.unionByName(own.select(F.col("owner").alias("class_id"), "owner", F.lit(0).alias("turn")).distinct()), "method-turns")
-    first = turns.join(own.select("owner", "name"), "owner").groupBy("class_id", "name").agg(F.min("turn").alias("turn"))
+    # an owner's names travel as one row and are spread where a class has all of its ancestors: a root that all classes come
+    # from would otherwise meet every class in one task, which would have to hold a group for each of them and each name
+    told = turns.join(own.groupBy("owner").agg(F.collect_list("name").alias("names")), "owner").select("class_id", "turn", "names")
+    first = told.repartition("class_id").select("class_id", "turn", F.explode("names").alias("name")).groupBy("class_id", "name").agg(F.min("turn").alias("turn"))
     return first.join(turns, ["class_id", "turn"]).join(own, ["owner", "name"]).select("class_id", "name", "id")
 
 

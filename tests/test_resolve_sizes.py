@@ -31,6 +31,21 @@ def test_methods_come_from_the_first_ancestor_that_has_them(spark):
     assert got == {("A", "m"): "A.m0", ("A", "n"): "B.n", ("A", "k"): "C.k", ("B", "m"): "B.m", ("B", "n"): "B.n", ("C", "n"): "C.n", ("C", "k"): "C.k", ("D", "n"): "C.n", ("D", "k"): "C.k", ("D", "m"): "B.m"}
 
 
+def test_classes_of_one_root_meet_its_methods_in_many_tasks(spark):
+    """Groups of a class and a name are only made where rows are dealt by class, not where all classes meet one root."""
+    symbols = spark.range(50).select(F.lit("R").alias("parent_class_id"), F.concat(F.lit("m"), "id").alias("name"), F.concat(F.lit("R.m"), "id").alias("id"), F.col("id").alias("sym_ord"))
+    closure = spark.range(2000).select(F.concat(F.lit("C"), "id").alias("class_id"), F.lit("R").alias("ancestor_id"), F.lit(1).alias("depth"), F.lit("0").alias("ord"))
+    with exchanged(spark):
+        table = resolve.method_table(stage(symbols, "root-symbols"), stage(closure, "root-closure"))
+        lines = table._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert table.count() == 2001 * 50
+    groups = [i for i, line in enumerate(lines) if "min(turn" in line and "partial_min" in line]
+    assert groups
+    for i in groups:
+        below = next(line for line in lines[i + 1 :] if "Exchange" in line or "Join" in line)
+        assert "hashpartitioning(class_id" in below
+
+
 def test_a_small_file_of_many_rows_is_not_broadcast(spark):
     key = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(key)
