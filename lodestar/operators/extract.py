@@ -147,6 +147,11 @@ def python_calls(lines: DataFrame) -> DataFrame:
     return spread.select("file_path", "caller_id", "line", F.col("c.column").cast("long").alias("col"), F.col("c.callee").alias("callee_name"), F.substring(F.trim("text"), 1, 60).alias("call_snippet")).withColumn("call_ord", order)
 
 
+def python_module_calls(files: DataFrame) -> DataFrame:
+    """What python_calls has of module statements: no other statement leaves the pass over a file."""
+    return python_calls(blocks.read_module(files))
+
+
 def python_steps(calls: DataFrame) -> DataFrame:
     """pipeline_steps: the module-level calls of each file, numbered."""
     step = F.row_number().over(W.partitionBy("file_path").orderBy("line", "col"))

@@ -195,3 +195,21 @@ def test_spans_that_reach_alike_are_compared_once(spark):
     got = {r["line"]: r["id"] for r in intervals.innermost(spark.range(n).select(F.lit("a.py").alias("file_path"), i.alias("line")), wide.unionByName(short)).collect()}
     assert time.perf_counter() - began < 30
     assert got == {**dict.fromkeys(range(n), "C00000"), 5: "f", 6: "E", 7: "f"}
+
+
+def test_module_statements_are_those_of_the_whole_pass(spark):
+    parts = ["def f(a):", "class C:", "\n", "\n", "(", ")", '"""', "'''", "'", '"', "# c", "# '''", "\\", "\\\n", "run(x)", "if x:", "@deco", "return h(1)", "\r\n", "import os(", "x = 1", "\x0c", "[", "}"]
+    r = random.Random(3)
+    texts = ["", CODE, CODE + "run(C)\n    .more(1)\nif x:\n    go(1,\ndef g(\n2)\n"]
+    texts += ["\n".join(" " * r.choice([0, 0, 2, 4]) + "".join(r.choice(parts) for _ in range(r.randint(0, 3))) for _ in range(r.randint(0, 25))) for _ in range(3000)]
+
+    def whole(text):
+        found = blocks.file_statements("f", text)
+        return [(f, c) for f, c, loose in zip(found["first"], found["code"], found["loose"]) if loose and "(" in c]
+
+    assert [blocks.module_statements(t) for t in texts] == [whole(t) for t in texts]
+    assert sum(len(whole(t)) for t in texts) > 1000
+    files = spark.createDataFrame([("src\\a.py", CODE + "run(C, go(2))\n"), ("b.py", None)], "file_path string, content string")
+    assert blocks.read_module(files).count() == len(whole(CODE + "run(C, go(2))\n"))
+    own, both = (extract.python_steps(extract.python_calls(x)).drop("call_ord").collect() for x in (blocks.read_module(files), blocks.read(files)))
+    assert own == both and [x["callee_name"] for x in own][-2:] == ["run", "go"]
