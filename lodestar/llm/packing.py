@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 import struct
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -18,6 +21,16 @@ from lodestar.llm.ranking import bucketed_rank
 from lodestar.llm.staging import stage
 
 ROUNDS, BIAS = 1500, 1.3
+#: words that the tokenizer's normalizer leaves as they are and its pre-tokenizer cuts into just these pieces: small letters of
+#: Latin-1, digits, signs. Words with "'" aren't among them, for it has pieces of its own for 's and the like.
+LETTERS, SIGNS = "a-zß-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+PLAIN = re.compile(f"[{LETTERS}0-9{SIGNS}]+")
+PIECES = re.compile(f"[{LETTERS}]+|[0-9]|[{SIGNS}]+")
+#: how the tokenizer writes bytes: the printable ones as they are, the others as signs from 256 on
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+HIDDEN = [b for b in range(256) if b not in SHOWN]
+#: each Latin-1 character as the signs of its UTF-8
+AS_SIGNS = ["".join(chr(b if b in SHOWN else 256 + HIDDEN.index(b)) for b in chr(c).encode()) for c in range(256)]
 PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 PLAN = T.StructType([T.StructField(c, T.LongType()) for c in ("p_length", "first_rank", "end_rank", "per_sequence", "first_sequence", "p_offset")])
 
@@ -35,37 +48,69 @@ class WordIds(dict):
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model = tokenizer.encode, tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+        # only for a tokenizer that is known to cut as PIECES does
+        probe = "straße12,x<_> été&&&q"
+        self.cuts = sys.byteorder == "little" and array("I").itemsize == 4 and b"".join(map(self.plain_ids, probe.split())) == self.ids(probe)
 
     def ids(self, text: str) -> bytes:
         own = self.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(own)}I", *own)
 
+    def piece_ids(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.translate(AS_SIGNS)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def plain_ids(self, word: str) -> bytes:
+        """The ids of a word of PLAIN, by the tokenizer's model alone."""
+        if word.isalpha():
+            return self.piece_ids(word)
+        out = []
+        for piece in PIECES.findall(word):
+            found = self.pieces.get(piece)
+            if found is None:
+                found = self.piece_ids(piece)
+                if len(piece) <= 2:
+                    self.pieces[piece] = found
+            out.append(found)
+        return b"".join(out)
+
     def learn(self, words: set[bytes]) -> None:
-        """Take up all of ``words`` that are new, many to a call of the tokenizer, which tells by offsets which ids are whose."""
-        new = [w for w in words if w not in self and len(w) <= 64 and b"<|" not in w]
-        ends = {w: w[-1:] for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
-        plain = {w[:-1] if w in ends else w for w in new} | set(ends.values())
-        plain = [w for w in plain if w not in self]
-        if len(self) + len(plain) + len(ends) > self.LIMIT:
+        """Take up all of ``words`` that are new.
+
+        Words of PLAIN go to the model, which costs a third of a call of the tokenizer; others go many to a call,
+        whose offsets tell which ids are whose.
+        """
+        new = words.difference(self)
+        if len(self) + len(new) > self.LIMIT:
             self.clear()
-            plain = list({w[:-1] if w in ends else w for w in new} | set(ends.values()))
-        for lo in range(0, len(plain), self.TOGETHER):
-            part = plain[lo : lo + self.TOGETHER]
+            new = words
+        others = []
+        for w in new:
+            if len(w) > 64 or b"<|" in w:
+                continue
+            text = w.decode("utf-8", "surrogatepass")
+            if self.cuts and PLAIN.fullmatch(text):
+                self[w] = self.plain_ids(text)
+            else:
+                others.append(w)
+        for lo in range(0, len(others), self.TOGETHER):
+            part = others[lo : lo + self.TOGETHER]
             texts = [w.decode("utf-8", "surrogatepass") for w in part]
             found = self.encode("\n".join(texts), add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
             begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
             at = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), begins) * 4
             self.update(zip(part, (ids[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), strict=True))
-        for w, end in ends.items():
-            self[w] = self[w[:-1]] + self[end]
 
     def __missing__(self, word: bytes) -> bytes:
-        if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
-            found = self[word[:-1]] + self[word[-1:]]
+        if word[-1:] in (b".", b",") and word[-2:-1].isalpha() and (stem := self.get(word[:-1])) is not None:
+            found = stem + self[word[-1:]]
         else:
-            found = self.ids(word.decode("utf-8", "surrogatepass"))
+            text = word.decode("utf-8", "surrogatepass")
+            found = self.plain_ids(text) if self.cuts and len(word) <= 64 and b"<|" not in word and PLAIN.fullmatch(text) else self.ids(text)
         if len(word) <= 64:
             if len(self) >= self.LIMIT:
                 self.clear()
@@ -76,11 +121,20 @@ class WordIds(dict):
 _TABLES: dict[str, WordIds] = {}
 
 
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def document_ids(texts: list[str | None], table: WordIds) -> Iterator[bytes]:
     """For each text all its ids, then id 0, as little-endian unsigned 32-bit bytes."""
     special = [bool(t) and "<|" in t for t in texts]  # it may hold special tokens, which are told by case
     words = [[] if own or not t else t.encode("utf-8", "surrogatepass").lower().split() for t, own in zip(texts, special, strict=True)]
-    table.learn(set().union(*words))
+    # words of other scripts need the tokenizer, which is called for many at once; others are taken up as they come
+    table.learn(set().union(*[w for t, w in zip(texts, words, strict=True) if w and not (table.cuts and latin(t))]))
     for t, own, w in zip(texts, special, words, strict=True):
         yield (table.ids(t) if own else b"".join(map(table.__getitem__, w))) + b"\0\0\0\0"
 

@@ -249,6 +249,18 @@ def test_words_learned_together(monkeypatch):
             assert got == alone.ids(text) + bytes(4), text
 
 
+def test_plain_words_need_no_call_of_the_tokenizer(monkeypatch):
+    path, rnd = queries.tokenizer_path(), random.Random(2)
+    table, alone = packing.WordIds(path), packing.WordIds(path)
+    letters = [chr(c) for c in range(33, 256) if packing.PLAIN.fullmatch(chr(c))]
+    words = [a + b for a in letters for b in letters] + ["".join(rnd.choices(letters, k=rnd.randint(3, 12))) for _ in range(3000)]
+    texts = [" ".join(w for w in words[i : i + 100] if "<|" not in w) for i in range(0, len(words), 100)]
+    want = [alone.ids(t) + bytes(4) for t in texts]
+    calls = []
+    monkeypatch.setattr(table, "encode", lambda *a, **k: calls.append(a))
+    assert list(packing.document_ids(texts, table)) == want and not calls
+
+
 # --- 3 URL filters -------------------------------------------------------------------------
 
 
