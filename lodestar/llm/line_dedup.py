@@ -30,9 +30,14 @@ LONG_WORD, FEW = 4, 4
 #: In lines under so many characters one word moves many bits of a SimHash
 SHORT_CHARS, SHORT_RADIUS = 80, 24
 GRAMS = 256
-LINE = T.StructType(
-    [T.StructField("doc_key", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("chars", T.IntegerType()), T.StructField("blocks", T.ArrayType(T.LongType()))]
-)
+LINE = "doc_key long, doc_id long, line_no int, id long, fp long, chars int"
+#: Numbers of a key and a line beside each other, of one part of all keys: those that may be alone, and those known to be shared
+DEALT = "part int, alone binary, known binary"
+LINE_ARROW = pa.schema([("doc_key", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("id", pa.int64()), ("fp", pa.int64()), ("chars", pa.int32())])
+#: Keys that a task holds before it deals them out
+HELD_KEYS = 1 << 21
+#: Lines up to 64 times so many characters are compared many at a time
+COLUMN_WORDS = 16
 
 
 def normalise(line: str) -> str:
@@ -85,6 +90,90 @@ def similar(a: str, b: str, least: float) -> bool:
     return edit_distance(x, y, most) <= most
 
 
+def edit_distances(one: list[str], two: list[str]) -> np.ndarray:
+    """``edit_distance`` of pairs, none longer in ``one`` than in ``two``, a column of all pairs at a time.
+
+    A pair's column lies across words of 64 rows, its last row in the last bit. The rows before
+    its first have no difference from one to the next, so a column's cost passes through them.
+    """
+    m, n = (np.array([len(x) for x in side], np.int64) for side in (one, two))
+    words = max(1, -(-int(m.max()) // 64))
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    codes, pair, at = characters(one, m, rank)
+    kinds, kind = np.unique(pair << 21 | codes, return_inverse=True)
+    row = at + 64 * words - m[order][pair]
+    equal = np.zeros((len(kinds) + 1) * words, np.uint64)
+    np.bitwise_or.at(equal, kind * words + (row >> 6), np.uint64(1) << (row & 63).astype(np.uint64))
+    equal = np.ascontiguousarray(equal.reshape(-1, words).T)
+    codes, pair, at = characters(two, n, rank)
+    wanted = pair << 21 | codes
+    kind = np.searchsorted(kinds, wanted)
+    kind[np.append(kinds, -1)[kind] != wanted] = len(kinds)
+    column = np.full((int(n.max()), len(order)), len(kinds))
+    column[at, pair] = kind
+    first = (64 * words - m[order])[None, :] - 64 * np.arange(words)[:, None]  # of each word the rows below this lie before the pair's first
+    up = np.where(first >= 64, np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF) << np.clip(first, 0, 63).astype(np.uint64))
+    down = np.zeros_like(up)
+    score = m[order]
+    one_bit, top = np.uint64(1), np.uint64(63)
+    live = np.searchsorted(-n[order], -np.arange(int(n.max())), "left")  # pairs with more than 0, 1, 2, ... columns
+    for chosen, k in zip(column, live.tolist(), strict=True):
+        chosen = chosen[:k]
+        more, less = np.ones(k, np.uint64), np.zeros(k, np.uint64)
+        for w in range(words):
+            u, d, eq = up[w, :k], down[w, :k], equal[w][chosen]
+            side = eq | d
+            eq |= less
+            across = (((eq & u) + u) ^ u) | eq
+            grow, shrink = d | ~(across | u), u & across
+            out_more, out_less = grow >> top, shrink >> top
+            grow = grow << one_bit | more
+            shrink = shrink << one_bit | less
+            up[w, :k] = shrink | ~(side | grow)
+            down[w, :k] = grow & side
+            more, less = out_more, out_less
+        score[:k] += more.view(np.int64) - less.view(np.int64)
+    return score[rank]
+
+
+def characters(texts: list[str], sizes: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code point, name of its text, place in it) of all characters."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return codes, np.repeat(names, sizes), np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def similar_many(one: list[str], two: list[str], least: float) -> np.ndarray:
+    """``similar`` of each pair; where enough pairs are of about one length they are compared together."""
+    out = np.zeros(len(one), bool)
+    groups: dict[int, list[tuple[int, str, str, int]]] = {}
+    for i, (a, b) in enumerate(zip(one, two, strict=True)):
+        if len(a) > len(b):
+            a, b = b, a
+        most = int((1 - least) * len(b) + 1e-9)
+        if len(b) - len(a) > most:
+            continue
+        lo = shared_prefix(a, b)
+        a, b = a[lo:], b[lo:]
+        hi = shared_prefix(a[::-1], b[::-1])
+        a, b = a[: len(a) - hi], b[: len(b) - hi]
+        if len(b) <= most:
+            out[i] = True
+        else:
+            groups.setdefault(-(-len(a) // 64), []).append((i, a, b, most))
+    for words, members in groups.items():
+        members.sort(key=lambda x: len(x[2]))
+        if words > COLUMN_WORDS or len(members) < 16 * words:
+            for i, a, b, most in members:
+                out[i] = word_by_word(a.split(" "), b.split(" "), most) <= most or edit_distance(a, b, most) <= most
+            continue
+        for at in range(0, len(members), 2048):
+            i, a, b, most = zip(*members[at : at + 2048], strict=True)
+            out[list(i)] = edit_distances(list(a), list(b)) <= np.array(most)
+    return out
+
+
 def word_by_word(a: list[str], b: list[str], most: int) -> int:
     """The cost of one way to edit words ``a`` into ``b``, so no less than the edit distance; past ``most`` it stops.
 
@@ -163,8 +252,16 @@ def blanked() -> np.ndarray:
     return out
 
 
+@lru_cache(1)
+def blanked_bytes() -> bytes:
+    """``words_only`` of each byte below 128."""
+    return bytes(int(blanked()[ord(chr(i).lower())]) for i in range(128)) + bytes(range(128, 256))
+
+
 def words_only(text: str) -> bytes:
     """A text in lower case with blanks in place of all that ``WORD`` doesn't take, as UTF-8."""
+    if text.isascii():
+        return text.encode().translate(blanked_bytes())
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     return blanked()[codes].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
 
@@ -192,7 +289,14 @@ def content_words(line: np.ndarray, n: int, long: np.ndarray) -> np.ndarray:
 
 
 def block_keys(hashes: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, keys): the keys of each line's blocks, lines in order.
+    """(offsets, keys): ``block_rows`` with lines in order."""
+    rows, keys = block_rows(hashes, line, n)
+    order = np.argsort(rows, kind="stable")
+    return np.searchsorted(rows[order], np.arange(n + 1)), keys[order]
+
+
+def block_rows(hashes: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, keys): the keys of each line's blocks, in any order.
 
     A line's words fall into classes by their hash, and a block is the SimHash of the words of
     one class (in short lines of two), so an edit changes the blocks of the words it touches
@@ -202,7 +306,7 @@ def block_keys(hashes: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray
     would bring unrelated lines together. A word counts once in a line: repeated, it would
     outvote the others of its class and be one word alone again.
     """
-    order = np.lexsort((hashes, line))
+    order = np.argsort(line.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24))  # equal words of a line side by side
     hashes, line = hashes[order], line[order]
     first = np.append(True, (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1]))[: len(line)]
     hashes, line = hashes[first], line[first]
@@ -215,7 +319,8 @@ def block_keys(hashes: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray
         blocks = len(chosen)
         member = np.array([[i for i, x in enumerate(chosen) if c in x] for c in range(classes)])
         slot = (line[own, None] * blocks + member[(kind[own] % np.uint64(classes)).astype(np.int64)]).ravel()
-        order = np.argsort(slot, kind="stable")
+        placed = np.sort(slot << 24 | np.arange(len(slot))) if len(slot) < 1 << 24 else None  # sorts faster than places alone
+        order = np.argsort(slot, kind="stable") if placed is None else placed & (1 << 24) - 1
         slot = slot[order]
         starts = np.flatnonzero(np.diff(slot, prepend=-1))
         bits = majority_bits(np.repeat(hashes[own], member.shape[1])[order], starts)
@@ -227,9 +332,7 @@ def block_keys(hashes: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray
     for r, k in all_but_some(hashes, line, words):
         rows.append(r)
         keys.append(k)
-    rows, keys = np.concatenate(rows), np.concatenate(keys)
-    order = np.argsort(rows, kind="stable")
-    return np.searchsorted(rows[order], np.arange(n + 1)), keys[order]
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def all_but_some(hashes: np.ndarray, line: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -253,14 +356,14 @@ def all_but_some(hashes: np.ndarray, line: np.ndarray, words: np.ndarray) -> Ite
         rows.append(np.repeat(own, left.shape[1]))
         sums.append(left.ravel())
     if rows:
-        pairs = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), (np.concatenate(sums) ^ P1) * P2]), axis=1)
-        yield pairs[0].astype(np.int64), (pairs[1] ^ pairs[1] >> np.uint64(32)) * P3
+        mixed = (np.concatenate(sums) ^ P1) * P2
+        yield np.concatenate(rows), (mixed ^ mixed >> np.uint64(32)) * P3
 
 
-def line_rows(keys: list[int], ids: list[int | None], texts: list[str], min_words: int) -> pa.RecordBatch:
-    """``line_table`` of a few documents."""
+def line_rows(keys: list[int], ids: list[int | None], texts: list[str], min_words: int) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """The lines of a few documents, and (keys, ids): their blocks' keys beside the ids of the lines."""
     digest = xxhash.xxh64_intdigest
-    data = np.frombuffer(words_only("\n".join(texts)), np.uint8)
+    data = np.frombuffer(b"\n".join(map(words_only, texts)), np.uint8)
     first, end = token_bounds(data)
     begins = np.append(0, np.flatnonzero(data == ord("\n")) + 1)
     starts = np.searchsorted(first, begins)
@@ -272,7 +375,7 @@ def line_rows(keys: list[int], ids: list[int | None], texts: list[str], min_word
     line, hashes = line[content], xxh64_words(data, first[content], end[content])
     fps = majority_bits(hashes, np.searchsorted(line, np.arange(len(counts))))
     some = (counts >= min_words)[line]
-    offsets, blocks = block_keys(hashes[some], line[some], len(counts))
+    rows, blocks = block_rows(hashes[some], line[some], len(counts))
     spaced = np.append(data, np.uint8(ord(" ")))  # the runs, each with the blank or line end behind it
     runs, stops = word_bounds((data != ord(" ")) & (data != ord("\n")))
     spaced[stops] = ord(" ")
@@ -290,30 +393,137 @@ def line_rows(keys: list[int], ids: list[int | None], texts: list[str], min_word
     key = np.repeat(np.array(keys, np.int64), per_text)
     doc_id = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), per_text)))
     number = np.arange(len(key)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    listed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(blocks.view(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array(key), doc_id, pa.array(number.astype(np.int32)), pa.array(names.view(np.int64), mask=counts == 0), pa.array(fps.view(np.int64)), pa.array(counts.astype(np.int32)), pa.array(chars.astype(np.int32)), listed], names=LINE.names)
+    columns = [pa.array(key), doc_id, pa.array(number.astype(np.int32)), pa.array(names.view(np.int64), mask=counts == 0), pa.array(fps.view(np.int64)), pa.array(chars.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, schema=LINE_ARROW), blocks, names[rows]
 
 
-def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row per line: (doc_key, doc_id, line_no, id, fp, words, chars, blocks), all but the first three of the normalised line.
+def dealt_keys(keys: np.ndarray, ids: np.ndarray, parts: int, most: int) -> pa.RecordBatch:
+    """DEALT rows of keys beside ids, one for each part that has any.
 
-    ``id`` is a hash of the normalised line, ``fp`` the SimHash of its ``content_words`` and
-    ``blocks`` the keys of their SimHash blocks (``block_keys``), none for lines under
-    ``min_words`` words.
+    A key's part follows from the key, so all its lines meet there. Of a key with more than ``most``
+    lines two go there; the others, known to share it, go where key and id say. So a key brings
+    few rows of each task to one part, and loses none.
+    """
+    order = np.argsort(keys)
+    several = beside_equal(keys[order])
+    some, owners = distinct_pairs(keys[order[several]], ids[order[several]])
+    starts = np.flatnonzero(np.append(True, some[1:] != some[:-1])[: len(some)])
+    sizes = np.diff(np.append(starts, len(some)))
+    known = (np.repeat(sizes, sizes) > most) & (np.arange(len(some)) - np.repeat(starts, sizes) >= 2)
+    single = order[~several]
+    keys, ids = np.append(keys[single], some[~known]), np.append(ids[single], owners[~known])
+    packed = []
+    for k, i, mixed in ((keys, ids, keys), (some[known], owners[known], (some[known] ^ owners[known] * P1) * P2)):
+        order = np.argsort(mixed)
+        ends = np.searchsorted((mixed[order] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
+        pairs = np.stack([k[order], i[order]], axis=1)
+        packed.append([pairs[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+    rows = [i for i in range(parts) if packed[0][i] or packed[1][i]]
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array([x[i] for i in rows], pa.binary()) for x in packed)], names=["part", "alone", "known"])
+
+
+def beside_equal(sorted_keys: np.ndarray) -> np.ndarray:
+    """Whether a key stands beside one equal to it."""
+    same = np.zeros(len(sorted_keys) + 1, bool)
+    same[1:-1] = sorted_keys[1:] == sorted_keys[:-1]
+    return same[1:] | same[:-1]
+
+
+def distinct_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (key, id) once, in order."""
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    fresh = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))[: len(keys)]
+    return keys[fresh], ids[fresh]
+
+
+def met_keys(alone: list[bytes], known: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ids) of one part: what more than one line has, and what is known to be shared."""
+    pairs = np.frombuffer(b"".join(alone), np.uint64).reshape(-1, 2)
+    order = np.argsort(np.ascontiguousarray(pairs[:, 0]))
+    order = order[beside_equal(pairs[order, 0])]  # few are left to be put in order by line
+    keys, ids = distinct_pairs(pairs[order, 0], pairs[order, 1])
+    shared = beside_equal(keys)
+    pairs = np.frombuffer(b"".join(known), np.uint64).reshape(-1, 2)
+    more = distinct_pairs(pairs[:, 0], pairs[:, 1])
+    return np.append(keys[shared], more[0]), np.append(ids[shared], more[1])
+
+
+def key_parts(df: DataFrame) -> int:
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def met(dealt: DataFrame) -> DataFrame:
+    """(LINE columns, k, kid): the lines that ``dealt`` carries, and the keys that more than one line has.
+
+    Most keys belong to one line; they end here, where a task holds its parts' numbers and nothing else.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone: dict[int, list[bytes]] = {}
+        known: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, one, two, lines in zip(*(batch.column(c).to_pylist() for c in ("part", "alone", "known", "lines")), strict=True):
+                if lines:
+                    with pa.ipc.open_stream(lines) as stream:
+                        for table in stream:
+                            missing = pa.nulls(table.num_rows, pa.int64())
+                            yield pa.RecordBatch.from_arrays([*table.columns, missing, missing], names=[*LINE_ARROW.names, "k", "kid"])
+                else:
+                    alone.setdefault(part, []).append(one)
+                    known.setdefault(part, []).append(two)
+        for part in alone:
+            keys, ids = met_keys(alone[part], known[part])
+            empty = [pa.nulls(len(keys), field.type) for field in LINE_ARROW]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(keys.view(np.int64)), pa.array(ids.view(np.int64))], names=[*LINE_ARROW.names, "k", "kid"])
+
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "part").select("part", "alone", "known", "lines").mapInArrow(run, LINE + ", k long, kid long")
+
+
+def line_table(docs: DataFrame, min_words: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(lines, keys). Lines: (doc_key, doc_id, line_no, id, fp, chars), all but the first three of the normalised line.
+
+    ``id`` is a hash of the normalised line and ``fp`` the SimHash of its ``content_words``.
     Lines without a letter or digit have no id and are never repeated content.
+    Keys: (k, id), the keys of SimHash blocks (``block_rows``) that lines share; those under
+    ``min_words`` words have none. Both come from one pass, as rows of many lines and keys.
     """
+    parts = key_parts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        sent = 0
+
+        def deal() -> pa.RecordBatch:
+            keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            rows = dealt_keys(keys, ids, parts, tile)
+            return rows.append_column("lines", pa.nulls(rows.num_rows, pa.binary()))
+
         for batch in batches:
             rows, size = [], 0
             for i in range(batch.num_rows):
                 rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py() or ""))
                 size += len(rows[-1][2])
                 if size >= CHARS or i == batch.num_rows - 1:
-                    yield line_rows(*map(list, zip(*rows, strict=True)), min_words)
+                    lines, keys, ids = line_rows(*map(list, zip(*rows, strict=True)), min_words)
+                    held.append((keys, ids))
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, lines.schema) as out:
+                        out.write_batch(lines)
+                    sent += 1
+                    place = (rows[0][0] + sent) % parts  # anywhere
+                    yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "alone", "known", "lines"])
                     rows, size = [], 0
+                    if sum(len(x[0]) for x in held) >= HELD_KEYS:
+                        yield deal()
+        if held:
+            yield deal()
 
-    return docs.select(text_key(docs).alias("doc_key"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, LINE)
+    dealt = docs.select(text_key(docs).alias("doc_key"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DEALT + ", lines binary")
+    both = stage(met(dealt), "lines")
+    return both.where("k is null").drop("k", "kid"), both.where("k is not null").select("k", F.col("kid").alias("id"))
 
 
 def near_pairs(fps: np.ndarray, chars: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -341,31 +551,23 @@ def near_pairs(fps: np.ndarray, chars: np.ndarray, bucket: np.ndarray, side: np.
 
 
 def shared_keys(nodes: DataFrame, tile: int) -> DataFrame:
-    """(k, id): the keys of ``nodes`` that more than one of them has.
+    """(k, id): the keys in ``blocks`` of ``nodes`` that more than one of them has.
 
-    Most keys belong to one line. They go here, while a row is two numbers, so that only what can
-    meet is dealt with its fingerprint. Keys of more than ``tile`` lines are set apart before, and
-    never gather in one task.
+    Keys of more than ``tile`` lines never gather in one task (``dealt_keys``).
     """
+    parts = key_parts(nodes)
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_buckets(batches, "k"):
-            k = table.column("k").to_numpy()
-            same = np.append(k[1:] == k[:-1], False)
-            same[1:] |= same[:-1]
-            if same.any():
-                yield from table.filter(pa.array(same)).to_batches()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column(1)
+            ids = np.repeat(batch.column(0).to_numpy(), blocks.value_lengths().fill_null(0).to_numpy())
+            yield dealt_keys(blocks.flatten().to_numpy().view(np.uint64), ids.view(np.uint64), parts, tile)
 
-    keys = nodes.select(F.explode("blocks").alias("k"), "id")
-    large = stage(keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select(F.col("k").alias("lk")), "line-large")
-    if large.count() <= 250_000:  # about 5 MB
-        large = F.broadcast(large)
-    common = F.col("k") == F.col("lk")
-    few = keys.join(large, common, "left_anti").repartition("k").sortWithinPartitions("k").mapInArrow(met, "k long, id long")
-    return stage(few.unionByName(keys.join(large, common, "left_semi")), "line-keys")
+    dealt = nodes.select("id", "blocks").mapInArrow(run, DEALT).withColumn("lines", F.lit(None).cast("binary"))
+    return met(dealt).select("k", F.col("kid").alias("id"))
 
 
-def block_hits(nodes: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
+def block_hits(nodes: DataFrame, keys: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
     """(bucket, side, id, fp, chars, partner): the lines that share a block with one that may be similar.
 
     ``partner`` is the first such line of the bucket, null for the first itself, so the pairs
@@ -383,8 +585,7 @@ def block_hits(nodes: DataFrame, radius: int, similarity: float, tile: int) -> D
                 named = pa.array(ids[partner], mask=partner < 0)
                 yield from table.append_column("partner", named).filter(pa.array(hit)).to_batches()
 
-    held = nodes.select("id", "fp", "chars").join(shared_keys(nodes, tile), "id")
-    keyed = tiled(held, ["fp", "id"], tile, "lines")
+    keyed = tiled(keys, ["id"], tile, "lines").join(nodes.select("id", "fp", "chars"), "id").select("bucket", "side", "id", "fp", "chars")
     schema = T.StructType([*keyed.schema.fields, T.StructField("partner", T.LongType())])
     return keyed.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, schema)
 
@@ -394,11 +595,16 @@ def representative_texts(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> D
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, places in zip(batch.column(0), batch.column(1), strict=True):
-                lines, at = (text.as_py() or "").split("\n"), places.as_py()
-                found = words_only("\n".join(lines[p["line_no"]] for p in at)).split(b"\n")
-                norm = [b" ".join(x.split()).decode("utf-8", "surrogatepass") for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array([p["id"] for p in at], pa.int64()), pa.array(norm, pa.string())], names=["id", "norm"])
+            ids, found, size = [], [], 0
+            for i in range(batch.num_rows):
+                lines, at = (batch.column(0)[i].as_py() or "").split("\n"), batch.column(1)[i].as_py()
+                ids += [p["id"] for p in at]
+                found += [lines[p["line_no"]] for p in at]
+                size += sum(map(len, found[len(found) - len(at) :]))
+                if size >= CHARS or i == batch.num_rows - 1:
+                    norm = [" ".join(x.split()) for x in words_only("\n".join(found)).decode("utf-8", "surrogatepass").split("\n")]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(norm, pa.string())], names=["id", "norm"])
+                    ids, found, size = [], [], 0
 
     wanted = ids.select(F.col("id").alias("wi"))
     places = nodes.join(wanted, F.col("id") == F.col("wi")).select("id", F.col("first.doc_key").alias("wk"), F.col("first.line_no").alias("line_no"))
@@ -415,8 +621,9 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> Data
             one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             longer = np.array([max(len(x), len(y)) for x, y in zip(one, two, strict=True)], np.int64)
             near = within_reach(gram_counts(one), gram_counts(two), longer, similarity)
-            ok = [n and similar(x, y, similarity) for n, x, y in zip(near.tolist(), one, two, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            rows = np.flatnonzero(near).tolist()
+            near[rows] = similar_many([one[i] for i in rows], [two[i] for i in rows], similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
     one, two = (texts.select(F.col("id").alias(f"i{c}"), F.col("norm").alias(f"n{c}")) for c in "ab")
     return pairs.join(one, F.col("a") == F.col("ia")).join(two, F.col("b") == F.col("ib")).select("a", "b", "na", "nb").mapInArrow(run, LINK)
@@ -460,16 +667,27 @@ def links_across(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
                 return i
 
             out: list[tuple[int, int]] = []
+
+            def compare(pairs: list[tuple[int, int]]) -> None:
+                """Links of those pairs whose parts aren't connected yet."""
+                pairs = [(i, j) for i, j in pairs if find(int(part[i])) != find(int(part[j]))]
+                ok = similar_many([norm[i] for i, _ in pairs], [norm[j] for _, j in pairs], similarity)
+                for (i, j), linked in zip(pairs, ok.tolist(), strict=True):
+                    p, q = find(int(part[i])), find(int(part[j]))
+                    if linked and p != q:
+                        parent[max(p, q)] = min(p, q)
+                        out.append((int(part[i]), int(part[j])))
+
+            held: list[tuple[int, int]] = []
             for a, b in near_pairs(fps.view(np.uint64), chars, bucket, side, radius, similarity):
                 ok = part[a] != part[b]
                 a, b = a[ok], b[ok]
                 ok = within_reach(grams[a], grams[b], np.maximum(chars[a], chars[b]), similarity)
-                a, b = a[ok], b[ok]
-                for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                    p, q = find(int(part[i])), find(int(part[j]))
-                    if p != q and similar(norm[i], norm[j], similarity):
-                        parent[max(p, q)] = min(p, q)
-                        out.append((int(part[i]), int(part[j])))
+                held += zip(a[ok].tolist(), b[ok].tolist(), strict=True)
+                if len(held) >= 4096:
+                    compare(held)
+                    held = []
+            compare(held)
             if out:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -478,14 +696,14 @@ def links_across(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, LINK).distinct()
 
 
-def line_roots(nodes: DataFrame, docs: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
+def line_roots(nodes: DataFrame, keys: DataFrame, docs: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
     """(node, root) of every line of ``nodes`` that is linked to another.
 
     First each line is verified against its partner in every bucket, which joins most of a
     group of any size with a few pairs to a line; then the lines of a bucket that this left in
     different parts are compared with each other.
     """
-    hits = stage(block_hits(nodes, radius, similarity, tile), "line-hits")
+    hits = stage(block_hits(nodes, keys, radius, similarity, tile), "line-hits")
     texts = stage(representative_texts(hits.select("id").distinct(), nodes, docs), "line-texts")
     pairs = hits.where("partner is not null").select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).distinct()
     parts = connected_components(similar_pairs(pairs, texts, similarity), "line-parts")
@@ -510,15 +728,15 @@ def line_groups(docs: DataFrame, min_words: int = 5, radius: int = 20, similarit
     document key, line number) is kept; a null doc_id comes first. ``id`` and ``fp`` together
     name a line, so two lines whose ids collide stay apart.
     """
-    lines = stage(line_table(docs, min_words), "lines")
+    lines, keys = line_table(docs, min_words, tile)
     occurrence = F.struct(F.col("doc_id"), F.col("doc_key"), F.col("line_no"))
-    nodes = stage(lines.where("id is not null").groupBy("id", "fp").agg(F.min(occurrence).alias("first"), F.first("chars").alias("chars"), F.first("blocks").alias("blocks"), F.count(F.lit(1)).alias("n")), "line-nodes")
-    roots = line_roots(nodes, docs, radius, similarity, tile)
-    rooted = stage(nodes.drop("blocks", "chars").join(roots, F.col("id") == F.col("node"), "left").select("id", "fp", "first", "n", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked")).where("linked or n > 1"), "line-rooted")
+    nodes = stage(lines.where("id is not null").groupBy("id", "fp").agg(F.min(occurrence).alias("first"), F.first("chars").alias("chars"), F.count(F.lit(1)).alias("n")), "line-nodes")
+    roots = line_roots(nodes, keys, docs, radius, similarity, tile)
+    rooted = stage(nodes.drop("chars").join(roots, F.col("id") == F.col("node"), "left").select("id", "fp", "first", "n", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked")).where("linked or n > 1"), "line-rooted")
     firsts = rooted.where("linked").groupBy("root").agg(F.min("first").alias("group_first")).select(F.col("root").alias("r"), "group_first")
     repeated = stage(rooted.join(firsts, F.col("linked") & (F.col("root") == F.col("r")), "left").select(F.col("id").alias("g"), F.col("fp").alias("gf"), "root", F.coalesce("group_first", "first").alias("group_first")), "line-repeated")
     same = (F.col("id") == F.col("g")) & (F.col("fp") == F.col("gf"))
-    return lines.drop("blocks").where("id is not null").join(repeated, same, "left").select("doc_key", "doc_id", "line_no", "id", F.coalesce("root", "id").alias("root"), (F.col("group_first").isNull() | (F.col("group_first") == occurrence)).alias("kept"))
+    return lines.where("id is not null").join(repeated, same, "left").select("doc_key", "doc_id", "line_no", "id", F.coalesce("root", "id").alias("root"), (F.col("group_first").isNull() | (F.col("group_first") == occurrence)).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 20, similarity: float = 0.8) -> DataFrame:
@@ -532,6 +750,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 20, similarit
     groups = line_groups(docs, min_words, radius, similarity)
     dropped = stage(groups.where("not kept").select("doc_key", "line_no").distinct().groupBy(F.col("doc_key").alias("__key")).agg(F.collect_set("line_no").alias("__lines")), "line-dropped")
     held = docs.withColumn("__doc_key", text_key(docs)).join(dropped, F.col("__doc_key") == F.col("__key"), "left")
-    gone = F.map_from_entries(F.transform("__lines", lambda i: F.struct(i, F.lit(True))))
-    left = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n", -1), lambda x, i: F.coalesce(F.try_element_at(gone, i), F.lit(False)) == F.lit(False)), "\n")
-    return held.withColumn("text", F.when(F.col("__key").isNull(), F.col("text").cast("string")).otherwise(left)).withColumn("__dropped", F.coalesce(F.size("__lines"), F.lit(0))).drop("__doc_key", "__key", "__lines")
+    held = held.withColumn("__parts", F.when(F.col("__key").isNotNull(), F.split(F.col("text").cast("string"), "\n", -1)))  # a column of its own: it is cut once
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__lines"))
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col("__parts"), i)), "\n")
+    return held.withColumn("text", F.when(F.col("__key").isNull(), F.col("text").cast("string")).otherwise(left)).withColumn("__dropped", F.coalesce(F.size("__lines"), F.lit(0))).drop("__doc_key", "__key", "__lines", "__parts")
