@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -36,8 +37,10 @@ DEALT = "part int, alone binary, known binary"
 LINE_ARROW = pa.schema([("doc_key", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("id", pa.int64()), ("fp", pa.int64()), ("chars", pa.int32())])
 #: Keys that a task holds before it deals them out
 HELD_KEYS = 1 << 21
-#: Lines up to 64 times so many characters are compared many at a time
-COLUMN_WORDS = 16
+#: Lines up to 64 times so many characters are compared together
+COLUMN_WORDS = (1, 2, 3, 4, 6, 8, 12, 16)
+#: Characters that join two lines again, and how far behind a difference they are looked for
+PIECE, SKIPS = 7, (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 17, 20, 24, 29, 35, 42, 50, 60)
 
 
 def normalise(line: str) -> str:
@@ -145,9 +148,13 @@ def characters(texts: list[str], sizes: np.ndarray, names: np.ndarray) -> tuple[
 
 
 def similar_many(one: list[str], two: list[str], least: float) -> np.ndarray:
-    """``similar`` of each pair; where enough pairs are of about one length they are compared together."""
+    """``similar`` of each pair.
+
+    A cost that is no less than the distance settles most similar pairs, counts of character pairs
+    most others; the rest is measured, together where enough pairs are of about one length.
+    """
     out = np.zeros(len(one), bool)
-    groups: dict[int, list[tuple[int, str, str, int]]] = {}
+    left: list[tuple[int, str, str, int]] = []
     for i, (a, b) in enumerate(zip(one, two, strict=True)):
         if len(a) > len(b):
             a, b = b, a
@@ -158,15 +165,22 @@ def similar_many(one: list[str], two: list[str], least: float) -> np.ndarray:
         a, b = a[lo:], b[lo:]
         hi = shared_prefix(a[::-1], b[::-1])
         a, b = a[: len(a) - hi], b[: len(b) - hi]
-        if len(b) <= most:
+        if len(b) <= most or piece_by_piece(a, b, most) <= most:
             out[i] = True
         else:
-            groups.setdefault(-(-len(a) // 64), []).append((i, a, b, most))
-    for words, members in groups.items():
+            left.append((i, a, b, most))
+    groups: dict[int, list[tuple[int, str, str, int]]] = {}
+    for at in range(0, len(left), 4096):
+        part = left[at : at + 4096]
+        near = within_edits(gram_counts([x[1] for x in part]), gram_counts([x[2] for x in part]), np.array([x[3] for x in part]))
+        for x, n in zip(part, near.tolist(), strict=True):
+            if n:
+                groups.setdefault(bisect_left(COLUMN_WORDS, -(-len(x[1]) // 64)), []).append(x)
+    for size, members in groups.items():
         members.sort(key=lambda x: len(x[2]))
-        if words > COLUMN_WORDS or len(members) < 16 * words:
+        if size == len(COLUMN_WORDS) or len(members) < 8 * COLUMN_WORDS[size]:
             for i, a, b, most in members:
-                out[i] = word_by_word(a.split(" "), b.split(" "), most) <= most or edit_distance(a, b, most) <= most
+                out[i] = edit_distance(a, b, most) <= most
             continue
         for at in range(0, len(members), 2048):
             i, a, b, most = zip(*members[at : at + 2048], strict=True)
@@ -174,6 +188,32 @@ def similar_many(one: list[str], two: list[str], least: float) -> np.ndarray:
     return out
 
 
+def piece_by_piece(a: str, b: str, most: int) -> int:
+    """The cost of one way to edit ``a`` into ``b``, so no less than the edit distance; past ``most`` it stops.
+
+    Where they part, the nearest piece of ``a`` that ``b`` has close by joins them again.
+    """
+    i = j = cost = 0
+    while i < len(a) and j < len(b) and cost <= most:
+        for skip in SKIPS:
+            piece = a[i + skip : i + skip + PIECE]
+            if len(piece) < PIECE:
+                return cost + max(len(a) - i, len(b) - j)
+            at = b.find(piece, j, j + 2 * skip + 3 * PIECE)
+            if at >= 0:
+                cost += max(skip, at - j)
+                i, j = i + skip, at
+                same = shared_prefix(a[i : i + 64], b[j : j + 64])
+                while same == 64:
+                    i, j = i + 64, j + 64
+                    same = shared_prefix(a[i : i + 64], b[j : j + 64])
+                i, j = i + same, j + same
+                break
+        else:
+            return cost + max(len(a) - i, len(b) - j)
+    return cost + max(len(a) - i, len(b) - j)
+
+
 def word_by_word(a: list[str], b: list[str], most: int) -> int:
     """The cost of one way to edit words ``a`` into ``b``, so no less than the edit distance; past ``most`` it stops.
 
@@ -224,11 +264,15 @@ def within_reach(one: np.ndarray, two: np.ndarray, longer: np.ndarray, least: fl
     One edit of a character changes at most four counts by one, so no similar pair is lost: classes
     that coincide, and counts that are cut off, only bring rows closer.
     """
-    most = 4 * np.floor((1 - least) * longer + 1e-9)
+    return within_edits(one, two, np.floor((1 - least) * longer + 1e-9))
+
+
+def within_edits(one: np.ndarray, two: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Pairs of ``gram_counts`` rows whose texts may be ``most`` edits apart or fewer."""
     out = np.empty(len(one), bool)
     for at in range(0, len(one), 4096):
         part = slice(at, at + 4096)
-        out[part] = np.abs(one[part].astype(np.int16) - two[part]).sum(1) <= most[part]
+        out[part] = np.abs(one[part].astype(np.int16) - two[part]).sum(1) <= 4 * most[part]
     return out
 
 
@@ -585,7 +629,7 @@ def block_hits(nodes: DataFrame, keys: DataFrame, radius: int, similarity: float
                 named = pa.array(ids[partner], mask=partner < 0)
                 yield from table.append_column("partner", named).filter(pa.array(hit)).to_batches()
 
-    keyed = tiled(keys, ["id"], tile, "lines").join(nodes.select("id", "fp", "chars"), "id").select("bucket", "side", "id", "fp", "chars")
+    keyed = tiled(keys, ["id"], tile, "lines").join(nodes.select("id", "fp", "chars").hint("shuffle_hash"), "id").select("bucket", "side", "id", "fp", "chars")
     schema = T.StructType([*keyed.schema.fields, T.StructField("partner", T.LongType())])
     return keyed.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, schema)
 
@@ -595,22 +639,24 @@ def representative_texts(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> D
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            places = batch.column(1).flatten()
+            named, numbers, ends = places.field("id").to_pylist(), places.field("line_no").to_pylist(), np.cumsum(batch.column(1).value_lengths().to_numpy()).tolist()
             ids, found, size = [], [], 0
-            for i in range(batch.num_rows):
-                lines, at = (batch.column(0)[i].as_py() or "").split("\n"), batch.column(1)[i].as_py()
-                ids += [p["id"] for p in at]
-                found += [lines[p["line_no"]] for p in at]
-                size += sum(map(len, found[len(found) - len(at) :]))
-                if size >= CHARS or i == batch.num_rows - 1:
+            for i, end in enumerate(ends):
+                lines, at = (batch.column(0)[i].as_py() or "").split("\n"), ends[i - 1] if i else 0
+                ids += named[at:end]
+                found += [lines[no] for no in numbers[at:end]]
+                size += sum(map(len, found[len(found) - (end - at) :]))
+                if size >= CHARS or i == len(ends) - 1:
                     norm = [" ".join(x.split()) for x in words_only("\n".join(found)).decode("utf-8", "surrogatepass").split("\n")]
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(norm, pa.string())], names=["id", "norm"])
                     ids, found, size = [], [], 0
 
     wanted = ids.select(F.col("id").alias("wi"))
-    places = nodes.join(wanted, F.col("id") == F.col("wi")).select("id", F.col("first.doc_key").alias("wk"), F.col("first.line_no").alias("line_no"))
+    places = nodes.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("wi")).select("id", F.col("first.doc_key").alias("wk"), F.col("first.line_no").alias("line_no"))
     per_doc = places.groupBy("wk").agg(F.collect_list(F.struct("id", "line_no")).alias("at"))
     own = docs.select(text_key(docs).alias("doc_key"), F.col("text").cast("string").alias("text"))
-    return own.join(per_doc, F.col("doc_key") == F.col("wk")).select("text", "at").mapInArrow(cut, "id long, norm string").dropDuplicates(["id"])
+    return own.join(per_doc.hint("shuffle_hash"), F.col("doc_key") == F.col("wk")).select("text", "at").mapInArrow(cut, "id long, norm string").dropDuplicates(["id"])
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -619,11 +665,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            longer = np.array([max(len(x), len(y)) for x, y in zip(one, two, strict=True)], np.int64)
-            near = within_reach(gram_counts(one), gram_counts(two), longer, similarity)
-            rows = np.flatnonzero(near).tolist()
-            near[rows] = similar_many([one[i] for i in rows], [two[i] for i in rows], similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            yield batch.select(["a", "b"]).filter(pa.array(similar_many(one, two, similarity)))
 
     one, two = (texts.select(F.col("id").alias(f"i{c}"), F.col("norm").alias(f"n{c}")) for c in "ab")
     return pairs.join(one, F.col("a") == F.col("ia")).join(two, F.col("b") == F.col("ib")).select("a", "b", "na", "nb").mapInArrow(run, LINK)
@@ -732,11 +774,11 @@ def line_groups(docs: DataFrame, min_words: int = 5, radius: int = 20, similarit
     occurrence = F.struct(F.col("doc_id"), F.col("doc_key"), F.col("line_no"))
     nodes = stage(lines.where("id is not null").groupBy("id", "fp").agg(F.min(occurrence).alias("first"), F.first("chars").alias("chars"), F.count(F.lit(1)).alias("n")), "line-nodes")
     roots = line_roots(nodes, keys, docs, radius, similarity, tile)
-    rooted = stage(nodes.drop("chars").join(roots, F.col("id") == F.col("node"), "left").select("id", "fp", "first", "n", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked")).where("linked or n > 1"), "line-rooted")
+    rooted = stage(nodes.drop("chars").join(roots.hint("shuffle_hash"), F.col("id") == F.col("node"), "left").select("id", "fp", "first", "n", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked")).where("linked or n > 1"), "line-rooted")
     firsts = rooted.where("linked").groupBy("root").agg(F.min("first").alias("group_first")).select(F.col("root").alias("r"), "group_first")
     repeated = stage(rooted.join(firsts, F.col("linked") & (F.col("root") == F.col("r")), "left").select(F.col("id").alias("g"), F.col("fp").alias("gf"), "root", F.coalesce("group_first", "first").alias("group_first")), "line-repeated")
     same = (F.col("id") == F.col("g")) & (F.col("fp") == F.col("gf"))
-    return lines.where("id is not null").join(repeated, same, "left").select("doc_key", "doc_id", "line_no", "id", F.coalesce("root", "id").alias("root"), (F.col("group_first").isNull() | (F.col("group_first") == occurrence)).alias("kept"))
+    return lines.where("id is not null").join(repeated.hint("shuffle_hash"), same, "left").select("doc_key", "doc_id", "line_no", "id", F.coalesce("root", "id").alias("root"), (F.col("group_first").isNull() | (F.col("group_first") == occurrence)).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 20, similarity: float = 0.8) -> DataFrame:
@@ -749,7 +791,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, radius: int = 20, similarit
     """
     groups = line_groups(docs, min_words, radius, similarity)
     dropped = stage(groups.where("not kept").select("doc_key", "line_no").distinct().groupBy(F.col("doc_key").alias("__key")).agg(F.collect_set("line_no").alias("__lines")), "line-dropped")
-    held = docs.withColumn("__doc_key", text_key(docs)).join(dropped, F.col("__doc_key") == F.col("__key"), "left")
+    held = docs.withColumn("__doc_key", text_key(docs)).join(dropped.hint("shuffle_hash"), F.col("__doc_key") == F.col("__key"), "left")
     held = held.withColumn("__parts", F.when(F.col("__key").isNotNull(), F.split(F.col("text").cast("string"), "\n", -1)))  # a column of its own: it is cut once
     stay = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__lines"))
     left = F.array_join(F.transform(stay, lambda i: F.get(F.col("__parts"), i)), "\n")
