@@ -2,30 +2,40 @@
 
 Every item (a file, a symbol, a folder, the project) is a row of a store with its state. A level's
 pending items are dealt into rounds once; a round asks the model about its items in one Spark job and
-commits their answers, reading no others. Whatever ends the job, committed answers stay, so an
-item is asked again only if its round was broken off.
+commits their answers, reading no others. Rounds that take less time than Spark needs to begin them go
+several to a Spark job, a lot. Its tasks keep their answers as each of them ends, and those of all tasks
+that run at a time are a round's, so whatever ends the job, an item is asked again only if it was among
+the ``round_items`` that were being asked.
 """
 
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.operators import enrich, folds, intervals
 from lodestar.operators.calls import Config, Model
 from lodestar.operators.incremental import content_hash
-from lodestar.operators.ranges import prefix_sums
+from lodestar.operators.ranges import numbered
 from lodestar.sources.stages import shared_dir, stage
 from lodestar.sources.store import Clock, KeyedStore, SummaryStore
 
 LEVELS = ("file", "symbol", "folder", "project")
+ASKED = ("level", "item", "path", "symbol", "content_hash", "prompt")
 PENDING, DONE, FAILED = "pending", "done", "failed"
 ITEM = "level string, item string, path string, symbol string, content_hash string, prompt string, state string, answer string, error string"
+#: a row when a lot begins, and one when its answers are settled
+LOT = "lot string, level string, settled boolean"
+#: seconds that a lot of several rounds may take as far as the one before it tells; a single call may take as long
+LOT_S = 60
 
 
 class AnalysisJob:
@@ -39,6 +49,7 @@ class AnalysisJob:
         self.spark, self.files, self.symbols, self.summaries = spark, files, symbols, summaries
         self.model, self.config, self.fallback, self.round_items = model, config, fallback, round_items
         self.items = KeyedStore(spark, path, ITEM, ["level", "item"], clock)
+        self.asked = T.StructType([f for f in self.items.fields if f.name in ASKED])
         self.tag = f"analysis-{uuid.uuid4().hex}"
         #: rounds that the running level still has
         self.left = 0
@@ -59,12 +70,12 @@ class AnalysisJob:
         file_items = new.select(F.lit("file").alias("level"), path.alias("item"), path.alias("path"), F.lit(None).cast("string").alias("symbol"), "content_hash", prompt.alias("prompt"))
         chosen = self.symbols.where("kind <> 'class'").where(F.col("id") == at if scope == "symbol" else F.lit(True))
         spans = chosen.select("file_path", F.col("start_line").alias("start"), F.col("end_line").alias("end"), "id", "name").join(new.select("file_path", "content_hash"), "file_path")
-        cut = intervals.excerpts(files, spans, enrich.SNIPPET).withColumnRenamed("id", "item")
-        symbol_items = spans.join(cut, F.col("id") == F.col("item")).select(F.lit("symbol").alias("level"), "item", F.col("file_path").alias("path"), F.col("id").alias("symbol"), "content_hash", enrich.symbol_prompt(F.col("name"), F.col("excerpt")).alias("prompt"))
+        cut = intervals.excerpts(files, spans.withColumn("path", path), enrich.SNIPPET, ("path", "name", "content_hash"))
+        symbol_items = cut.select(F.lit("symbol").alias("level"), F.col("id").alias("item"), "path", F.col("id").alias("symbol"), "content_hash", enrich.symbol_prompt(F.col("name"), F.col("excerpt")).alias("prompt"))
         self.add(symbol_items if scope == "symbol" else file_items.unionByName(symbol_items))
 
     def add(self, items: DataFrame) -> None:
-        had = self.items.load().select("level", "item")
+        had = self.items.latest([]).select("level", "item")
         new = items.join(had, ["level", "item"], "left_anti")
         self.items.upsert(new.select("*", F.lit(PENDING).alias("state"), F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("error")))
 
@@ -83,11 +94,14 @@ class AnalysisJob:
         self.stop.clear()
         self.idle.clear()
         try:
+            self.recover()
             for level in ("file", "symbol"):
-                for some in self.dealt(level):
-                    if self.stop.is_set() or not self.round(some, level):
+                for some, rounds, left in self.lots(level):
+                    if self.stop.is_set() or not self.lot(some, rounds, level):
                         break
-                    on_round()
+                    for k in range(rounds):
+                        self.left = left + rounds - k - 1
+                        on_round()
             for level in ("folder", "project"):
                 if not self.stop.is_set():
                     self.fold(level)
@@ -96,8 +110,8 @@ class AnalysisJob:
         finally:
             self.idle.set()
 
-    def tagged(self, work: Callable[[], DataFrame]) -> DataFrame | None:
-        """The result of ``work`` as a stage table, run under the job's tag; None if it was broken off."""
+    def tagged[R](self, work: Callable[[], R]) -> R | None:
+        """What ``work`` gives, run under the job's tag; None if it was broken off."""
         if self.stop.is_set():
             return None
         context = self.spark.sparkContext
@@ -113,33 +127,70 @@ class AnalysisJob:
             context.removeJobTag(self.tag)
             context.setInterruptOnCancel(False)
 
-    def dealt(self, level: str) -> Iterator[DataFrame]:
-        """The pending items of a level by rounds of ``round_items``; the store is read once for all of them."""
+    def dealt(self, level: str) -> tuple[str, int]:
+        """The pending items of a level by rounds of ``round_items`` in a folder, and how many rounds there are; the store is read once for all of them."""
+        pending = self.items.load().where((F.col("level") == level) & (F.col("state") == PENDING)).select(*ASKED)
+        placed, total = numbered(pending, "at", "analysis")
+        path = f"{shared_dir(self.spark)}/stages/analysis-rounds-{uuid.uuid4().hex}"
+        placed.withColumn("round", F.floor(F.col("at") / self.round_items)).drop("at").write.partitionBy("round").parquet(path)
+        return path, -(-total // self.round_items)
+
+    def lots(self, level: str) -> Iterator[tuple[DataFrame, int, int]]:
+        """(items, rounds, rounds left after them): a single round first, then as many as go by in ``LOT_S``, at most four times the number before."""
         if self.stop.is_set():
             return
-        pending = self.items.load().where((F.col("level") == level) & (F.col("state") == PENDING)).drop("updated_at", "answer", "error", "state")
-        placed = prefix_sums(pending, ["item"], F.lit(1), "before", "analysis-rounds").withColumn("round", F.floor(F.col("before") / self.round_items)).drop("before")
-        path = f"{shared_dir(self.spark)}/stages/analysis-rounds-{uuid.uuid4().hex}"
-        placed.repartition("round").write.partitionBy("round").parquet(path)
-        last = placed.agg(F.max("round")).first()[0]
-        rounds = 0 if last is None else last + 1
-        for k in range(rounds):
-            self.left = rounds - k - 1
-            yield self.spark.read.schema(pending.schema).parquet(f"{path}/round={k}")
-
-    def round(self, some: DataFrame, level: str) -> bool:
-        """Ask about some items of a level; false when that was broken off."""
-        said = self.tagged(lambda: stage(enrich.ask(some.repartition("item"), self.model, self.config, self.fallback), "analysis-answers"))
-        if said is None:
-            return False
-        self.settle(said.withColumn("answer", enrich.clean_markdown(F.col("answer"))), level)
-        return True
+        path, rounds = self.dealt(level)
+        k, n = 0, 1
+        while k < rounds:
+            n = min(n, rounds - k)
+            began = time.monotonic()
+            yield self.spark.read.schema(self.asked).parquet(*[f"{path}/round={i}" for i in range(k, k + n)]), n, rounds - k - n
+            k += n
+            n = max(1, int(n * min(4, LOT_S / max(time.monotonic() - began, 0.001))))
+
+    def lot(self, some: DataFrame, rounds: int, level: str) -> bool:
+        """Ask about the items of some rounds; false when that was broken off. What was answered by then is settled in either case."""
+        name = uuid.uuid4().hex
+        self.note(name, level, False)
+        # as many tasks run at a time as deal with one round's items
+        tasks = rounds * min(self.spark.sparkContext.defaultParallelism, self.round_items)
+        answers = enrich.ask(some.repartition(tasks), self.model, self.config, self.fallback)
+        # by this algorithm a task's file is in its place when the task ends, whatever becomes of the others
+        put = answers.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        whole = self.tagged(lambda: put.parquet(self.answers(name)) or True)
+        self.settle_lot(name, level)
+        return bool(whole)
+
+    def answers(self, lot: str) -> str:
+        return f"{self.items.path}/answers/{lot}"
+
+    def note(self, lot: str, level: str, settled: bool) -> None:
+        self.spark.createDataFrame([(lot, level, settled)], LOT).coalesce(1).write.mode("append").parquet(f"{self.items.path}/lots")
+
+    def settle_lot(self, lot: str, level: str) -> None:
+        schema = T.StructType([*self.asked, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
+        try:
+            said = self.spark.read.schema(schema).parquet(self.answers(lot))
+        except AnalysisException:  # broken off before it began
+            said = None
+        if said is not None and not said.isEmpty():
+            self.settle(said.withColumn("answer", enrich.clean_markdown(F.col("answer"))), level)
+        self.note(lot, level, True)
+
+    def recover(self) -> None:
+        """Settle what the tasks of a lot answered whose driver ended before it."""
+        try:
+            lots = self.spark.read.schema(LOT).parquet(f"{self.items.path}/lots").groupBy("lot", "level").agg(F.max("settled").alias("settled")).where("not settled").collect()
+        except AnalysisException:
+            return
+        for r in lots:
+            self.settle_lot(r["lot"], r["level"])
 
     def settle(self, said: DataFrame, level: str) -> None:
         """Commit answers as summaries first and as done items then, so that a break between the two asks again at worst."""
         good = said.where("answer is not null")
         self.summaries.put(level, good.select("path", "symbol", "content_hash", F.col("answer").alias("summary")))
-        self.items.upsert(said.withColumn("state", F.when(F.col("answer").isNull(), F.lit(FAILED)).otherwise(F.lit(DONE))))
+        self.items.upsert(said.withColumn("state", F.when(F.col("answer").isNull(), F.lit(FAILED)).otherwise(F.lit(DONE))), once=True)
 
     def fold(self, level: str) -> None:
         """Folders from their files, or the project from its folders."""
@@ -157,7 +208,7 @@ class AnalysisJob:
 
     def progress(self) -> DataFrame:
         """(level, total, done, failed, percent) of files and symbols, and of both together; 0 of 0 is 0 %."""
-        return progress(self.items.load().where("level in ('file', 'symbol')"))
+        return progress(self.items.latest(["state"]).where("level in ('file', 'symbol')"))
 
 
 def progress(items: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,12 +58,12 @@ def innermost(points: DataFrame, spans: DataFrame, on: str = "file_path") -> Dat
     return met.groupBy(on, "line").agg(F.min(order).alias("m")).select(on, "line", "m.id")
 
 
-def excerpts(files: DataFrame, spans: DataFrame, most_chars: int | None = None) -> DataFrame:
+def excerpts(files: DataFrame, spans: DataFrame, most_chars: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(id, excerpt): lines start to end of each span(file_path, start, end, id), cut to ``most_chars``.
 
-    A file's lines are split once, whatever the number of its spans.
+    A file's lines are split once, whatever the number of its spans. ``keep`` names columns of ``spans`` that go along.
     """
-    own = spans.groupBy("file_path").agg(F.collect_list(F.struct("id", "start", "end")).alias("spans"))
+    own = spans.groupBy("file_path").agg(F.collect_list(F.struct("id", "start", "end", *keep)).alias("spans"))
     lines = files.select("file_path", F.split(F.col("content"), "\r\n|\r|\n").alias("lines"))
-    cut = lines.join(own, "file_path").select(F.inline(F.transform("spans", lambda s: F.struct(s["id"].alias("id"), F.array_join(F.slice(F.col("lines"), s["start"], F.greatest(s["end"] - s["start"] + 1, F.lit(0))), "\n").alias("excerpt")))))
+    cut = lines.join(own, "file_path").select(F.inline(F.transform("spans", lambda s: F.struct(s["id"].alias("id"), *[s[k].alias(k) for k in keep], F.array_join(F.slice(F.col("lines"), s["start"], F.greatest(s["end"] - s["start"] + 1, F.lit(0))), "\n").alias("excerpt")))))
     return cut if most_chars is None else cut.withColumn("excerpt", F.substring("excerpt", 1, most_chars))

@@ -29,3 +29,17 @@ def prefix_sums(df: DataFrame, order: Sequence[str | Column], weight: Column, ou
     base = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in (starts or {0: 0}).items() for x in kv]), F.col("__part"))
     before = F.sum("__weight").over(W.partitionBy("__part").orderBy("__at").rowsBetween(W.unboundedPreceding, -1))
     return placed.withColumn(out, base + F.coalesce(before, F.lit(0))).drop("__at", "__weight", "__part")
+
+
+def numbered(df: DataFrame, out: str, name: str) -> tuple[DataFrame, int]:
+    """``df`` as a stage table with ``out``: numbers from 0 without gaps, in any order; and how many rows there are.
+
+    Rows keep their tasks, so nothing is sorted or shuffled, and one count per task reaches the driver.
+    """
+    placed = stage(df.withColumn("__at", F.monotonically_increasing_id()), f"{name}-numbered")
+    part, total, starts = F.shiftright("__at", 33), 0, {}
+    for p, n in sorted(placed.groupBy(part).count().collect()):
+        starts[p] = total
+        total += n
+    base = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in (starts or {0: 0}).items() for x in kv]), part)
+    return placed.withColumn(out, base + F.col("__at").bitwiseAND(IN_RANGE)).drop("__at"), total

@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 VERSION = "1.0"
 MANIFEST = "version string, commit string, covers array<string>, at timestamp"
 BUCKETS = 32
+#: into how many tasks a bucket's rows are dealt when they are written
+TASKS = 4
 
 Clock = Callable[[], datetime]
 
@@ -57,20 +59,27 @@ class KeyedStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/commit={c}" for c in commits])
 
-    def merged(self, commits: Sequence[str]) -> DataFrame:
-        """(fields, updated_at): the latest row of every key, where that is no tombstone."""
-        names = self.rows.names
-        last = F.max_by(F.struct(*names), F.struct("updated_at", "commit")).alias("r")
-        return self.raw(commits).groupBy("bucket", *[F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)]).agg(last).select("bucket", *[F.col(f"r.{n}").alias(n) for n in names]).where("not __gone").drop("__gone")
+    def merged(self, commits: Sequence[str], only: Sequence[str] | None = None) -> DataFrame:
+        """(fields, updated_at): the latest row of every key, where that is no tombstone; of the other fields those in ``only`` are read."""
+        own = {k: f"__k{i}" for i, k in enumerate(self.keys)}
+        names = [n for n in self.rows.names if only is None or n in own or n in only or n in ("updated_at", "__gone")]
+        # the keys are those that rows were grouped by, so a condition on them comes before the grouping
+        last = F.max_by(F.struct(*[n for n in names if n not in own]), F.struct("updated_at", "commit")).alias("r")
+        return self.raw(commits).groupBy("bucket", *[F.col(k).alias(c) for k, c in own.items()]).agg(last).select("bucket", *[F.col(own.get(n, f"r.{n}")).alias(n) for n in names]).where("not __gone").drop("__gone")
 
     def load(self) -> DataFrame:
         """(fields, updated_at) of the store; of the older one where nothing was committed; else empty."""
+        return self.latest()
+
+    def latest(self, only: Sequence[str] | None = None) -> DataFrame:
+        """The store's rows; with ``only`` its keys, those fields and updated_at."""
+        names = [f for f in self.fields.names if only is None or f in only or f in self.keys]
         if self.manifest():
-            return self.merged(self.live()).drop("bucket")
+            return self.merged(self.live(), only).drop("bucket")
         older = self.legacy()
         if older is None:
-            return self.merged([]).drop("bucket")
-        return older.select(*self.fields.names, F.lit(None).cast("timestamp").alias("updated_at"))
+            return self.merged([], only).drop("bucket")
+        return older.select(*names, F.lit(None).cast("timestamp").alias("updated_at"))
 
     def lookup(self, wanted: DataFrame) -> DataFrame:
         """The rows whose keys ``wanted`` has; only their buckets are read when they are few."""
@@ -84,11 +93,14 @@ class KeyedStore:
     def bucket(self) -> F.Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).cast("int")
 
-    def commit(self, rows: DataFrame, at: datetime, covers: Sequence[str] = ()) -> str:
-        """Write ``rows(fields, updated_at, __gone)`` and make them count, in place of ``covers``."""
+    def commit(self, rows: DataFrame, at: datetime, covers: Sequence[str] = (), once: bool = True) -> str:
+        """Write ``rows(fields, updated_at, __gone)`` and make them count, in place of ``covers``; ``once`` tells that no two have one key."""
         name = uuid.uuid4().hex
-        dealt = rows.select(*self.rows.names, self.bucket().alias("bucket")).repartition("bucket")
-        dealt.write.partitionBy("bucket").parquet(f"{self.path}/commits/commit={name}")
+        # a bucket goes to several tasks, a key to one
+        dealt = rows.select(*self.rows.names, self.bucket().alias("bucket"), F.pmod(F.xxhash64(F.lit(1), *self.keys), F.lit(TASKS)).alias("__task")).repartition("bucket", "__task")
+        if not once:
+            dealt = dealt.dropDuplicates(["bucket", "__task", *self.keys])
+        dealt.drop("__task").write.partitionBy("bucket").parquet(f"{self.path}/commits/commit={name}")
         self.spark.createDataFrame([(VERSION, name, list(covers), at)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         return name
 
@@ -97,11 +109,11 @@ class KeyedStore:
             epoch = datetime.fromtimestamp(0, UTC)
             self.commit(older.select(*self.fields.names, F.lit(epoch).alias("updated_at"), F.lit(False).alias("__gone")), epoch)
 
-    def upsert(self, rows: DataFrame) -> str:
-        """New rows, and new values for known keys, stamped with the clock's time."""
+    def upsert(self, rows: DataFrame, once: bool = False) -> str:
+        """New rows, and new values for known keys, stamped with the clock's time; ``once`` tells that no two have one key."""
         self.take_over()
         at = self.clock()
-        return self.commit(rows.select(*self.fields.names, F.lit(at).cast("timestamp").alias("updated_at"), F.lit(False).alias("__gone")).dropDuplicates(self.keys), at)
+        return self.commit(rows.select(*self.fields.names, F.lit(at).cast("timestamp").alias("updated_at"), F.lit(False).alias("__gone")), at, once=once)
 
     def delete(self, wanted: DataFrame) -> int:
         """Leave tombstones for the keys of ``wanted``; gives how many rows went."""

@@ -256,3 +256,87 @@ def test_scopes_and_failures(project):
     assert state(job) == {"file": (1, 0, 1, 100), "symbol": (2, 2, 0, 100), "all": (3, 2, 1, 100)}
     assert {r["symbol"] for r in summaries.get("symbol").collect()} == {"src/d1/f4.py#g4", "src/d2/f5.py#g5"}
     assert "not this one" in job.items.load().where("state = 'failed'").first()["error"]
+
+
+def test_short_rounds_go_several_to_a_spark_job(project):
+    """Twelve rounds of one file: each is told of, but they are three lots of 1, 4 and 7, and of symbols likewise."""
+    make, summaries, asked, _ = project
+    job = make()
+    job.round_items = 1
+    job.plan()
+    told = []
+    assert job.run(lambda: told.append(job.left))
+    assert told[:24] == [*range(11, -1, -1)] * 2
+    # the plan, three lots a level, folders and project
+    assert len(job.items.manifest()) == 1 + 3 + 3 + 2
+    assert state(job)["all"] == (24, 24, 0, 100) and len([p for p in asked() if p.startswith("Summarise the")]) == 24
+    assert summaries.get("file").count() == summaries.get("symbol").count() == 12
+
+
+def test_broken_off_lot_keeps_what_its_tasks_answered(project):
+    """One file hangs: only its task's files are asked again."""
+    make, _, asked, _ = project
+    answer = make().model
+
+    def slow(prompts):
+        if "/f4.py" in prompts[0]:
+            time.sleep(60)
+        return answer(prompts)
+
+    job = make(slow)
+    job.round_items = 12
+    job.plan()
+    runner = threading.Thread(target=job.run)
+    runner.start()
+    deadline = time.monotonic() + 60
+    while len(asked()) < 11 and time.monotonic() < deadline:
+        time.sleep(0.2)
+    time.sleep(3)
+    job.cancel(now=True)
+    runner.join(40)
+    total, done, failed, _ = state(job)["file"]
+    assert not runner.is_alive() and total == 12 and 12 - 12 // 4 - 1 <= done < 12 and failed == 0
+    again = make()
+    assert again.run() and state(again)["all"] == (24, 24, 0, 100)
+    asks = [p for p in asked() if p.startswith("Summarise the file")]
+    assert len(set(asks)) == 12 and len(asks) <= 12 + (12 - done) - 1
+
+
+def test_lot_whose_driver_ended_is_settled_by_the_next_job(project):
+    make, summaries, asked, _ = project
+    job = make()
+    job.plan()
+    job.settle_lot = lambda *_: (_ for _ in ()).throw(KeyboardInterrupt)
+    with pytest.raises(KeyboardInterrupt):
+        job.run()
+    assert state(job)["file"] == (12, 0, 0, 0) and len(asked()) == 5
+    again = make()
+    assert not again.run(again.cancel)
+    assert state(again)["file"][1] == 10 == summaries.get("file").count()
+    assert again.run() and state(again)["all"] == (24, 24, 0, 100)
+    asks = [p for p in asked() if p.startswith("Summarise the file")]
+    assert len(asks) == len(set(asks)) == 12
+
+
+def test_calls_share_their_threads():
+    threads = set()
+
+    def model(prompts):
+        threads.add(threading.current_thread())
+        if prompts[0] == "hang":
+            time.sleep(2)
+        return prompts
+
+    asks = [str(i) for i in range(200)]
+    assert calls.pooled(model, asks) == [(x, None) for x in asks] and len(threads) <= 3
+    threads.clear()
+    got = calls.pooled(model, ["hang", *asks], calls.Config(timeout_s=0.5, concurrency=1))
+    assert got[0][0] is None and [a for a, _ in got[1:]] == asks and len(threads) == 2
+
+
+def test_numbers_without_gaps(spark):
+    got, total = ranges.numbered(spark.range(1000).repartition(7), "at", "t")
+    rows = [tuple(r) for r in got.select("id", "at").collect()]
+    assert total == 1000 and sorted(i for i, _ in rows) == sorted(at for _, at in rows) == list(range(1000))
+    none, total = ranges.numbered(spark.range(0), "at", "t")
+    assert total == none.count() == 0

@@ -123,3 +123,14 @@ def test_summaries(spark, tmp_path):
     assert '"summary" : "a folder"' in "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect())
     s.clear()
     assert s.load().count() == 0
+
+
+def test_some_fields_of_some_keys(spark, tmp_path):
+    """Other fields aren't read, and a condition on a key is met before rows are grouped."""
+    s = KeyedStore(spark, str(tmp_path / "wide"), "k string, v int, w string", ["k"], ticking())
+    s.upsert(spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, v int, w string"))
+    s.upsert(spark.createDataFrame([("a", 3, "z"), ("a", 3, "z")], "k string, v int, w string"))
+    some = s.latest(["v"])
+    assert some.columns == ["k", "v", "updated_at"] and sorted(r[:2] for r in some.collect()) == [("a", 3), ("b", 2)]
+    plan = s.load().where("k = 'a'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "= a)" in plan[plan.index("Aggregate"):] and [r["w"] for r in s.load().where("k = 'a'").collect()] == ["z"]
