@@ -26,7 +26,7 @@ from lodestar.operators.calls import Config, Model
 from lodestar.operators.incremental import content_hash
 from lodestar.operators.ranges import numbered
 from lodestar.sources.stages import shared_dir, stage
-from lodestar.sources.store import Clock, KeyedStore, SummaryStore
+from lodestar.sources.store import Clock, KeyedStore, SummaryStore, one_row
 
 LEVELS = ("file", "symbol", "folder", "project")
 ASKED = ("level", "item", "path", "symbol", "content_hash", "prompt")
@@ -53,6 +53,8 @@ class AnalysisJob:
         self.tag = f"analysis-{uuid.uuid4().hex}"
         #: rounds that the running level still has
         self.left = 0
+        #: rounds that the next lot may have
+        self.at_once = 1
         self.stop, self.idle = threading.Event(), threading.Event()
         self.idle.set()
 
@@ -132,21 +134,23 @@ class AnalysisJob:
         pending = self.items.load().where((F.col("level") == level) & (F.col("state") == PENDING)).select(*ASKED)
         placed, total = numbered(pending, "at", "analysis")
         path = f"{shared_dir(self.spark)}/stages/analysis-rounds-{uuid.uuid4().hex}"
+        if not total:
+            return path, 0
         placed.withColumn("round", F.floor(F.col("at") / self.round_items)).drop("at").write.partitionBy("round").parquet(path)
         return path, -(-total // self.round_items)
 
     def lots(self, level: str) -> Iterator[tuple[DataFrame, int, int]]:
-        """(items, rounds, rounds left after them): a single round first, then as many as go by in ``LOT_S``, at most four times the number before."""
+        """(items, rounds, rounds left after them): a job's first lot is a single round, a later one as many as go by in ``LOT_S``, at most eight times the number before."""
         if self.stop.is_set():
             return
         path, rounds = self.dealt(level)
-        k, n = 0, 1
+        k = 0
         while k < rounds:
-            n = min(n, rounds - k)
+            n = min(self.at_once, rounds - k)
             began = time.monotonic()
             yield self.spark.read.schema(self.asked).parquet(*[f"{path}/round={i}" for i in range(k, k + n)]), n, rounds - k - n
             k += n
-            n = max(1, int(n * min(4, LOT_S / max(time.monotonic() - began, 0.001))))
+            self.at_once = max(1, int(n * min(8, LOT_S / max(time.monotonic() - began, 0.001))))
 
     def lot(self, some: DataFrame, rounds: int, level: str) -> bool:
         """Ask about the items of some rounds; false when that was broken off. What was answered by then is settled in either case."""
@@ -165,7 +169,7 @@ class AnalysisJob:
         return f"{self.items.path}/answers/{lot}"
 
     def note(self, lot: str, level: str, settled: bool) -> None:
-        self.spark.createDataFrame([(lot, level, settled)], LOT).coalesce(1).write.mode("append").parquet(f"{self.items.path}/lots")
+        one_row(self.spark).select(F.lit(lot).alias("lot"), F.lit(level).alias("level"), F.lit(settled).alias("settled")).write.mode("append").parquet(f"{self.items.path}/lots")
 
     def settle_lot(self, lot: str, level: str) -> None:
         schema = T.StructType([*self.asked, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
@@ -197,7 +201,7 @@ class AnalysisJob:
         below = {"folder": "file", "project": "folder"}[level]
         told = self.summaries.get(below).select("path", F.concat("path", F.lit(": "), "summary").alias("text"))
         parent = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit("root")) if level == "folder" else F.lit("")
-        rows = told.select(parent.alias("key"), F.col("path").alias("ord"), "text")
+        rows = stage(told.select(parent.alias("key"), F.col("path").alias("ord"), "text"), "analysis-told")
         if rows.isEmpty():
             return
         found = self.tagged(lambda: stage(folds.folded(rows, enrich.answers(self.model, self.config)), "analysis-fold"))

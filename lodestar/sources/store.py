@@ -25,6 +25,11 @@ TASKS = 4
 Clock = Callable[[], datetime]
 
 
+def one_row(spark: SparkSession) -> DataFrame:
+    """A row to select literals from; Spark makes it without Python workers."""
+    return spark.range(0, 1, 1, 1)
+
+
 class KeyedStore:
     """Rows of ``schema`` by ``keys``, kept under ``path``.
 
@@ -56,7 +61,7 @@ class KeyedStore:
         root = f"{self.path}/commits"
         schema = T.StructType([*self.rows, T.StructField("commit", T.StringType()), T.StructField("bucket", T.IntegerType())])
         if not commits:
-            return self.spark.createDataFrame([], schema)
+            return one_row(self.spark).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
         return self.spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/commit={c}" for c in commits])
 
     def merged(self, commits: Sequence[str], only: Sequence[str] | None = None) -> DataFrame:
@@ -101,7 +106,8 @@ class KeyedStore:
         if not once:
             dealt = dealt.dropDuplicates(["bucket", "__task", *self.keys])
         dealt.drop("__task").write.partitionBy("bucket").parquet(f"{self.path}/commits/commit={name}")
-        self.spark.createDataFrame([(VERSION, name, list(covers), at)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        entry = {"version": F.lit(VERSION), "commit": F.lit(name), "covers": F.array(*[F.lit(c) for c in covers]).cast("array<string>"), "at": F.lit(at).cast("timestamp")}
+        one_row(self.spark).select(*[v.alias(k) for k, v in entry.items()]).write.mode("append").parquet(f"{self.path}/manifest")
         return name
 
     def take_over(self) -> None:
